@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .neardup import op7_minhash_near_dedup
 from .packing import op4_best_fit_packing
+from .secrets import op2_secret_scan
+from .substring import op9_substring_dedup
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_bpe": op8_bpe,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}

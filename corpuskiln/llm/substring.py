@@ -2,7 +2,7 @@
 
 A window is ``window`` consecutive words.  A difference cover D of a period v has, for any two places i and j, a shift
 below v that brings both onto D; so two equal windows share an equal anchor of ``window - v + 1`` words at places that
-both lie on D.  Only anchors at those places are hashed and shuffled (5 of every 21 for windows of 35 words).  Anchors
+both lie on D.  Only anchors at those places are hashed and shuffled (4 of every 13 for windows of 35 words).  Anchors
 that occur twice are then extended: the windows around them, and no others, are hashed in full (128 bits) and
 compared, which decides exactly.
 
@@ -31,8 +31,8 @@ from .words import OTHER_BASE, WHITE, mix, run_hashes, word_hashes
 WINDOW = 35
 #: Perfect difference sets by period: fixed values.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1, 6, 15, 22, 26, 45, 55)}
-#: Shortest anchor, in words: shorter ones would often be equal by chance.
-LEAST_ANCHOR = 12
+#: Shortest anchor, in words: shorter ones are often equal without a window around them, and each calls for a period of windows.
+LEAST_ANCHOR = 20
 #: Hashes that a task combines at once.
 COMBINE = 2_000_000
 

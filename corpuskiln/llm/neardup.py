@@ -1,17 +1,19 @@
 """Operator 7: near-duplicate detection by ProbMinHash.
 
 A document is the multiset of its shingles of five words (lower case; ASCII punctuation and white space separate
-words; a text of fewer words is one shingle).  Each shingle sends a Poisson process of arrivals, with its count as the
-rate, to the registers of a signature; a register keeps its first arrival.  Arrivals are taken round by round, and a
-shingle stops once its next arrival is later than all registers' (early termination).  Two signatures agree in a
+words; a text of fewer words is one shingle), a shingle's weight being 1 + ln(count), so that a line repeated many
+times doesn't drown the rest.  Each shingle sends a Poisson process of arrivals, with its weight as the rate, to the
+registers of a signature; a register keeps its first arrival.  Arrivals are taken round by round, and a shingle stops
+once its next arrival is later than all registers' (early termination).  Two signatures agree in a
 register with the probability Jaccard similarity.  Registers are banded; documents that share a band are candidates.
 
 Texts of the same words are one node from the start, so copies cost nothing later.  Within a band's bucket every node
-is compared with the bucket's least node (a star, linear in the bucket) and linked if verified; then, where a bucket
-still holds several components, its nodes outside the bucket's largest component are compared with the nodes of other
-components, so no link between candidates is lost, while pairs inside a component, which can't change the result, are
-never made.  Verification is exact, on the shingles: probability Jaccard of the counts or Jaccard of the sets of at
-least ``threshold``.  Classes are the connected components; a class is named by its least doc_id.
+is compared with the bucket's hub, the node that shares most bands with others (a star, linear in the bucket), and
+linked if verified; then, where the nodes around a hub lie in several components still, those outside the largest are
+compared with those nodes of other components that bounds on the similarity leave (``_cross_pairs``), so no link between
+candidates is lost, while pairs inside a component, which can't change the result, are never made.  Verification is
+exact: Jaccard similarity of the sets of shingles of at least ``threshold``.  Classes are the connected components; a
+class is named by its least doc_id.
 
 Defined results: null and blank texts (white space only) are each a class of their own; texts without letters or
 digits are alike only if equal; repeated rows are one class; null ids are members like others but name a class only if
@@ -22,12 +24,13 @@ an empty table.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, sliced, whole_text
@@ -95,7 +98,7 @@ def signatures(docs: DataFrame, k: int = WORDS, b: int = BANDS, r: int = ROWS) -
         for pdf in sliced(batches, "text", CHARS):
             texts = pdf["text"].tolist()
             owner, element, count, same = shingles(texts, k)
-            keys = bands(prob_minhash(owner, element, count.astype("f8"), len(texts), b * r), b, r).view("i8")
+            keys = bands(prob_minhash(owner, element, 1 + np.log(count), len(texts), b * r), b, r).view("i8")
             nodes: list[int | None] = []
             for text, h in zip(texts, same.view("i8").tolist(), strict=True):
                 nodes.append(h if h else xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63) if text.strip() else None)
@@ -109,61 +112,81 @@ def signatures(docs: DataFrame, k: int = WORDS, b: int = BANDS, r: int = ROWS) -
     return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInPandas(run, f"doc_id {kind}, text_hash long, node long, keys array<long>")
 
 
-def _verified(links: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
-    """The links (a, b) whose shingles are similar enough."""
+def _compared(links: DataFrame, grams: DataFrame, rests: bool = False) -> DataFrame:
+    """The links (a, b) with shared, size_a, size_b: how many shingles; with rests, rest: those of b that a hasn't."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            good = [similarity(*x) >= threshold for x in zip(pdf["ga"], pdf["ca"], pdf["gb"], pdf["cb"], strict=True)]
-            yield pdf.loc[good, ["a", "b"]]
-
-    one = grams.select(F.col("node").alias("a"), F.col("grams").alias("ga"), F.col("counts").alias("ca"))
-    two = grams.select(F.col("node").alias("b"), F.col("grams").alias("gb"), F.col("counts").alias("cb"))
-    return links.join(one, "a").join(two, "b").select("a", "b", "ga", "ca", "gb", "cb").mapInPandas(run, "a long, b long")
-
-
-def similarity(ga: np.ndarray, ca: np.ndarray, gb: np.ndarray, cb: np.ndarray) -> float:
-    """The larger of Jaccard of the sets and probability Jaccard of the counts; grams are sorted and distinct."""
-    if len(ga) == 0 or len(gb) == 0:
-        return 0.0
-    at = np.minimum(np.searchsorted(gb, ga), len(gb) - 1)
-    both = np.flatnonzero(gb[at] == ga)
-    if not len(both):
-        return 0.0
-    plain = len(both) / (len(ga) + len(gb) - len(both))
-    x, y = np.asarray(ca, "f8"), np.asarray(cb, "f8")
-    if (x[0] == x).all() and (y[0] == y).all():
-        return plain
-    # J_P = sum over shared i of 1 / sum_j max(x_j / x_i, y_j / y_i); by t = x_i / y_i the inner sum is split where x_j / y_j > t
-    shared_x, shared_y = np.zeros(len(ga)), x
-    shared_x[both] = y[at[both]]
-    only_b = np.ones(len(gb), bool)
-    only_b[at[both]] = False
-    rest_x, rest_y = shared_y[shared_x == 0].sum(), y[only_b].sum()
-    xs, ys = x[both], y[at[both]]
-    ratio = xs / ys
-    order = np.argsort(ratio)
-    low_y = np.concatenate([[0.0], np.cumsum(ys[order])])
-    high_x = xs.sum() - np.concatenate([[0.0], np.cumsum(xs[order])])
-    cut = np.searchsorted(ratio[order], ratio, side="right")
-    return max(plain, float((1.0 / ((rest_x + high_x[cut]) / xs + (rest_y + low_y[cut]) / ys)).sum()))
+            common = [shared(x, y) for x, y in zip(pdf["ga"], pdf["gb"], strict=True)]
+            out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "shared": [int(c.sum()) for c in common], "size_a": pdf["ga"].str.len(), "size_b": pdf["gb"].str.len()})
+            if rests:
+                out["rest"] = [y[~c] for y, c in zip(pdf["gb"], common, strict=True)]
+            yield out
+
+    one = grams.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
+    two = grams.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
+    kinds = "a long, b long, shared int, size_a int, size_b int" + ", rest array<long>" * rests
+    return links.join(one, "a").join(two, "b").select("a", "b", "ga", "gb").mapInPandas(run, kinds)
+
+
+def _similar(compared: DataFrame, threshold: float) -> DataFrame:
+    """The links whose Jaccard similarity reaches the threshold."""
+    return compared.where(F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")) >= threshold).select("a", "b")
+
+
+def shared(ga: np.ndarray, gb: np.ndarray) -> np.ndarray:
+    """Which of the shingles gb are in ga; both are sorted and distinct."""
+    if len(ga) == 0:
+        return np.zeros(len(gb), bool)
+    return ga[np.minimum(np.searchsorted(ga, gb), len(ga) - 1)] == gb
+
+
+def _cross_pairs(stars: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that share a hub, lie in different components and can be similar enough; none is lost.
+
+    ``stars`` has hub (a), node (b), their sizes, how many shingles they share, and the node's rest.  Jaccard
+    similarity t needs t / (1 + t) * (sum of sizes) shared shingles.  Two nodes share at most min(shared with the hub)
+    of the hub's shingles; what is missing must be shared by their rests.  If nothing can be missing the pair is taken
+    as it is; else the rests must meet in the rarest part of each, ordered by how many rests of the hub hold a shingle
+    (prefix filter).  Rests of independent edits hardly meet.
+    """
+    need = threshold / (1 + threshold)
+    named = stars.withColumnsRenamed({"a": "hub", "b": "node", "size_b": "size"}).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counted = named.groupBy("hub", "label").agg(F.count("*").alias("n"), F.min("size").alias("least"))
+    groups = counted.groupBy("hub").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("largest"), F.min("least").alias("least")).where("parts > 1")
+    mixed = named.join(groups.drop("parts"), "hub").withColumn("missing", F.ceil(F.lit(need) * (F.col("size") + F.col("least")) - F.col("shared") - 1e-9))
+    mixed = materialize(mixed.select("hub", "node", "label", "largest", "size", "shared", "missing", "rest"), "mixed")
+
+    def met(one: DataFrame, on: list[str], more: Column) -> DataFrame:
+        left = one.where("label <> largest").select(*on, *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "size", "shared")])
+        other = (F.col("label_a") != F.col("label")) & ((F.col("label") == F.col("largest")) | (F.col("node_a") < F.col("node")))
+        fits = F.least("size_a", "size") >= F.lit(threshold) * F.greatest("size_a", "size") - 1e-9
+        same = functools.reduce(Column.__and__, [left[c] == one[c] for c in on])
+        return left.join(one, same & other & fits & more).select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b"))
+
+    missing = F.lit(need) * (F.col("size_a") + F.col("size")) - F.least("shared_a", "shared")
+    free = met(mixed.drop("rest").where("missing <= 0"), ["hub"], missing <= 1e-9)
+    spread = mixed.where(F.size("rest") >= F.col("missing")).select("hub", "node", "label", "largest", "size", "shared", (F.size("rest") - F.greatest("missing", F.lit(1)) + 1).alias("prefix"), F.explode("rest").alias("gram"))
+    common = spread.groupBy("hub", "gram").agg(F.count("*").alias("n"))
+    ordered = spread.join(common, ["hub", "gram"]).withColumn("place", F.row_number().over(Window.partitionBy("hub", "node").orderBy("n", "gram")))
+    postings = materialize(ordered.where("n > 1 AND place <= prefix").drop("n", "place", "prefix"), "postings")
+    return free.union(met(postings, ["hub", "gram"], F.lit(True))).distinct()
 
 
 def _grams(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, grams, counts of the documents that stand for the given nodes."""
+    """node, grams of the documents that stand for the given nodes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in sliced(batches, "text", CHARS):
-            owner, element, count, _ = shingles(pdf["text"].tolist(), k)
+            owner, element, _, _ = shingles(pdf["text"].tolist(), k)
             cut = np.searchsorted(owner, np.arange(len(pdf) + 1))
-            order = [np.argsort(element[a:b].view("i8")) + a for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pd.DataFrame({"node": pdf["node"], "grams": [element[o].view("i8") for o in order], "counts": [count[o].astype("i4") for o in order]})
+            yield pd.DataFrame({"node": pdf["node"], "grams": [np.sort(element[a:b].view("i8")) for a, b in zip(cut[:-1], cut[1:], strict=True)]})
 
     text = whole_text()
     keyed = docs.select(F.col("doc_id").alias("rep_id"), F.xxhash64(text).alias("rep_hash"), text.alias("text"))
     found = nodes.join(keyed, nodes["rep_id"].eqNullSafe(keyed["rep_id"]) & (nodes["rep_hash"] == keyed["rep_hash"]))
     one = found.select("node", "text").withColumn("_n", F.row_number().over(Window.partitionBy("node").orderBy("text"))).where("_n = 1")
-    return one.select("node", "text").mapInPandas(run, "node long, grams array<long>, counts array<int>")
+    return one.select("node", "text").mapInPandas(run, "node long, grams array<long>")
 
 
 def classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, b: int = BANDS, r: int = ROWS) -> DataFrame:
@@ -174,23 +197,22 @@ def classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, b: in
     nodes = whole.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"))
     nodes = materialize(nodes.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")), "nodes")
     members = materialize(whole.where("keys IS NOT NULL").select("node", F.explode("keys").alias("key")).groupBy("key", "node").agg(F.count("*").alias("n")).select("key", "node"), "members")
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top").select("key", "hub")
-    stars = members.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    # a bucket's hub is the node that shares the most bands with others: the nearest to a group's middle
+    crowd = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = members.join(crowd, "key")
+    liked = crowded.groupBy("node").agg((F.shiftleft(F.sum("n"), 20) + F.col("node").bitwiseAND(0xFFFFF)).alias("rank"))
+    crowded = materialize(crowded.select("key", "node").join(liked, "node"), "crowded")
+    hubs = crowded.groupBy("key").agg(F.max_by("node", "rank").alias("hub"))
+    stars = crowded.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     stars = materialize(stars, "stars")
     touched = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     grams = materialize(_grams(docs, nodes.join(touched, "node"), k), "grams")
-    linked = materialize(_verified(stars, grams, threshold), "links")
+    compared = materialize(_compared(stars, grams, rests=True), "compared")
+    linked = _similar(compared, threshold)
     labels = connected_components(linked)
-
-    # buckets that hold several components still: what lies outside the largest is compared with the other components
-    owned = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    sizes = owned.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("largest")).where("parts > 1").select("key", "largest")
-    mixed = materialize(owned.join(mixed, "key"), "mixed")
-    minor = mixed.where("label <> largest").select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-    pairs = minor.join(mixed.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), "largest"), "key")
-    pairs = pairs.where("la <> lb AND (lb = largest OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(_verified(pairs.join(stars, ["a", "b"], "left_anti"), grams, threshold), "links")
+    # links between nodes that share a bucket but not through its hub
+    pairs = _cross_pairs(compared, labels, threshold)
+    more = materialize(_similar(_compared(pairs, grams), threshold), "links")
     if more.limit(1).collect():
         labels = connected_components(linked.union(more))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .audio import op1_audio_features
 from .bpe import op8_bpe
 from .neardup import op7_minhash_near_dedup
 from .packing import op4_best_fit_packing
@@ -9,6 +10,7 @@ from .secrets import op2_secret_scan
 from .substring import op9_substring_dedup
 
 QUERIES = {
+    "op1_audio_features": op1_audio_features,
     "op2_secret_scan": op2_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,

@@ -2,8 +2,8 @@
 
 A window is ``window`` consecutive words.  A difference cover D of a period v has, for any two places i and j, a shift
 below v that brings both onto D; so two equal windows share an equal anchor of ``window - v + 1`` words at places that
-both lie on D.  Only anchors at those places are hashed and shuffled (4 of every 13 for windows of 35 words).  Anchors
-that occur twice are then extended: the windows around them, and no others, are hashed in full (128 bits) and
+both lie on D.  Only anchors at those places are hashed and shuffled (5 of every 21 for windows of 35 words).  Anchors
+that occur twice are then extended: the windows around them, and no others, are hashed in full (96 bits) and
 compared, which decides exactly.
 
 Skew: each task first combines its own equal hashes, so a passage that a third of all documents hold reaches the
@@ -32,7 +32,7 @@ WINDOW = 35
 #: Perfect difference sets by period: fixed values.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27), 57: (0, 1, 6, 15, 22, 26, 45, 55)}
 #: Shortest anchor, in words: shorter ones are often equal without a window around them, and each calls for a period of windows.
-LEAST_ANCHOR = 20
+LEAST_ANCHOR = 12
 #: Hashes that a task combines at once.
 COMBINE = 2_000_000
 
@@ -42,27 +42,28 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     return max(((v, d) for v, d in COVERS.items() if window - v + 1 >= LEAST_ANCHOR), default=(1, (0,)))
 
 
-def _combined(keys: np.ndarray, more: dict[str, np.ndarray]) -> pd.DataFrame:
-    """Rows (h1, h2, n, known, ...) for a shuffle that counts each hash.
+def _combined(h1: np.ndarray, h2: np.ndarray, more: dict[str, np.ndarray]) -> pd.DataFrame:
+    """Rows (h1, h2, n, ...) for a shuffle that counts each hash; kept narrow, as there may be one for each word.
 
-    A hash that occurs once here keeps its place; one that occurs more often is sent once, without a place, and its
-    places go along as known repeats, each under a key of its own.
+    A hash that occurs once here keeps its place (n = 1); one that occurs more often is sent once, without a place
+    (n = -2), and its places go along as known repeats, each under a key of its own (n = 2).
     """
-    n = len(keys)
-    order = np.lexsort((keys[:, 1], keys[:, 0]))
-    same = (keys[order[1:]] == keys[order[:-1]]).all(axis=1) if n else np.zeros(0, bool)
+    n = len(h1)
+    order = np.lexsort((h2, h1))
+    same = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
     first, last = np.concatenate([np.ones(min(n, 1), bool), ~same]), np.concatenate([~same, np.ones(min(n, 1), bool)])
     repeated = np.zeros(n, bool)
     repeated[order] = ~(first & last)
-    once, known, sent = np.flatnonzero(~repeated), np.flatnonzero(repeated), order[first & ~last]
-    own = mix(mix(known.astype("u8") + np.uint64(1)) ^ keys[known, 0]) if len(known) else np.zeros(0, "u8")
-    parts = []
-    for rows, h1, h2, count, place in ((once, keys[once, 0], keys[once, 1], 1, True), (known, own, ~own, 2, True), (sent, keys[sent, 0], keys[sent, 1], 2, False)):
-        part = pd.DataFrame({"h1": h1.view("i8"), "h2": h2.view("i8"), "n": np.full(len(rows), count, "i4"), "placed": np.full(len(rows), place)})
-        for name, values in more.items():
-            part[name] = values[rows]
-        parts.append(part)
-    return pd.concat(parts, ignore_index=True)
+    known, sent = np.flatnonzero(repeated), order[first & ~last]
+    a, b = np.concatenate([h1, h1[sent]]), np.concatenate([h2, h2[sent]])
+    a[known] = mix(a[known] ^ mix(known.astype("u8") + np.uint64(1)))
+    count = np.concatenate([np.where(repeated, 2, 1), np.full(len(sent), -2)]).astype("i1")
+    return pd.DataFrame({"h1": a.view("i8"), "h2": b.view("i4"), "n": count} | {k: np.concatenate([v, v[sent]]) for k, v in more.items()})
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The placed rows whose hash occurs elsewhere too."""
+    return rows.withColumn("total", F.sum(F.abs("n")).over(Window.partitionBy("h1", "h2"))).where("total >= 2 AND n > 0")
 
 
 def _places(firsts: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -82,9 +83,8 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
 
         def flush() -> pd.DataFrame:
             h, k, p = (np.concatenate(x) for x in zip(*held, strict=True))
-            out = _combined(np.stack([h, np.zeros_like(h)], 1), {"key": k, "place": p})
             held.clear()
-            return out.drop(columns="h2")
+            return _combined(h, np.zeros(len(h), "u4"), {"key": k, "place": p})
 
         for pdf in sliced(batches, "text"):
             texts = [t.encode() for t in pdf["text"]]
@@ -103,12 +103,12 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
             yield flush()
 
     text = whole_text()
-    rows = docs.select(F.xxhash64("doc_id", text).alias("key"), text.alias("text")).mapInPandas(run, "h1 long, n int, placed boolean, key long, place int")
-    return rows.withColumn("total", F.sum("n").over(Window.partitionBy("h1"))).where("total >= 2 AND placed").select("key", "place")
+    rows = docs.select(F.xxhash64("doc_id", text).alias("key"), text.alias("text")).mapInPandas(run, "h1 long, h2 int, n byte, key long, place int")
+    return _repeated(rows).select("key", "place")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, runs: array of (start, count) of the window starts whose words occur elsewhere too."""
+    """doc_id, text_hash (32 bits), starts: of the windows whose words occur elsewhere too."""
     period, _ = cover_for(window)
     near = _anchors(docs, window).groupBy("key").agg(F.collect_list("place").alias("places"))
     near = materialize(near, "anchors")
@@ -121,9 +121,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         size = 0
 
         def flush() -> pd.DataFrame:
-            keys, ids, hashes, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            h1, h2, ids, place = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return _combined(keys, {"doc_id": ids, "text_hash": hashes, "place": place})
+            return _combined(h1, h2, {"doc_id": ids, "place": place})
 
         for pdf in sliced(batches, "text"):
             texts = [t.encode() for t in pdf["text"]]
@@ -137,7 +137,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             doc = np.repeat(np.arange(len(texts)), np.diff(firsts))[: len(h1)]
             place = _places(firsts, doc, len(h1))
             at = np.flatnonzero((np.cumsum(steps)[: len(h1)] > 0) & (place + window <= np.diff(firsts)[doc]))
-            held.append((np.stack([h1[at], h2[at]], 1), pdf["doc_id"].to_numpy()[doc[at]], pdf["text_hash"].to_numpy("i8")[doc[at]], place[at].astype("i4")))
+            # rows of equal id are told apart by 32 bits of their text's hash, kept beside the place
+            where = (pdf["text_hash"].to_numpy("i8")[doc[at]] >> 32 << 32) | place[at]
+            held.append((h1[at], (h2[at] >> np.uint64(32)).astype("u4"), pdf["doc_id"].to_numpy()[doc[at]], where))
             size += len(at)
             if size >= COMBINE:
                 size = 0
@@ -145,15 +147,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if held:
             yield flush()
 
-    found = base.join(near, "key").select("doc_id", "text_hash", "text", "places").mapInPandas(run, f"h1 long, h2 long, n int, placed boolean, doc_id {kind}, text_hash long, place int")
-    placed = found.withColumn("total", F.sum("n").over(Window.partitionBy("h1", "h2"))).where("total >= 2 AND placed")
-    return materialize(placed.groupBy("doc_id", "text_hash").agg(F.collect_list("place").alias("starts")), "windows")
+    found = base.join(near, "key").select("doc_id", "text_hash", "text", "places").mapInPandas(run, f"h1 long, h2 int, n byte, doc_id {kind}, place long")
+    placed = _repeated(found).select("doc_id", F.shiftright("place", 32).cast("int").alias("text_hash"), F.col("place").bitwiseAND((1 << 31) - 1).cast("int").alias("start"))
+    return materialize(placed.groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("starts")), "windows")
 
 
 def _with_starts(docs: DataFrame, window: int) -> DataFrame:
     """``docs`` with _starts (null if no window repeats)."""
     starts = repeated_windows(docs, window).withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash", "starts": "_starts"})
-    joined = docs.join(starts, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(whole_text()) == F.col("_text_hash")), "left")
+    joined = docs.join(starts, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.shiftright(F.xxhash64(whole_text()), 32).cast("int") == F.col("_text_hash")), "left")
     return joined.drop("_doc_id", "_text_hash")
 
 

@@ -10,7 +10,7 @@ register with the probability Jaccard similarity.  Registers are banded; documen
 Texts of the same words are one node from the start, so copies cost nothing later.  Within a band's bucket every node
 is compared with the bucket's hub, the node that shares most bands with others (a star, linear in the bucket), and
 linked if verified; then, where the nodes around a hub lie in several components still, those outside the largest are
-compared with those nodes of other components that bounds on the similarity leave (``_cross_pairs``), so no link between
+compared with those nodes of other components that bounds on the similarity leave (``_meetings``), so no link between
 candidates is lost, while pairs inside a component, which can't change the result, are never made.  Verification is
 exact: Jaccard similarity of the sets of shingles of at least ``threshold``.  Classes are the connected components; a
 class is named by its least doc_id.
@@ -24,13 +24,12 @@ an empty table.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, sliced, whole_text
@@ -141,36 +140,48 @@ def shared(ga: np.ndarray, gb: np.ndarray) -> np.ndarray:
     return ga[np.minimum(np.searchsorted(ga, gb), len(ga) - 1)] == gb
 
 
-def _cross_pairs(stars: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) that share a hub, lie in different components and can be similar enough; none is lost.
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` (hub, node, ...) with the node's label, and the label that most nodes of the hub have (least one on ties)."""
+    named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counted = named.select("hub", "node", "label").distinct().groupBy("hub", "label").agg(F.count("*").alias("n"))
+    groups = counted.groupBy("hub").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", -F.col("label"))).alias("largest")).where("parts > 1").drop("parts")
+    return named.join(groups, "hub")
+
+
+def _meetings(stars: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """hub, gram, node, size: where nodes of different components around a hub may meet; none similar enough is lost.
 
     ``stars`` has hub (a), node (b), their sizes, how many shingles they share, and the node's rest.  Jaccard
     similarity t needs t / (1 + t) * (sum of sizes) shared shingles.  Two nodes share at most min(shared with the hub)
-    of the hub's shingles; what is missing must be shared by their rests.  If nothing can be missing the pair is taken
-    as it is; else the rests must meet in the rarest part of each, ordered by how many rests of the hub hold a shingle
-    (prefix filter).  Rests of independent edits hardly meet.
+    of the hub's shingles; what is missing must be shared by their rests, so their rests meet in the rarest part of
+    each, ordered by how many rests of the hub hold a shingle (prefix filter).  Rests of independent edits hardly meet.
+    Where nothing can be missing, nodes meet in a null gram.
     """
     need = threshold / (1 + threshold)
-    named = stars.withColumnsRenamed({"a": "hub", "b": "node", "size_b": "size"}).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    counted = named.groupBy("hub", "label").agg(F.count("*").alias("n"), F.min("size").alias("least"))
-    groups = counted.groupBy("hub").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", "label")).alias("largest"), F.min("least").alias("least")).where("parts > 1")
-    mixed = named.join(groups.drop("parts"), "hub").withColumn("missing", F.ceil(F.lit(need) * (F.col("size") + F.col("least")) - F.col("shared") - 1e-9))
-    mixed = materialize(mixed.select("hub", "node", "label", "largest", "size", "shared", "missing", "rest"), "mixed")
-
-    def met(one: DataFrame, on: list[str], more: Column) -> DataFrame:
-        left = one.where("label <> largest").select(*on, *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "size", "shared")])
-        other = (F.col("label_a") != F.col("label")) & ((F.col("label") == F.col("largest")) | (F.col("node_a") < F.col("node")))
-        fits = F.least("size_a", "size") >= F.lit(threshold) * F.greatest("size_a", "size") - 1e-9
-        same = functools.reduce(Column.__and__, [left[c] == one[c] for c in on])
-        return left.join(one, same & other & fits & more).select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b"))
-
-    missing = F.lit(need) * (F.col("size_a") + F.col("size")) - F.least("shared_a", "shared")
-    free = met(mixed.drop("rest").where("missing <= 0"), ["hub"], missing <= 1e-9)
-    spread = mixed.where(F.size("rest") >= F.col("missing")).select("hub", "node", "label", "largest", "size", "shared", (F.size("rest") - F.greatest("missing", F.lit(1)) + 1).alias("prefix"), F.explode("rest").alias("gram"))
+    named = _labelled(stars.withColumnsRenamed({"a": "hub", "b": "node", "size_b": "size"}), labels)
+    least = named.groupBy("hub").agg(F.min("size").alias("least"))
+    mixed = named.join(least, "hub").withColumn("missing", F.ceil(F.lit(need) * (F.col("size") + F.col("least")) - F.col("shared") - 1e-9))
+    mixed = materialize(mixed.select("hub", "node", "size", "missing", "rest"), "mixed")
+    free = mixed.where("missing <= 0").select("hub", F.lit(None).cast("long").alias("gram"), "node", "size")
+    spread = mixed.where(F.size("rest") >= F.col("missing")).select("hub", "node", "size", (F.size("rest") - F.greatest("missing", F.lit(1)) + 1).alias("prefix"), F.explode("rest").alias("gram"))
     common = spread.groupBy("hub", "gram").agg(F.count("*").alias("n"))
     ordered = spread.join(common, ["hub", "gram"]).withColumn("place", F.row_number().over(Window.partitionBy("hub", "node").orderBy("n", "gram")))
-    postings = materialize(ordered.where("n > 1 AND place <= prefix").drop("n", "place", "prefix"), "postings")
-    return free.union(met(postings, ["hub", "gram"], F.lit(True))).distinct()
+    return materialize(free.unionByName(ordered.where("n > 1 AND place <= prefix").select("hub", "gram", "node", "size")), "meetings")
+
+
+def _met(meetings: DataFrame, labels: DataFrame, threshold: float, star: bool) -> DataFrame:
+    """Pairs (a, b) of different components that meet: with each meeting's least node, or all outside the hub's largest component with all others."""
+    named = _labelled(meetings, labels)
+    if star:
+        one = named.groupBy("hub", "gram").agg(F.min(F.struct("node", "label", "size")).alias("x")).select("hub", "gram", *[F.col(f"x.{c}").alias(f"{c}_a") for c in ("node", "label", "size")])
+        other = F.lit(True)
+    else:
+        one = named.where("label <> largest").select("hub", "gram", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "size")])
+        other = (F.col("label") == F.col("largest")) | (F.col("node_a") < F.col("node"))
+    fits = F.least("size_a", "size") >= F.lit(threshold) * F.greatest("size_a", "size") - 1e-9
+    same = (one["hub"] == named["hub"]) & one["gram"].eqNullSafe(named["gram"])
+    joined = one.join(named, same & (F.col("label_a") != F.col("label")) & other & fits)
+    return joined.select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct()
 
 
 def _grams(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -210,11 +221,14 @@ def classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, b: in
     compared = materialize(_compared(stars, grams, rests=True), "compared")
     linked = _similar(compared, threshold)
     labels = connected_components(linked)
-    # links between nodes that share a bucket but not through its hub
-    pairs = _cross_pairs(compared, labels, threshold)
-    more = materialize(_similar(_compared(pairs, grams), threshold), "links")
-    if more.limit(1).collect():
-        labels = connected_components(linked.union(more))
+    # links between nodes that share a bucket but not through its hub: by stars first, then all that is left
+    meetings = _meetings(compared, labels, threshold)
+    for star in (True, False):
+        pairs = _met(meetings, labels, threshold, star)
+        more = materialize(_similar(_compared(pairs, grams), threshold), "links")
+        if more.limit(1).collect():
+            linked = linked.union(more)
+            labels = connected_components(linked)
 
     owned = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = owned.groupBy("label").agg(F.min(F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "rep_hash")).alias("best"))

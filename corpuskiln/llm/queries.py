@@ -4,17 +4,36 @@ from __future__ import annotations
 
 from .audio import op1_audio_features
 from .bpe import op8_bpe
+from .imatch import op10_imatch
 from .neardup import op7_minhash_near_dedup
 from .packing import op4_best_fit_packing
 from .secrets import op2_secret_scan
 from .substring import op9_substring_dedup
+from .toxicity import op3_toxicity
+from .urltree import op5_url_filter
+from .warc import op6_warc_revisits
 
 QUERIES = {
     "op1_audio_features": op1_audio_features,
     "op2_secret_scan": op2_secret_scan,
+    "op3_toxicity": op3_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_url_filter": op5_url_filter,
+    "op6_warc_revisits": op6_warc_revisits,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_bpe": op8_bpe,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_imatch": op10_imatch,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: Revisit resolution is plain SQL: the digest's largest id is the original of its payloads of 1000 bytes and more.
+_OP6 = """
+WITH heads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+best AS (SELECT payload_digest, max(page_id) AS original FROM heads WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT h.page_id, CAST(h.payload_bytes AS BIGINT) AS payload_bytes, h.payload_digest,
+  CASE WHEN h.payload_bytes >= 1000 AND h.page_id <> b.original THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN h.payload_bytes >= 1000 AND h.page_id <> b.original THEN b.original END AS refers_to
+FROM heads h LEFT JOIN best b USING (payload_digest)
+"""
+ORACLE_SQL: dict[str, str] = {"op6_warc_revisits": _OP6}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,10 +40,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df`` by a Parquet table in the shared folder, which outlives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    release(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files of plans that nothing refers to any more, before the next large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

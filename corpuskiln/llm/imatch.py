@@ -50,10 +50,10 @@ def _hash(found: Column, k: int) -> Column:
     return F.when(F.size(kept) > 0, F.substring(F.md5(F.array_join(kept, " ")), 1, 8)).otherwise("")
 
 
-def fingerprint_column(found: Column, text: Column) -> Column:
-    """The fingerprint from a text's lexicon terms (part, term), sorted."""
+def fingerprint_column(found: Column, whole: Column) -> Column:
+    """The fingerprint from a text's lexicon terms (part, term), sorted; ``whole`` is a hash of the text itself."""
     parts = [_hash(found, k) for k in range(SUBSETS)]
-    return F.concat_ws("-", *parts, F.when(F.size(found) == 0, F.substring(F.sha2(text, 256), 1, 16)).otherwise("-"))
+    return F.concat_ws("-", *parts, F.when(F.size(found) == 0, whole).otherwise(""))
 
 
 def likeness(one: Column, two: Column) -> Column:
@@ -64,72 +64,82 @@ def likeness(one: Column, two: Column) -> Column:
     return F.when(F.size(used) > 0, F.size(equal) / F.size(used)).otherwise((one == two).cast("double"))
 
 
-def fingerprints(rows: DataFrame, words: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` with a column ``<name>_fingerprint`` for each text column named; rows are told apart by ``row``.
+def fingerprints(rows: DataFrame, words: DataFrame, columns: list[str], kept: list[str]) -> DataFrame:
+    """``kept`` columns of ``rows``, which together tell rows apart, with ``<name>_fingerprint`` for each text column.
 
     Each text's distinct terms are exploded and met with the lexicon in the same task (a broadcast where its size
-    allows), so what reaches the shuffle is one row a document.
+    allows), so what reaches the shuffle is one row a document, without its texts.  A mark that the lexicon holds keeps
+    rows without lexicon terms.
     """
+    spark = rows.sparkSession
     many = words.count() > BROADCAST_TERMS
-    kept = words if many else F.broadcast(words)
+    marked = words.unionByName(spark.createDataFrame([("", -1)], "term string, part int"))
+
     def side(i: int, text: Column) -> Column:
         return F.transform(terms(text), lambda t: F.struct(F.lit(i).alias("side"), t.alias("term")))
 
-    both = F.concat(*[side(i, F.col(c)) for i, c in enumerate(columns)])
-    found = rows.select("row", F.explode(both).alias("x")).select("row", "x.side", "x.term").join(kept, "term")
-    sides = [F.sort_array(F.collect_set(F.when(F.col("side") == i, F.struct("part", "term")))).alias(f"_found{i}") for i in range(len(columns))]
-    grouped = found.groupBy("row").agg(*sides)
-    out = rows.join(grouped, "row", "left")
-    none = F.array().cast("array<struct<part:int,term:string>>")
-    return out.select(*rows.columns, *[fingerprint_column(F.coalesce(F.col(f"_found{i}"), none), F.col(c)).alias(f"{c}_fingerprint") for i, c in enumerate(columns)])
+    mark = F.array(F.struct(F.lit(-1).alias("side"), F.lit("").alias("term")))
+    both = F.concat(mark, *[side(i, F.col(c)) for i, c in enumerate(columns)])
+    whole = [F.substring(F.sha2(c, 256), 1, 16).alias(f"_whole{i}") for i, c in enumerate(columns)]
+    found = rows.select(*kept, *whole, F.explode(both).alias("x")).select(*kept, *[f"_whole{i}" for i in range(len(columns))], "x.side", "x.term")
+    found = found.join(marked if many else F.broadcast(marked), "term")
+    sets = [F.sort_array(F.collect_set(F.when(F.col("side") == i, F.struct("part", "term")))).alias(f"_found{i}") for i in range(len(columns))]
+    grouped = found.groupBy(*kept, *[f"_whole{i}" for i in range(len(columns))]).agg(*sets)
+    return grouped.select(*kept, *[fingerprint_column(F.col(f"_found{i}"), F.col(f"_whole{i}")).alias(f"{c}_fingerprint") for i, c in enumerate(columns)])
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, next_id: the next smaller id of each distinct id; the largest's for the smallest.
+    """doc_id, size (code points of its longest text), next_id: the next smaller id; the largest's for the smallest.
 
     Ids alone are sorted by range; only the first id of each range, one row a partition, meets in one task.
     """
-    ids = docs.select("doc_id").distinct()
-    ranged = ids.repartitionByRange(F.col("doc_id").desc_nulls_last()).withColumn("part", F.spark_partition_id())
-    ranged = materialize(ranged, "ids")
+    ids = docs.groupBy("doc_id").agg(F.max(F.length(whole_text())).alias("size"))
+    ranged = materialize(ids.repartitionByRange(F.col("doc_id").desc_nulls_last()).withColumn("part", F.spark_partition_id()), "ids")
     within = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last())
-    led = ranged.select("part", "doc_id", F.lead(F.struct("doc_id")).over(within).alias("next"))
+    led = ranged.select("part", "doc_id", "size", F.lead(F.struct("doc_id")).over(within).alias("next"))
     first = ranged.groupBy("part").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")).select("part", F.struct("first.doc_id").alias("first"))
     parts = Window.orderBy("part")
-    first = first.select("part", F.lead("first").over(parts).alias("after"), F.first("first").over(parts).alias("top"))
-    return led.join(F.broadcast(first), "part").select("doc_id", F.coalesce("next", "after", "top")["doc_id"].alias("next_id"))
+    first = first.select("part", F.lead("first").over(parts).alias("after"), F.first("first").over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("top"))
+    return led.join(F.broadcast(first), "part").select("doc_id", "size", F.coalesce("next", "after", "top")["doc_id"].alias("next_id"))
+
+
+def _key(doc_id: str) -> Column:
+    """Equal for equal ids, null too, so that plain equality joins them."""
+    return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
 
 
 def with_edited(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_id, edited: the last half of each text replaced by as much of the next document."""
-    text = whole_text()
-    kept = docs.select("doc_id", text.alias("text"))
-    follow = next_ids(docs).withColumnRenamed("doc_id", "_id")
-    chosen = kept.groupBy(F.col("doc_id").alias("_next")).agg(F.min("text").alias("_next_text"))
-    asked = kept.join(follow, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    """doc_id, key, number, next_key, text, edited: the last half of each text replaced by as much of the next document.
+
+    Whole texts are dealt out once, by id; both sides of the join use that.  Of the next document only as much as its
+    reader can take is sent on.
+    """
+    follow = materialize(next_ids(docs), "follow")
+    dealt = docs.select("doc_id", _key("doc_id").alias("key"), whole_text().alias("text")).repartition("key")
+    rows = dealt.withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy("text")))
+    after = follow.select(_key("next_id").alias("key"), _key("doc_id").alias("reader"), "size")
+    # the least text of an id; written so that no limit moves below the shuffle, which then serves both sides
+    heads = rows.where(F.col("number") * 2 == 2).join(after, "key")
+    heads = heads.select(F.col("reader").alias("key"), _key("doc_id").alias("next_key"), F.substring("text", F.lit(1), F.floor(F.col("size") / 2).cast("int")).alias("head"))
     half = F.floor(F.length("text") / 2).cast("int")
-    out = asked.join(chosen, F.col("next_id").eqNullSafe(F.col("_next")))
-    return out.select("doc_id", "text", "next_id", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("_next_text", F.lit(1), half)).alias("edited"))
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("head", F.lit(1), half))
+    return rows.join(heads, "key").select("doc_id", "key", "number", "next_key", "text", edited.alias("edited"))
 
 
 def fingerprint_digests(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's."""
     words = lexicon(docs)
-    rows = with_edited(docs).select("doc_id", "next_id", "text", "edited", F.xxhash64("doc_id", "text", "edited").alias("row"))
-    found = fingerprints(rows, words, ["text", "edited"])
-    small = found.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("text_fingerprint").alias("fingerprint"), F.col("edited_fingerprint"), F.xxhash64("text").alias("_hash"), "text")
-    small = materialize(small.drop("text"), "fingerprints")
-    # the fingerprint of an id's next document: by the hash of that document's text where an id has several
-    following = small.groupBy(F.col("doc_id").alias("_next")).agg(F.min("fingerprint").alias("_next_fingerprint"))
-    out = small.join(following, F.col("next_id").eqNullSafe(F.col("_next")))
-    return out.select(
+    rows = with_edited(docs).withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
+    small = materialize(fingerprints(rows, words, ["text", "edited"], ["doc_id", "key", "number", "next_key", "n_chars", "edited_sha256"]), "fingerprints")
+    following = small.where("number = 1").select(F.col("key").alias("next_key"), F.col("text_fingerprint").alias("next_fingerprint"))
+    return small.join(following, "next_key").select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "n_chars",
         "edited_sha256",
-        "fingerprint",
+        F.col("text_fingerprint").alias("fingerprint"),
         "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("_next_fingerprint")).alias("near_next"),
+        likeness(F.col("text_fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("text_fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )
 
 

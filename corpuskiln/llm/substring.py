@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, whole_text
+from .common import materialize, release, sliced, whole_text
 from .words import OTHER_BASE, WHITE, mix, run_hashes, word_hashes
 
 WINDOW = 35
@@ -155,6 +155,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def _with_starts(docs: DataFrame, window: int) -> DataFrame:
     """``docs`` with _starts (null if no window repeats)."""
     starts = repeated_windows(docs, window).withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash", "starts": "_starts"})
+    release(docs.sparkSession)
     joined = docs.join(starts, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.shiftright(F.xxhash64(whole_text()), 32).cast("int") == F.col("_text_hash")), "left")
     return joined.drop("_doc_id", "_text_hash")
 

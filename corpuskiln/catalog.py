@@ -4,7 +4,224 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .functions import constants as K
+from .functions import text as T
+from .operators import dedup, profile, rules, sampling, tokens
+from .session import ensure_checkpoint_dir
+
+INSTRUCTION = "Write one more text like this"
+SEED = 1337
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_KEY = r"regexp_replace(lower(" + _STRIP.format("text") + r"), '\s+', ' ', 'g')"
+_WORD = K.WORD.replace("'", "''")
+_WORDS = f"regexp_extract_all(lower(text), '{_WORD}')"
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _grams_sql(n: int) -> str:
+    return f"list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], ' '))"
+
+
+def _reasons(docs: DataFrame) -> DataFrame:
+    worded = docs.select("*", T.words(F.col("text")).alias("w"))
+    return worded.withColumn("reason", rules.content(F.lit(INSTRUCTION), F.lit(""), F.col("text"), F.col("w")))
+
+
+_PRINT = r"length(regexp_replace(x, '[^\x20-\x7E\t\n\r\x0B\x0C]', '', 'g')) / length(x)"
+_LOOP = " OR ".join(f"coalesce(list_max(map_values(list_aggregate({_grams_sql(n)}, 'histogram'))), 0) >= 5" for n in (2, 3, 4))
+_REASONS = rf"""
+SELECT *, CASE
+  WHEN len(w) < 20 THEN 'output_too_short'
+  WHEN NOT ({_PRINT} >= 0.98 AND length(regexp_replace(x, '[^\x00-\x7F]', '', 'g')) / length(x) >= 0.9) THEN 'not_english_printable'
+  WHEN len(s) <> len(list_distinct(s)) THEN 'repeated_sentence'
+  WHEN len(list_distinct(w)) / len(w) < 0.25 THEN 'low_unique_word_ratio'
+  WHEN {_LOOP} THEN 'obvious_loop' END AS reason
+FROM (SELECT *, {_WORDS} AS w, '{INSTRUCTION}' || chr(10) || chr(10) || text AS x,
+  list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda v: lower({_STRIP.format('v')})), lambda v: v <> '') AS s FROM documents)
+"""
+
+
+@query(f"SELECT coalesce(reason, 'ok') AS reason, count(*) AS n FROM ({_REASONS}) GROUP BY 1")
+def quality_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each content filter rejects first."""
+    return _reasons(_docs(spark, sf_dir)).groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT source, coalesce(reason, 'ok') AS bucket, count(*) AS n FROM ({_REASONS}) GROUP BY 1, 2")
+def reasons_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reasons(_docs(spark, sf_dir)).groupBy("source", F.coalesce("reason", F.lit("ok")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, row_number() OVER (PARTITION BY {_KEY} ORDER BY doc_id) = 1 AS kept, sha256({_KEY}) AS key_hash FROM documents")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document of each normalised text."""
+    hashed = _docs(spark, sf_dir).select("doc_id", T.output_hash(F.col("text")).alias("key_hash"))
+    return dedup.keep_first(hashed, ["key_hash"], ["doc_id"]).select("doc_id", "kept", "key_hash")
+
+
+@query(f"SELECT arg_min(md5(text), doc_id) AS first_text, count(*) AS n FROM documents WHERE {_KEY} <> '' GROUP BY {_KEY} HAVING count(*) > 1")
+def duplicate_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir)
+    return dedup.duplicate_map(d, T.normalize_key(F.col("text")), F.md5("text"), F.col("doc_id")).select(F.col("display").alias("first_text"), "n")
+
+
+@query(f"SELECT coalesce(sum(n - 1), 0)::BIGINT AS excess FROM (SELECT count(*) AS n FROM documents GROUP BY {_KEY})")
+def duplicate_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _docs(spark, sf_dir).groupBy(T.output_hash(F.col("text"))).agg(F.count("*").alias("n"))
+    return counts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("excess"))
+
+
+def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # words and grams are written in between, else every use of them inside a lambda would search the text again
+    ensure_checkpoint_dir(spark)
+    worded = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang", T.words(F.col("text")).alias("w")).checkpoint()
+    grams = worded.select("id", "lang", F.array_distinct(T.ngrams(F.col("w"), 5)).alias("grams")).checkpoint()
+    return dedup.jaccard_pairs(grams, 0.82, ["lang"])
+
+
+@query(f"""
+WITH g AS (SELECT doc_id, lang, list_distinct({_grams_sql(5)}) AS g FROM (SELECT doc_id, lang, {_WORDS} AS w FROM documents) WHERE len(w) >= 5),
+e AS (SELECT doc_id, lang, len(g) AS n, unnest(g) AS gram FROM g)
+SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS jaccard
+FROM e a JOIN e b ON a.gram = b.gram AND a.lang = b.lang AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.82""")
+def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents of one language whose sets of word 5-grams have Jaccard similarity 0.82 or more."""
+    return _near_pairs(spark, sf_dir).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query()
+def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accept-dependent near-duplicate removal: documents under 20 words are rejected later and block nothing."""
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), (T.word_count(F.col("text")) < 20).alias("blocked"))
+    return dedup.greedy_first(rows, _near_pairs(spark, sf_dir).select(F.col("a").alias("earlier"), F.col("b").alias("later")))
+
+
+@query(f"""
+SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY o, doc_id) AS r2 FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY o, doc_id) AS r1 FROM (
+    SELECT doc_id, source, lang, md5('{SEED}:' || source || ':' || doc_id) AS o FROM documents)) WHERE r1 <= 8) WHERE r2 <= 20""")
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most 8 documents of a language and 20 in all of each source, in hash order."""
+    d = _docs(spark, sf_dir).select("doc_id", "source", "lang")
+    return sampling.capped(d, "source", "lang", 8, 20, SEED, "doc_id")
+
+
+@query(f"""
+SELECT doc_id, lang, CASE WHEN r <= CASE WHEN n <= 1 THEN 0 ELSE least(n - 1, greatest(1, round_even(n * 0.02, 0))) END THEN 'val' ELSE 'train' END AS split
+FROM (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY md5('{SEED}:' || lang || ':' || doc_id), doc_id) AS r FROM documents)""")
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.stratified_split(_docs(spark, sf_dir).select("doc_id", "lang"), "lang", "doc_id", 0.02, SEED)
+
+
+@query(f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('{SEED}:' || lang || ':' || doc_id), doc_id) AS r FROM documents) WHERE r <= 5")
+def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_per_group(_docs(spark, sf_dir).select("doc_id", "lang"), "lang", "doc_id", 5, SEED)
+
+
+@query(f"""
+SELECT doc_id, lang, row_number() OVER (ORDER BY i, lang) - 1 AS position, (row_number() OVER (ORDER BY i, lang) - 1) // 100 AS shard
+FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('{SEED}:' || lang || ':' || doc_id), doc_id) AS i FROM documents)""")
+def interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.interleaved_shards(_docs(spark, sf_dir).select("doc_id", "lang"), "lang", "doc_id", 100, SEED)
+
+
+@query("""
+SELECT d.doc_id, l.doc_id IS NOT NULL AS scored, l.doc_id IS NULL OR (l.toxic = 0 AND (5 * l.quality + 5 * (1 - l.toxic)) / 2 >= 4) AS passed
+FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def score_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents joined with their scores, and whether these let them pass."""
+    five = lambda c: (c * 5).cast("double")
+    scores = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.create_map(F.lit("quality"), five(F.col("quality")), F.lit("safety"), five(1 - F.col("toxic"))).alias("scores"))
+    joined = _docs(spark, sf_dir).select("doc_id").join(scores, "doc_id", "left")
+    return joined.select("doc_id", F.col("scores").isNotNull().alias("scored"), rules.score_pass(F.col("scores")).alias("passed"))
+
+
+_TASKS = "[" + ", ".join(f"'{t}'" for t in (*K.TASK_TYPES, "other")) + "]"
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'missing_fields' WHEN doc_id % 10 = 9 THEN 'invalid_task_type' WHEN lang <> 'en' THEN 'invalid_language'
+  WHEN trim(text) = '' THEN 'empty_output' END AS reason FROM documents""")
+def row_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw JSON rows made of the documents, by the first structural rule that each breaks."""
+    from .sources.jsonl import ROW
+
+    task = F.element_at(F.array(*map(F.lit, (*K.TASK_TYPES, "other"))), (F.col("doc_id") % 10 + 1).cast("int"))
+    given = F.when(F.col("doc_id") % 7 != 0, "")
+    raw = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), "source", task.alias("task_type"), F.lit(INSTRUCTION).alias("instruction"), given.alias("input"), F.col("text").alias("output"), F.col("lang").alias("language"), F.struct(F.lit(1).alias("v")).alias("metadata")))
+    parsed = _docs(spark, sf_dir).select("doc_id", raw.alias("value")).select("doc_id", F.from_json("value", ROW).alias("row"), F.json_object_keys("value").alias("keys"), F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), "$.metadata", "variant")).startswith("OBJECT").alias("meta"))
+    return parsed.select("doc_id", rules.raw_row(F.col("keys"), F.col("row"), F.lit(None).cast("string"), F.coalesce("meta", F.lit(False))).alias("reason"))
+
+
+@query("""
+WITH v AS (SELECT lang, list_sort(list(n_chars)) AS l FROM documents GROUP BY lang)
+SELECT lang, len(l) AS n, l[1] AS least, l[len(l)] AS most, round_even(list_avg(l), 3) AS mean, round_even(list_median(l), 3) AS median, l[floor(0.9 * (len(l) - 1))::BIGINT + 1]::DOUBLE AS p90 FROM v""")
+def length_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.numbers(_docs(spark, sf_dir), F.col("n_chars"), ["lang"])
+
+
+@query(f"SELECT opening, count(*) AS n FROM (SELECT doc_id, array_to_string({_WORDS}[1:3], ' ') AS opening, len({_WORDS}) AS k FROM documents) WHERE k >= 3 GROUP BY 1 ORDER BY n DESC, min(doc_id), opening LIMIT 20")
+def common_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    openings = _docs(spark, sf_dir).select("doc_id", T.opening(F.col("text"), 3).alias("opening")).where("opening IS NOT NULL")
+    return profile.most_common(openings, "opening", "doc_id", 20)
+
+
+@query("SELECT name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS name FROM documents) WHERE regexp_full_match(name, '[A-Z][a-z]{2,}') AND name NOT IN (" + ", ".join(f"'{x}'" for x in K.NOT_NAMES) + ") GROUP BY 1 ORDER BY n DESC, min(doc_id), name LIMIT 30")
+def common_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _docs(spark, sf_dir).select("doc_id", F.explode(T.names(F.col("text"))).alias("name"))
+    return profile.most_common(found, "name", "doc_id", 30)
+
+
+@query("SELECT 'lang' AS dim, lang AS key, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source")
+def grouped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.grouped_counts(_docs(spark, sf_dir), ["lang", "source"])
+
+
+@query(f"""
+SELECT doc_id, len({_WORDS}) AS n_words, round(len(list_distinct({_WORDS})) / nullif(len({_WORDS}), 0), 6) AS unique_ratio,
+  len(regexp_extract_all(text, '[0-9]')) AS n_digits, regexp_matches(text, '(?i)https?://|www\\.') AS has_url,
+  regexp_matches(text, '[A-Za-z]{{14,}}|(?i)[bcdfghjklmnpqrstvwxyz]{{5,}}') AS weird, sha256({_KEY}) AS key_hash FROM documents""")
+def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("text")
+    worded = _docs(spark, sf_dir).select("doc_id", "text", T.words(x).alias("w"))
+    return worded.select("doc_id", F.size("w").cast("long").alias("n_words"), F.round(T.unique_ratio(F.col("w")), 6).alias("unique_ratio"), T.digits(x).cast("long").alias("n_digits"), T.has_url(x).alias("has_url"), T.weird_nonword(x).alias("weird"), T.output_hash(x).alias("key_hash"))
+
+
+@query(f"""
+WITH p AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, '{K.USER}' || chr(10) || {_STRIP.format('text')} || chr(10) || chr(10) || '{K.ASSISTANT}' || chr(10) || t2 || '{K.END}' AS sample FROM p WHERE role = 'user' AND r2 = 'assistant'""")
+def chat_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User and assistant turns that follow each other, as training texts."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    pairs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("*", F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("answer")).where("role = 'user' AND next_role = 'assistant'")
+    return pairs.select("conv_id", "turn", F.concat(T.chat_prompt(F.col("text"), F.lit("")), "answer", F.lit(K.END)).alias("sample"))
+
+
+@query("""
+WITH c AS (SELECT doc_id, list_transform(range(1, least(n_chars, 40)::BIGINT + 1), lambda i: ord(text[i:i])::BIGINT) AS p, list_transform(range(1, least(n_chars, 20)::BIGINT + 1), lambda i: ord(text[i:i])::BIGINT) AS o FROM documents WHERE n_chars > 0)
+SELECT doc_id, array_to_string(list_concat(p, o[1:len(o) - 1]), ',') AS input_ids, array_to_string(list_concat(list_transform(p[2:], lambda x: -100::BIGINT), o), ',') AS labels FROM c""")
+def masked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shifted inputs and masked labels; ids are the code points of a text's first characters."""
+    codes = lambda n: F.transform(F.split(F.substring("text", 1, n), ""), lambda c: F.expr("0").cast("long") + F.ascii(c))
+    d = _docs(spark, sf_dir).where("n_chars > 0").select("doc_id", codes(40).alias("p"), codes(20).alias("o"))
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return d.select("doc_id", text(tokens.input_ids(F.col("p"), F.col("o"))).alias("input_ids"), text(tokens.labels(F.col("p"), F.col("o"))).alias("labels"))

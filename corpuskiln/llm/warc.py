@@ -3,7 +3,7 @@
 Headers alone (id, size, SHA-1 of the payload) are shuffled by digest to find each digest's original, the largest id
 among the rows with that payload; the decision then joins the pages by id, and records are written with fresh headers:
 a response with its payload, or a revisit that names the original and carries no payload.  Archives are written by
-Spark's own text writer, one file a partition, gzip, with the record separator of the format (two line ends) as line
+Spark's own text writer, one file or more a partition, gzip, with the record separator of the format (two line ends) as line
 separator, so task retries and lost executors follow Spark's commit protocol and any file system of Spark's will do.
 
 ``read_archive`` streams the files back by the length that each record states, and ``resolve`` joins revisits to the
@@ -75,10 +75,13 @@ def records(pages: DataFrame, least: int = LEAST, date: str = DATE) -> DataFrame
 
 
 def write_archive(pages: DataFrame, path: str, least: int = LEAST, date: str = DATE) -> None:
-    """WARC files (gzip) of all pages below ``path``; spread evenly, so that a file's size is bounded."""
-    size = pages.agg(F.sum(F.octet_length("html"))).collect()[0][0] or 0
-    spread = records(pages, least, date).repartition(max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))
-    spread.write.option("compression", "gzip").option("lineSep", "\r\n\r\n").text(path)
+    """WARC files (gzip) of all pages below ``path``, cut at so many records that a file's size is bounded on average.
+
+    Records are written where the join left them; dealing payloads out once more would only cost a shuffle.
+    """
+    size, n = pages.agg(F.sum(F.octet_length("html")), F.count("*")).collect()[0]
+    most = max(1, FILE_BYTES * n // max(size or 0, 1)) if n else 1
+    records(pages, least, date).write.option("compression", "gzip").option("maxRecordsPerFile", min(most, 1_000_000)).option("lineSep", "\r\n\r\n").text(path)
 
 
 def _inflated(content: bytes) -> Iterator[bytes]:

@@ -6,11 +6,15 @@ both lie on D.  Only anchors at those places are hashed and shuffled (5 of every
 that occur twice are then extended: the windows around them, and no others, are hashed in full (96 bits) and
 compared, which decides exactly.
 
+Equal texts are brought together first, one row a text with the number of its copies (a task sends each text once):
+all windows of a text with copies are repeats, and only distinct texts are searched for shared windows.
+
 Skew: each task first combines its own equal hashes, so a passage that a third of all documents hold reaches the
-shuffle once a task, not once an occurrence.
+shuffle once a task, not once an occurrence.  The last join, by text, has no aggregation over it, so adaptive execution
+may split a text with very many copies over tasks.
 
 Defined results: null texts have no words; texts shorter than a window lose nothing; repeated rows are occurrences of
-their own, so all their windows are removed; rows of equal id are told apart by their text; other columns pass through
+their own, so all their windows are removed; ids are not looked at; other columns pass through
 ``remove_repeats`` unchanged; a text that loses nothing is unchanged, else its kept words are joined by one space; an
 empty table gives an empty table.
 """
@@ -35,6 +39,8 @@ COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31:
 LEAST_ANCHOR = 12
 #: Hashes that a task combines at once.
 COMBINE = 2_000_000
+#: In the place of starts: every window of the text occurs elsewhere too.
+ALL = -1
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -42,11 +48,12 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     return max(((v, d) for v, d in COVERS.items() if window - v + 1 >= LEAST_ANCHOR), default=(1, (0,)))
 
 
-def _combined(h1: np.ndarray, h2: np.ndarray, more: dict[str, np.ndarray]) -> pd.DataFrame:
+def _combined(h1: np.ndarray, h2: np.ndarray, quiet: np.ndarray, more: dict[str, np.ndarray]) -> pd.DataFrame:
     """Rows (h1, h2, n, ...) for a shuffle that counts each hash; kept narrow, as there may be one for each word.
 
     A hash that occurs once here keeps its place (n = 1); one that occurs more often is sent once, without a place
-    (n = -2), and its places go along as known repeats, each under a key of its own (n = 2).
+    (n = -2), and its places go along as known repeats, each under a key of its own (n = 2).  Where ``quiet``, a hash
+    counts for others but its place is not asked for (n = -1).
     """
     n = len(h1)
     order = np.lexsort((h2, h1))
@@ -54,11 +61,12 @@ def _combined(h1: np.ndarray, h2: np.ndarray, more: dict[str, np.ndarray]) -> pd
     first, last = np.concatenate([np.ones(min(n, 1), bool), ~same]), np.concatenate([~same, np.ones(min(n, 1), bool)])
     repeated = np.zeros(n, bool)
     repeated[order] = ~(first & last)
-    known, sent = np.flatnonzero(repeated), order[first & ~last]
-    a, b = np.concatenate([h1, h1[sent]]), np.concatenate([h2, h2[sent]])
-    a[known] = mix(a[known] ^ mix(known.astype("u8") + np.uint64(1)))
-    count = np.concatenate([np.where(repeated, 2, 1), np.full(len(sent), -2)]).astype("i1")
-    return pd.DataFrame({"h1": a.view("i8"), "h2": b.view("i4"), "n": count} | {k: np.concatenate([v, v[sent]]) for k, v in more.items()})
+    once, known, sent = np.flatnonzero(~repeated), np.flatnonzero(repeated & ~quiet), order[first & ~last]
+    rows = np.concatenate([once, known, sent])
+    a, b = h1[rows], h2[rows]
+    a[len(once) : len(once) + len(known)] = mix(h1[known] ^ mix(known.astype("u8") + np.uint64(1)))
+    count = np.concatenate([np.where(quiet[once], -1, 1), np.full(len(known), 2), np.full(len(sent), -2)]).astype("i1")
+    return pd.DataFrame({"h1": a.view("i8"), "h2": b.view("i4"), "n": count} | {k: v[rows] for k, v in more.items()})
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -70,8 +78,20 @@ def _places(firsts: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.arange(n) - firsts[:-1][doc]
 
 
-def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """key, place of every anchor that occurs elsewhere too; key is a hash of id and text."""
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """key, key2 (64 and 32 bits of hash), copies, text: a row for each distinct text."""
+    text = whole_text()
+    keyed = docs.select(F.xxhash64(text).alias("key"), F.hash(text).alias("key2"), text.alias("text"))
+    return materialize(keyed.groupBy("key", "key2").agg(F.count("*").alias("copies"), F.first("text").alias("text")), "texts")
+
+
+def _where(pdf: pd.DataFrame, doc: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
+    """The text (key, and key2 in the upper half of place) and place of each hash, as narrow columns."""
+    return {"key": pdf["key"].to_numpy("i8")[doc], "place": pdf["key2"].to_numpy("i8")[doc] << 32 | place}
+
+
+def _anchors(texts: DataFrame, window: int) -> DataFrame:
+    """key, key2, place of every anchor that occurs elsewhere too among distinct texts."""
     period, cover = cover_for(window)
     length = window - period + 1
     on = np.zeros(period, bool)
@@ -84,17 +104,17 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
         def flush() -> pd.DataFrame:
             h, k, p = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return _combined(h, np.zeros(len(h), "u4"), {"key": k, "place": p})
+            return _combined(h, np.zeros(len(h), "u4"), np.zeros(len(h), bool), {"key": k, "place": p})
 
         for pdf in sliced(batches, "text"):
-            texts = [t.encode() for t in pdf["text"]]
-            words, firsts = word_hashes(texts, WHITE)
+            words, firsts = word_hashes([t.encode() for t in pdf["text"]], WHITE)
             hashes = run_hashes(words, length)
-            doc = np.repeat(np.arange(len(texts)), np.diff(firsts))[: len(hashes)]
+            doc = np.repeat(np.arange(len(pdf)), np.diff(firsts))[: len(hashes)]
             place = _places(firsts, doc, len(hashes))
             # an anchor serves only if some whole window of its document holds it
             at = np.flatnonzero(on[place % period] & (place + length <= np.diff(firsts)[doc]) & (np.diff(firsts)[doc] >= window))
-            held.append((hashes[at], pdf["key"].to_numpy("i8")[doc[at]], place[at].astype("i4")))
+            where = _where(pdf, doc[at], place[at])
+            held.append((hashes[at], where["key"], where["place"]))
             size += len(at)
             if size >= COMBINE:
                 size = 0
@@ -102,44 +122,41 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
         if held:
             yield flush()
 
-    text = whole_text()
-    rows = docs.select(F.xxhash64("doc_id", text).alias("key"), text.alias("text")).mapInPandas(run, "h1 long, h2 int, n byte, key long, place int")
-    return _repeated(rows).select("key", "place")
+    return _placed(_repeated(texts.select("key", "key2", "text").mapInPandas(run, "h1 long, h2 int, n byte, key long, place long")))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.select("key", F.shiftright("place", 32).cast("int").alias("key2"), F.col("place").bitwiseAND((1 << 31) - 1).cast("int").alias("place"))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash (32 bits), starts: of the windows whose words occur elsewhere too."""
+    """key, key2, starts: of each distinct text, the windows whose words occur elsewhere too (ALL: each one)."""
     period, _ = cover_for(window)
-    near = _anchors(docs, window).groupBy("key").agg(F.collect_list("place").alias("places"))
-    near = materialize(near, "anchors")
-    text = whole_text()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    base = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
+    texts = distinct_texts(docs)
+    near = materialize(_anchors(texts, window).groupBy("key", "key2").agg(F.collect_list("place").alias("places")), "anchors")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pd.DataFrame:
-            h1, h2, ids, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            h1, h2, quiet, key, place = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return _combined(h1, h2, {"doc_id": ids, "place": place})
+            return _combined(h1, h2, quiet, {"key": key, "place": place})
 
         for pdf in sliced(batches, "text"):
-            texts = [t.encode() for t in pdf["text"]]
-            words, firsts = word_hashes(texts, WHITE)
+            words, firsts = word_hashes([t.encode() for t in pdf["text"]], WHITE)
             steps = np.zeros(len(words) + 1, "i4")
             for i, places in enumerate(pdf["places"]):
                 p = firsts[i] + np.asarray(places, "i8")
                 np.add.at(steps, np.maximum(p - period + 1, firsts[i]), 1)
                 np.add.at(steps, p + 1, -1)
             h1, h2 = run_hashes(words, window), run_hashes(words, window, OTHER_BASE)
-            doc = np.repeat(np.arange(len(texts)), np.diff(firsts))[: len(h1)]
+            doc = np.repeat(np.arange(len(pdf)), np.diff(firsts))[: len(h1)]
             place = _places(firsts, doc, len(h1))
             at = np.flatnonzero((np.cumsum(steps)[: len(h1)] > 0) & (place + window <= np.diff(firsts)[doc]))
-            # rows of equal id are told apart by 32 bits of their text's hash, kept beside the place
-            where = (pdf["text_hash"].to_numpy("i8")[doc[at]] >> 32 << 32) | place[at]
-            held.append((h1[at], (h2[at] >> np.uint64(32)).astype("u4"), pdf["doc_id"].to_numpy()[doc[at]], where))
+            where = _where(pdf, doc[at], place[at])
+            held.append((h1[at], (h2[at] >> np.uint64(32)).astype("u4"), pdf["copies"].to_numpy("i8")[doc[at]] > 1, where["key"], where["place"]))
             size += len(at)
             if size >= COMBINE:
                 size = 0
@@ -147,36 +164,41 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if held:
             yield flush()
 
-    found = base.join(near, "key").select("doc_id", "text_hash", "text", "places").mapInPandas(run, f"h1 long, h2 int, n byte, doc_id {kind}, place long")
-    placed = _repeated(found).select("doc_id", F.shiftright("place", 32).cast("int").alias("text_hash"), F.col("place").bitwiseAND((1 << 31) - 1).cast("int").alias("start"))
-    return materialize(placed.groupBy("doc_id", "text_hash").agg(F.collect_list("start").alias("starts")), "windows")
+    found = texts.join(near, ["key", "key2"]).select("key", "key2", "copies", "text", "places").mapInPandas(run, "h1 long, h2 int, n byte, key long, place long")
+    shared = materialize(_placed(_repeated(found)).groupBy("key", "key2").agg(F.collect_list("place").alias("starts")), "windows")
+    return shared.unionByName(texts.where("copies > 1").select("key", "key2", F.array(F.lit(ALL)).alias("starts")))
 
 
 def _with_starts(docs: DataFrame, window: int) -> DataFrame:
     """``docs`` with _starts (null if no window repeats)."""
-    starts = repeated_windows(docs, window).withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash", "starts": "_starts"})
+    starts = repeated_windows(docs, window).withColumnsRenamed({"key": "_key", "key2": "_key2", "starts": "_starts"})
     release(docs.sparkSession)
-    joined = docs.join(starts, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.shiftright(F.xxhash64(whole_text()), 32).cast("int") == F.col("_text_hash")), "left")
-    return joined.drop("_doc_id", "_text_hash")
+    joined = docs.join(starts, (F.xxhash64(whole_text()) == F.col("_key")) & (F.hash(whole_text()) == F.col("_key2")), "left")
+    return joined.drop("_key", "_key2")
 
 
 def _kept(words: list[bytes], starts: np.ndarray, window: int) -> list[bytes]:
+    if starts[0] == ALL:
+        starts = np.arange(len(words) - window + 1)
     steps = np.zeros(len(words) + 1, "i4")
     np.add.at(steps, starts, 1)
     np.add.at(steps, starts + window, -1)
     return [words[i] for i in np.flatnonzero(np.cumsum(steps)[:-1] == 0)]
 
 
+def _without(text: str, starts: np.ndarray, window: int) -> str:
+    words = text.encode().split()
+    kept = _kept(words, np.asarray(starts, "i8"), window)
+    return text if len(kept) == len(words) else b" ".join(kept).decode()
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the words of windows that occur elsewhere too; n_chars, where present, follows."""
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            new = [
-                t if s is None or t is None else b" ".join(_kept(t.encode().split(), np.asarray(s, "i8"), window)).decode()
-                for t, s in zip(pdf["text"], pdf["_starts"], strict=True)
-            ]
+            new = [t if s is None or t is None else _without(t, s, window) for t, s in zip(pdf["text"], pdf["_starts"], strict=True)]
             yield pdf.drop(columns="_starts").assign(text=pd.Series(new, pdf.index, dtype=object))
 
     out = _with_starts(docs, window).mapInPandas(run, kinds)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -41,14 +42,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     release(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of plans that nothing refers to any more, before the next large step."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner remove shuffle files of plans that nothing refers to any more, before the next large step.
+
+    Twice, with a pause: the listeners of the last query hold its plan until they have been told of its end.
+    """
+    for _ in range(2):
+        time.sleep(0.5)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -145,6 +145,15 @@ def test_substring(docs, window):
     assert sorted(got, key=str) == sorted(wanted, key=str)
 
 
+def test_copies_in_the_filter(spark):
+    """Short copies keep their white space; all of a long copy goes, also where another text holds part of it."""
+    long = prose(60)
+    texts = [" two  words\n", " two  words\n", long, long, "before " + " ".join(long.split()[:40]), None]
+    docs = spark.createDataFrame([(i, t, "kept") for i, t in enumerate(texts)], "doc_id long, text string, key string")
+    got = {r["doc_id"]: (r["text"], r["key"]) for r in rows(substring.remove_repeats(docs))}
+    assert got == {i: (t, "kept") for i, t in enumerate([" two  words\n", " two  words\n", "", "", "before", None])}
+
+
 def test_covers():
     for period, cover in substring.COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))

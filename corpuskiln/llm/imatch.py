@@ -37,12 +37,17 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
+def part(term: Column) -> Column:
+    """Which of the PARTS a term falls into."""
+    return F.pmod(F.xxhash64(term, F.lit(17)), F.lit(PARTS)).cast("int")
+
+
 def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> DataFrame:
     """term, part: the terms within the band of document frequency, and the sub-lexicon of each."""
     total = docs.count()
     counts = docs.select(F.explode(terms(whole_text())).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     band = counts.where((F.col("n") >= max(LEAST_DOCUMENTS, total / rare)) & (F.col("n") <= max(LEAST_DOCUMENTS, total / common)))
-    return materialize(band.select("term", F.pmod(F.xxhash64("term", F.lit(17)), F.lit(PARTS)).cast("int").alias("part")).where(F.col("part") < SUBSETS), "lexicon")
+    return materialize(band.select("term", part(F.col("term")).alias("part")).where(F.col("part") < SUBSETS), "lexicon")
 
 
 def _hash(found: Column, k: int) -> Column:
@@ -68,7 +73,7 @@ def fingerprints(rows: DataFrame, words: DataFrame, columns: list[str], kept: li
     """``kept`` columns of ``rows``, which together tell rows apart, with ``<name>_fingerprint`` for each text column.
 
     Each text's distinct terms are exploded and met with the lexicon in the same task (a broadcast where its size
-    allows), so what reaches the shuffle is one row a document, without its texts.  A mark that the lexicon holds keeps
+    allows; terms of unused parts go before), so what reaches the shuffle is one row a document, without its texts.  A mark that the lexicon holds keeps
     rows without lexicon terms.
     """
     spark = rows.sparkSession
@@ -82,7 +87,7 @@ def fingerprints(rows: DataFrame, words: DataFrame, columns: list[str], kept: li
     both = F.concat(mark, *[side(i, F.col(c)) for i, c in enumerate(columns)])
     whole = [F.substring(F.sha2(c, 256), 1, 16).alias(f"_whole{i}") for i, c in enumerate(columns)]
     found = rows.select(*kept, *whole, F.explode(both).alias("x")).select(*kept, *[f"_whole{i}" for i in range(len(columns))], "x.side", "x.term")
-    found = found.join(marked if many else F.broadcast(marked), "term")
+    found = found.where((F.col("side") < 0) | (part(F.col("term")) < SUBSETS)).join(marked if many else F.broadcast(marked), "term")
     sets = [F.sort_array(F.collect_set(F.when(F.col("side") == i, F.struct("part", "term")))).alias(f"_found{i}") for i in range(len(columns))]
     grouped = found.groupBy(*kept, *[f"_whole{i}" for i in range(len(columns))]).agg(*sets)
     return grouped.select(*kept, *[fingerprint_column(F.col(f"_found{i}"), F.col(f"_whole{i}")).alias(f"{c}_fingerprint") for i, c in enumerate(columns)])

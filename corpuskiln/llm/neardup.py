@@ -149,12 +149,13 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _meetings(stars: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """hub, gram, node, size, shared: where nodes of different components around a hub may meet; none similar enough is lost.
+    """hub, gram, node, size, shared, left: where nodes of different components around a hub may meet; none similar enough is lost.
 
     ``stars`` has hub (a), node (b), their sizes, how many shingles they share, and the node's rest.  Jaccard
     similarity t needs t / (1 + t) * (sum of sizes) shared shingles.  Two nodes share at most min(shared with the hub)
     of the hub's shingles; what is missing must be shared by their rests, so their rests meet in the rarest part of
     each, ordered by how many rests of the hub hold a shingle (prefix filter).  Rests of independent edits hardly meet.
+    ``left`` counts the rest's shingles from this one on: two nodes that meet here first share no more of their rests.
     Where nothing can be missing, nodes meet in a null gram.
     """
     need = threshold / (1 + threshold)
@@ -166,24 +167,28 @@ def _meetings(stars: DataFrame, labels: DataFrame, threshold: float) -> DataFram
     spread = mixed.where(F.size("rest") >= F.col("missing")).select("hub", "node", "size", "shared", (F.size("rest") - F.greatest("missing", F.lit(1)) + 1).alias("prefix"), F.explode("rest").alias("gram"))
     common = spread.groupBy("hub", "gram").agg(F.count("*").alias("n"))
     ordered = spread.join(common, ["hub", "gram"]).withColumn("place", F.row_number().over(Window.partitionBy("hub", "node").orderBy("n", "gram")))
-    return materialize(free.unionByName(ordered.where("n > 1 AND place <= prefix").select("hub", "gram", "node", "size", "shared")), "meetings")
+    left = (F.col("size") - F.col("shared") - F.col("place") + 1).alias("left")
+    met = free.withColumn("left", F.lit(0)).unionByName(ordered.where("n > 1 AND place <= prefix").select("hub", "gram", "node", "size", "shared", left))
+    return materialize(met, "meetings")
 
 
 def _met(meetings: DataFrame, labels: DataFrame, threshold: float, star: bool) -> DataFrame:
     """Pairs (a, b) of different components that meet: with each meeting's least node, or all outside the hub's largest component with all others.
 
-    Two nodes share at most the lesser number of the hub's shingles and the lesser number of their rests; in a null gram
-    the former alone must do, as nodes that need a shared rest also meet in one of its shingles.
+    Two nodes share at most the lesser number of the hub's shingles and, where they meet first in the order of the rests,
+    the lesser number of what is left of their rests (positional filter: a pair that is similar enough passes at its
+    first meeting at the latest).  In a null gram the former alone must do, as nodes that need a shared rest also meet
+    in one of its shingles.
     """
     named = _labelled(meetings, labels)
     if star:
-        one = named.groupBy("hub", "gram").agg(F.min(F.struct("node", "label", "size", "shared")).alias("x")).select("hub", "gram", *[F.col(f"x.{c}").alias(f"{c}_a") for c in ("node", "label", "size", "shared")])
+        one = named.groupBy("hub", "gram").agg(F.min(F.struct("node", "label", "size", "shared", "left")).alias("x")).select("hub", "gram", *[F.col(f"x.{c}").alias(f"{c}_a") for c in ("node", "label", "size", "shared", "left")])
         other = F.lit(True)
     else:
-        one = named.where("label <> largest").select("hub", "gram", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "size", "shared")])
+        one = named.where("label <> largest").select("hub", "gram", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "size", "shared", "left")])
         other = (F.col("label") == F.col("largest")) | (F.col("node_a") < F.col("node"))
     fits = F.least("size_a", "size") >= F.lit(threshold) * F.greatest("size_a", "size") - 1e-9
-    most = F.least("shared_a", "shared") + F.when(one["gram"].isNull(), 0).otherwise(F.least(F.col("size_a") - F.col("shared_a"), F.col("size") - F.col("shared")))
+    most = F.least("shared_a", "shared") + F.when(one["gram"].isNull(), 0).otherwise(F.least("left_a", "left"))
     fits &= most >= F.lit(threshold / (1 + threshold)) * (F.col("size_a") + F.col("size")) - 1e-9
     same = (one["hub"] == named["hub"]) & one["gram"].eqNullSafe(named["gram"])
     joined = one.join(named, same & (F.col("label_a") != F.col("label")) & other & fits)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuskiln.functions import text as T
-from corpuskiln.operators import dedup, profile, rules, sampling, tokens
+from corpuskiln.operators import dedup, evaluation, profile, rules, sampling, tokens
 from corpuskiln.sources import jsonl
 
 
@@ -86,3 +86,23 @@ def test_features(spark):
     assert value(spark, tokens.input_ids(p, o)) == [1, 2, 3, 7]
     assert value(spark, tokens.labels(p, o)) == [-100, -100, 7, 8]
     assert [(list(r.x), list(r.y)) for r in value(spark, tokens.blocks(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda x: x.cast("long")), 2))] == [([1, 2], [2, 3]), ([3, 4], [4, 5])]
+
+
+def scored(spark, rows):
+    df = spark.createDataFrame(rows, "who string, id string, category string, flags array<string>")
+    df = df.withColumn("severity", evaluation.severity(F.col("flags"), F.array_contains("flags", "critical_safety_fail")))
+    return df.withColumn("score", evaluation.score(F.col("severity")))
+
+
+def test_evaluation(spark):
+    clean = [("a", str(i), "simple_explanation", []) for i in range(10)]
+    rows = scored(spark, [*clean, ("b", "1", "simple_qa", ["simple_qa_fail"]), ("b", "2", "simple_qa", ["as_ai_phrase"]), ("c", "1", "safety_kindness", ["critical_safety_fail"]), ("c", "2", "simple_list", ["other"])])
+    assert [(r.severity, r.score) for r in rows.where("who <> 'a'").orderBy("who", "id").collect()] == [("major", 0), ("minor", 1), ("critical", -1), ("ok", 2)]
+    found = evaluation.decision(rows, ["who"])
+    assert {r.who: r.decision for r in found.collect()} == {"a": "PASS_DEMO", "b": "NEEDS_TARGETED_CORRECTION", "c": "NO_GO"}
+    ranked = evaluation.rank_candidates(found, "who").orderBy("rank").collect()
+    assert [(r.who, r.trainable, r.continue_from) for r in ranked] == [("a", True, True), ("b", True, False), ("c", False, False)]
+    assert [(r.who, r.id) for r in evaluation.errors(rows).collect()] == [("c", "1"), ("b", "1")]
+    assert {(r.bucket, r.n, tuple(r.ids)) for r in evaluation.data_needs(rows, "id").collect()} == {("simple_qa_hard", 1, ("1",)), ("safety_refusal_hard", 1, ("1",))}
+    empty = evaluation.decision(rows.limit(0), []).first()
+    assert (empty.total, empty.total_score, empty.average_score, empty.decision) == (0, 0, 0.0, "PASS_DEMO")

@@ -49,7 +49,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: A trained machine, banding and a tokenizer can't be said in SQL; a brute-force test of the whole run is still to be written.
+#: A trained machine, banding and a tokenizer can't be said in SQL; tests/llm/test_pipeline.py goes through the stages.
 ORACLE_SQL = None
 
 

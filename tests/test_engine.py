@@ -106,3 +106,12 @@ def test_evaluation(spark):
     assert {(r.bucket, r.n, tuple(r.ids)) for r in evaluation.data_needs(rows, "id").collect()} == {("simple_qa_hard", 1, ("1",)), ("safety_refusal_hard", 1, ("1",))}
     empty = evaluation.decision(rows.limit(0), []).first()
     assert (empty.total, empty.total_score, empty.average_score, empty.decision) == (0, 0, 0.0, "PASS_DEMO")
+
+
+def test_heuristic_rates(spark):
+    names = ("story_collapse_non_story", "loop_detected", "list_format_fail", "identity_fail", "too_long_non_story", "as_ai_phrase", "safety_risk")
+    rows = [("simple_list", {"loop_detected", "list_format_fail"}), ("simple_list", set()), ("identity_chat", {"identity_fail"}), ("story_request", {"loop_detected"})]
+    df = spark.createDataFrame([(c, tuple(n in held for n in names)) for c, held in rows], "category string, heuristics struct<" + ", ".join(f"{n}: boolean" for n in names) + ">")
+    r = evaluation.heuristic_rates(df, []).first()
+    assert (r.total, r.loop_rate, r.list_format_fail_rate, r.identity_fail_rate, r.too_long_rate, r.as_ai_phrases) == (4, 0.5, 0.5, 1.0, 0.0, 0)
+    assert evaluation.heuristic_rates(df.limit(0), []).first().loop_rate == 0.0

@@ -4,9 +4,12 @@ Terms are runs of letters or digits, lower case.  The lexicon is the band of ter
 ``1 / RARE`` and at most ``1 / COMMON`` of all documents (a band of inverse document frequency).  Its size is bounded
 whatever the corpus: every document adds its distinct terms once, and a term needs 1 / RARE of the documents, so there
 are at most RARE x (distinct terms a document) of them.  The lexicon is broadcast only after its size was counted;
-above ``BROADCAST_TERMS`` it is joined by shuffle.  It falls at random into ``PARTS``, of which ``SUBSETS`` serve as
-sub-lexicons; a document's fingerprint is, for each, a hash of its sorted distinct terms in it.  Many small sub-lexicons, rather than a few large
-ones, leave some hashes unchanged when part of a text changes.
+above ``BROADCAST_TERMS`` it is joined by shuffle.  All of it falls at random into ``PARTS`` disjoint sub-lexicons, so
+that every term of the band takes part: any change of a text's set of terms changes its fingerprint.  ``EXTRA`` smaller
+sub-lexicons, of shares that halve from 1 / 64 to 1 / 8192, hold some of the terms once more; they leave hashes
+unchanged when part of a long text, which fills every part, changes.  A document's fingerprint is, for each
+sub-lexicon, a hash of the set of its terms in it (the exclusive or of the terms' 64-bit hashes, of which 32 bits stay).
+Terms meet the lexicon by their 64-bit hashes.
 
 Likeness of two fingerprints is the share of sub-lexicons with equal hashes among those in which either has a term;
 if neither has any, 1 if the fingerprints (which then hold a hash of all terms) are equal, else 0.
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import materialize, whole_text
 
 RARE, COMMON = 2000, 3
-#: Sub-lexicons, of PARTS equal parts into which the lexicon falls at random.
-SUBSETS, PARTS = 48, 128
+#: Disjoint sub-lexicons that the lexicon falls into, and smaller ones besides, EXTRA_A_SHARE of each share.
+PARTS, EXTRA, EXTRA_A_SHARE = 8, 56, 7
 BROADCAST_TERMS = 1_000_000
 #: Fewer documents than this many make a term too rare, however small the table.
 LEAST_DOCUMENTS = 2
@@ -37,60 +40,75 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
-def part(term: Column) -> Column:
-    """Which of the PARTS a term falls into."""
-    return F.pmod(F.xxhash64(term, F.lit(17)), F.lit(PARTS)).cast("int")
+def term_hash(term: Column) -> Column:
+    return F.xxhash64(term, F.lit(17))
+
+
+def part(hashed: Column) -> Column:
+    """Which of the PARTS a term falls into, from its hash."""
+    return F.pmod(hashed, F.lit(PARTS)).cast("int")
+
+
+def extra(hashed: Column) -> Column:
+    """Which of the EXTRA sub-lexicons (from PARTS on) a term falls into as well, or -1."""
+    place = F.pmod(F.shiftrightunsigned(hashed, 8), F.lit(8192 * 2)).cast("int")
+    out, end = F.lit(-1), 0
+    edges = []
+    for i in range(EXTRA):
+        end += 2 * 8192 >> (6 + i // EXTRA_A_SHARE)
+        edges.append(end)
+    for i in reversed(range(EXTRA)):
+        out = F.when(place < edges[i], PARTS + i).otherwise(out)
+    return out
 
 
 def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> DataFrame:
-    """term, part: the terms within the band of document frequency, and the sub-lexicon of each."""
+    """hash: the terms within the band of document frequency."""
     total = docs.count()
-    counts = docs.select(F.explode(terms(whole_text())).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    counts = docs.select(F.explode(terms(whole_text())).alias("term")).select(term_hash(F.col("term")).alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
     band = counts.where((F.col("n") >= max(LEAST_DOCUMENTS, total / rare)) & (F.col("n") <= max(LEAST_DOCUMENTS, total / common)))
-    return materialize(band.select("term", part(F.col("term")).alias("part")).where(F.col("part") < SUBSETS), "lexicon")
+    return materialize(band.select("hash"), "lexicon")
 
 
-def _hash(found: Column, k: int) -> Column:
-    kept = F.transform(F.filter(found, lambda x: x["part"] == k), lambda x: x["term"])
-    return F.when(F.size(kept) > 0, F.substring(F.md5(F.array_join(kept, " ")), 1, 8)).otherwise("")
+def fingerprint_column(hashes: Column, whole: Column) -> Column:
+    """The fingerprint as text; ``whole`` is a hash of the text itself, which stands for one without lexicon terms."""
+    shown = F.transform(hashes, lambda x: F.coalesce(F.lpad(F.substring(F.lower(F.hex(x)), -8, 8), 8, "0"), F.lit("")))
+    return F.concat_ws("-", F.array_join(shown, "-"), F.when(_without(hashes), whole).otherwise(""))
 
 
-def fingerprint_column(found: Column, whole: Column) -> Column:
-    """The fingerprint from a text's lexicon terms (part, term), sorted; ``whole`` is a hash of the text itself."""
-    parts = [_hash(found, k) for k in range(SUBSETS)]
-    return F.concat_ws("-", *parts, F.when(F.size(found) == 0, whole).otherwise(""))
+def _without(hashes: Column) -> Column:
+    return ~F.exists(hashes, lambda x: x.isNotNull())
 
 
-def likeness(one: Column, two: Column) -> Column:
-    a, b = F.split(one, "-"), F.split(two, "-")
-    pairs = F.slice(F.arrays_zip(a.alias("a"), b.alias("b")), 1, SUBSETS)
-    used = F.filter(pairs, lambda p: (p["a"] != "") | (p["b"] != ""))
-    equal = F.filter(used, lambda p: p["a"] == p["b"])
-    return F.when(F.size(used) > 0, F.size(equal) / F.size(used)).otherwise((one == two).cast("double"))
+def likeness(one: Column, two: Column, whole_one: Column, whole_two: Column) -> Column:
+    pairs = F.zip_with(one, two, lambda a, b: F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a == b, F.lit(False))))
+    used, equal = F.size(F.filter(pairs, lambda p: p.isNotNull())), F.size(F.filter(pairs, lambda p: p))
+    return F.when(used > 0, equal / used).otherwise((whole_one == whole_two).cast("double"))
 
 
 def fingerprints(rows: DataFrame, words: DataFrame, columns: list[str], kept: list[str]) -> DataFrame:
-    """``kept`` columns of ``rows``, which together tell rows apart, with ``<name>_fingerprint`` for each text column.
+    """``kept`` columns of ``rows``, which together tell rows apart, with ``<name>_hashes`` (one int for each sub-lexicon,
+    null where the text has none of its terms) and ``<name>_whole`` for each text column.
 
     Each text's distinct terms are exploded and met with the lexicon in the same task (a broadcast where its size
-    allows; terms of unused parts go before), so what reaches the shuffle is one row a document, without its texts.  A mark that the lexicon holds keeps
-    rows without lexicon terms.
+    allows), and fold into one row a text there.  A mark that the lexicon holds keeps rows without lexicon terms.
     """
     spark = rows.sparkSession
     many = words.count() > BROADCAST_TERMS
-    marked = words.unionByName(spark.createDataFrame([("", -1)], "term string, part int"))
-
-    def side(i: int, text: Column) -> Column:
-        return F.transform(terms(text), lambda t: F.struct(F.lit(i).alias("side"), t.alias("term")))
-
-    mark = F.array(F.struct(F.lit(-1).alias("side"), F.lit("").alias("term")))
-    both = F.concat(mark, *[side(i, F.col(c)) for i, c in enumerate(columns)])
-    whole = [F.substring(F.sha2(c, 256), 1, 16).alias(f"_whole{i}") for i, c in enumerate(columns)]
-    found = rows.select(*kept, *whole, F.explode(both).alias("x")).select(*kept, *[f"_whole{i}" for i in range(len(columns))], "x.side", "x.term")
-    found = found.where((F.col("side") < 0) | (part(F.col("term")) < SUBSETS)).join(marked if many else F.broadcast(marked), "term")
-    sets = [F.sort_array(F.collect_set(F.when(F.col("side") == i, F.struct("part", "term")))).alias(f"_found{i}") for i in range(len(columns))]
-    grouped = found.groupBy(*kept, *[f"_whole{i}" for i in range(len(columns))]).agg(*sets)
-    return grouped.select(*kept, *[fingerprint_column(F.col(f"_found{i}"), F.col(f"_whole{i}")).alias(f"{c}_fingerprint") for i, c in enumerate(columns)])
+    marked = words.unionByName(spark.range(1).select(term_hash(F.lit("")).alias("hash")))
+    sides = [F.struct(F.lit(-1).alias("side"), F.array(F.lit("")).alias("terms"))]
+    sides += [F.struct(F.lit(i).alias("side"), terms(F.col(c)).alias("terms")) for i, c in enumerate(columns)]
+    keys = [*kept, *[f"{c}_whole" for c in columns]]
+    whole = [F.substring(F.sha2(c, 256), 1, 16).alias(f"{c}_whole") for c in columns]
+    found = rows.select(*kept, *whole, F.explode(F.array(*sides)).alias("x")).select(*keys, "x.side", F.explode("x.terms").alias("term"))
+    found = found.select(*keys, "side", term_hash(F.col("term")).alias("hash")).join(marked if many else F.broadcast(marked), "hash", "left_semi")
+    placed = found.withColumns({"part": part(F.col("hash")), "extra": extra(F.col("hash"))})
+    mixed = [F.bit_xor(F.when(F.col("part" if k < PARTS else "extra") == k, F.xxhash64("hash"))).alias(f"h{k}") for k in range(PARTS + EXTRA)]
+    folded = placed.groupBy(*keys, "side").agg(*mixed)
+    hashes = F.array(*[F.shiftright(f"h{k}", 32).cast("int") for k in range(PARTS + EXTRA)])
+    none = F.array_repeat(F.lit(None).cast("int"), PARTS + EXTRA)
+    sets = [F.coalesce(F.max(F.when(F.col("side") == i, F.col("hashes"))), none).alias(f"{c}_hashes") for i, c in enumerate(columns)]
+    return folded.select(*keys, "side", hashes.alias("hashes")).groupBy(*keys).agg(*sets)
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
@@ -136,15 +154,16 @@ def fingerprint_digests(docs: DataFrame) -> DataFrame:
     words = lexicon(docs)
     rows = with_edited(docs).withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
     small = materialize(fingerprints(rows, words, ["text", "edited"], ["doc_id", "key", "number", "next_key", "n_chars", "edited_sha256"]), "fingerprints")
-    following = small.where("number = 1").select(F.col("key").alias("next_key"), F.col("text_fingerprint").alias("next_fingerprint"))
+    following = small.where("number = 1").select(F.col("key").alias("next_key"), F.col("text_hashes").alias("next_hashes"), F.col("text_whole").alias("next_whole"))
+    text, edited, after = ((F.col(f"{c}_hashes"), F.col(f"{c}_whole")) for c in ("text", "edited", "next"))
     return small.join(following, "next_key").select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "n_chars",
         "edited_sha256",
-        F.col("text_fingerprint").alias("fingerprint"),
-        "edited_fingerprint",
-        likeness(F.col("text_fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("text_fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        fingerprint_column(*text).alias("fingerprint"),
+        fingerprint_column(*edited).alias("edited_fingerprint"),
+        likeness(text[0], edited[0], text[1], edited[1]).alias("near_edited"),
+        likeness(text[0], after[0], text[1], after[1]).alias("near_next"),
     )
 
 

@@ -228,6 +228,20 @@ def test_imatch(docs):
     assert len(rows(imatch.fingerprint_digests(docs))) == len(ROWS)
 
 
+def test_imatch_uses_every_term_of_the_band(spark):
+    """Texts that differ in one term of the lexicon have different fingerprints, whichever term it is; sets are what counts."""
+    terms = [f"term{i}" for i in range(300)]
+    texts = [f"base words {t}" for t in terms] * 2 + [f"{t} WORDS, base base" for t in terms]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert imatch.lexicon(docs, common=1).count() == 302
+    got = rows(imatch.fingerprint_digests(docs))
+    shown = collections.defaultdict(set)
+    for r in got:
+        shown[r["fingerprint"]].add(terms[r["doc_id"] % 300])
+    assert len(shown) == 300 and all(len(x) == 1 for x in shown.values())
+    assert all(r["near_next"] < 1 for r in got)
+
+
 def test_toxicity_tolerates_gaps():
     rng = random.Random(2)
     clean = [" ".join(rng.choice(WORDS) for _ in range(30)) for _ in range(300)]

@@ -6,6 +6,8 @@ times doesn't drown the rest.  Each shingle sends a Poisson process of arrivals,
 registers of a signature; a register keeps its first arrival.  Arrivals are taken round by round, and a shingle stops
 once its next arrival is later than all registers' (early termination).  Two signatures agree in a
 register with the probability Jaccard similarity.  Registers are banded; documents that share a band are candidates.
+A text that repeats shingles is signed once more with all weights 1, as a text without repeats is from the start: such
+signatures agree with the plain Jaccard similarity, the measure that decides, however unequal the counts are.
 
 Texts of the same words are one node from the start, so copies cost nothing later.  Within a band's bucket every node
 is compared with the bucket's hub, the node that shares most bands with others (a star, linear in the bucket), and
@@ -37,7 +39,7 @@ from .components import connected_components
 from .words import PUNCTUATION, mix, run_hashes, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
-#: 16 bands of 4: a pair of similarity 0.8 shares a band with probability 0.9998.
+#: 16 bands of 4: a pair of similarity 0.8 shares a band of its signatures of weight 1 with probability 0.9998.
 BANDS, ROWS = 16, 4
 CHARS = 1_000_000
 
@@ -90,6 +92,17 @@ def bands(signatures: np.ndarray, b: int, r: int) -> np.ndarray:
     return key
 
 
+def band_keys(owner: np.ndarray, element: np.ndarray, count: np.ndarray, n: int, b: int = BANDS, r: int = ROWS) -> list[np.ndarray]:
+    """Each text's band keys: of weights 1, and of weights 1 + ln(count) where that differs."""
+    keys = list(bands(prob_minhash(owner, element, np.ones(len(element)), n, b * r), b, r).view("i8"))
+    repeats = np.unique(owner[count > 1])
+    chosen = np.isin(owner, repeats)
+    weighted = bands(prob_minhash(np.searchsorted(repeats, owner[chosen]), element[chosen], 1 + np.log(count[chosen]), len(repeats), b * r), b, r).view("i8")
+    for i, more in zip(repeats.tolist(), weighted, strict=True):
+        keys[i] = np.union1d(keys[i], more)
+    return keys
+
+
 def signatures(docs: DataFrame, k: int = WORDS, b: int = BANDS, r: int = ROWS) -> DataFrame:
     """doc_id, text_hash, node (null if blank), keys (null if without shingles) of every row."""
 
@@ -97,7 +110,7 @@ def signatures(docs: DataFrame, k: int = WORDS, b: int = BANDS, r: int = ROWS) -
         for pdf in sliced(batches, "text", CHARS):
             texts = pdf["text"].tolist()
             owner, element, count, same = shingles(texts, k)
-            keys = bands(prob_minhash(owner, element, 1 + np.log(count), len(texts), b * r), b, r).view("i8")
+            keys = band_keys(owner, element, count, len(texts), b, r)
             nodes: list[int | None] = []
             for text, h in zip(texts, same.view("i8").tolist(), strict=True):
                 nodes.append(h if h else xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63) if text.strip() else None)

@@ -186,6 +186,16 @@ def test_prob_minhash_estimates():
     assert abs((sig[0] == sig[1]).mean() - 0.8) < 0.05
 
 
+def test_unequal_repetition_shares_a_band():
+    """Texts of nearly the same shingles that repeat different passages are candidates."""
+    rng = random.Random(3)
+    for pair in range(20):
+        w = [f"p{pair}w{rng.randrange(10**6)}" for _ in range(460)]
+        owner, element, count, _ = neardup.shingles([" ".join(w + w[20:120] * 60), " ".join(w + w[300:420] * 60)])
+        one, two = neardup.band_keys(owner, element, count, 2)
+        assert set(one) & set(two)
+
+
 def test_warc(spark, tmp_path):
     big, small = "é\r\n\r\n" * 400, "x" * 10
     pages = [(1, "http://a/b c\r\n", big), (2, None, big), (3, "http://a", small), (4, "http://a", small), (5, "http://a", None), (6, "u", "y" * 2000)]

@@ -9,9 +9,10 @@ verdicts are the labels from which the method judges all other urls:
    (more than ``MANY`` children, mean below ``FEW``), they vary too and merge into a wildcard.
 3. Branches of the same template on different hosts of a site (host without its first label) are statistically similar
    if their shares of labelled urls that are blocked don't differ by more than their smoothed errors; such branches
-   pool their labels with the site's, others keep their own.
+   pool their labels with the site's, others keep their own.  In the same way the branches of a template in different
+   top-level domains are compared with the template's pool across all hosts, and take it where similar or unlabelled.
 4. A template is blocked if its purity, the share of blocked among its labelled urls, smoothed with the purity of the
-   wider pool (site, then top-level domain and template, then all) as ``PRIOR`` pseudo-counts, is ``BLOCK`` or more.
+   wider pool (site, then top-level domain and template, then template, then all) as ``PRIOR`` pseudo-counts, is ``BLOCK`` or more.
 
 Counts are pre-aggregated; the tree holds templates, never urls, and the join back to the pages is an equi-join that
 Spark may split where one host holds a large part of all rows.
@@ -115,17 +116,19 @@ def judged(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
     def pool(keys: list[str], name: str) -> DataFrame:
         return merged.groupBy(*keys).agg(F.sum("labelled").alias(f"{name}_n"), F.sum("blocked").alias(f"{name}_b"))
 
-    # all labels: one row; then top-level domain, site and host, each with the template
+    # all labels: one row; then the template across all hosts, and within top-level domain, site and host
     every = merged.agg(F.sum("labelled").alias("all_n"), F.sum("blocked").alias("all_b"))
     own = pool(["host", "site", "tld", "template"], "own")
-    joined = own.join(pool(["site", "template"], "site"), ["site", "template"]).join(pool(["tld", "template"], "tld"), ["tld", "template"]).join(F.broadcast(every))
+    joined = own.join(pool(["site", "template"], "site"), ["site", "template"]).join(pool(["tld", "template"], "tld"), ["tld", "template"]).join(pool(["template"], "any"), "template").join(F.broadcast(every))
     base = F.coalesce(F.col("all_b") / F.nullif(F.col("all_n"), F.lit(0)), F.lit(0.0))
     smooth = lambda b, n, prior: (b + PRIOR * prior) / (n + PRIOR)
-    wide = smooth(F.col("tld_b"), F.col("tld_n"), base)
+    error = lambda one, two: F.sqrt(0.25 / (F.col(one) + PRIOR) + 0.25 / (F.col(two) + PRIOR))
+    anywhere = smooth(F.col("any_b"), F.col("any_n"), base)
+    domain = smooth(F.col("tld_b"), F.col("tld_n"), anywhere)
+    wide = F.when(F.abs(domain - anywhere) <= 2 * error("tld_n", "any_n"), anywhere).otherwise(domain)
     site = smooth(F.col("site_b"), F.col("site_n"), wide)
     alone = smooth(F.col("own_b"), F.col("own_n"), wide)
-    error = F.sqrt(0.25 / (F.col("own_n") + PRIOR) + 0.25 / (F.col("site_n") + PRIOR))
-    similar = F.abs(alone - site) <= 2 * error
+    similar = F.abs(alone - site) <= 2 * error("own_n", "site_n")
     purity = F.when(similar, site).otherwise(alone)
     verdicts = joined.select("host", "template", F.round(purity, 6).alias("purity"), F.when(F.round(purity, 6) >= BLOCK, "block").otherwise("allow").alias("learned"))
     return merged.select("host", "levels", "template").join(verdicts, ["host", "template"])

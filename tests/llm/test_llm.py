@@ -227,6 +227,15 @@ def test_url_rules(spark):
     assert (got[6]["host"], got[6]["path"], got[5]["host"]) == ("", "", "")
 
 
+def test_url_templates_are_judged_across_top_level_domains(spark):
+    """Unruled hosts follow the labels that their template has elsewhere: /de/ is blocked, /fr/ allowed."""
+    urls = [f"http://h{i % 7}.com/de/{i}" for i in range(40)] + [f"http://h{i % 7}.com/fr/{i}" for i in range(40)]
+    urls += ["http://b.net/de/1", "http://b.net/fr/1", "http://c.info/de/2"]
+    got = rows(urltree.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")))
+    learned = {r["page_id"]: r["verdict"] for r in got if r["rule"] is None}
+    assert learned == {80: "block", 81: "allow", 82: "block"}
+
+
 def test_imatch(docs):
     kept = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     ordered = sorted(((r["doc_id"], r["text"] or "") for r in rows(kept)), reverse=True)

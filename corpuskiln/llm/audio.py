@@ -191,19 +191,25 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).mapInPandas(run, f"id {kind}, media binary").withColumnRenamed("id", id_col)
 
 
-def summary(mels: np.ndarray, spans: list[tuple[int, int]]) -> str:
-    """Frames, segments, seconds within segments, and the mean log-mel energies inside segments (else of all frames)."""
-    inside = np.zeros(len(mels), bool)
-    for a, b in spans:
-        inside[a:b] = True
-    chosen = mels[inside] if spans else mels
-    mean = chosen.mean(axis=0, dtype="f8")
-    first = f"{spans[0][0] * HOP / RATE:.2f}-{spans[-1][1] * HOP / RATE:.2f}" if spans else "none"
-    return f"frames={len(mels)};segments={len(spans)};seconds={inside.sum() * HOP / RATE:.2f};span={first};logmel=" + ",".join(f"{x:.2f}" for x in mean)
+def read_tensors(tensors: bytes) -> tuple[list[tuple[float, float]], np.ndarray]:
+    """The time spans and the features (tensors x TENSOR_FRAMES x MELS) of a stream of ``tensors_of``."""
+    table = pa.ipc.open_stream(tensors).read_all()
+    features = table["features"].combine_chunks().to_numpy_ndarray() if len(table) else np.zeros((0, TENSOR_FRAMES, MELS), "f4")
+    return list(zip(table["start_s"].to_pylist(), table["end_s"].to_pylist(), strict=True)), features
+
+
+def summary(tensors: bytes) -> str:
+    """From the stored tensors: how many, their frames, the digest of all features, the mean log-mel energies, and every time span."""
+    spans, features = read_tensors(tensors)
+    counts = [round((end - start - FRAME / RATE) * RATE / HOP) + 1 for start, end in spans]
+    frames = [part[:n] for part, n in zip(features, counts, strict=True)]
+    mean = np.concatenate(frames).mean(axis=0, dtype="f8") if frames else []
+    digest = hashlib.sha256(np.ascontiguousarray(features)).hexdigest()
+    return f"tensors={len(spans)};frames={sum(counts)};sha256={digest};logmel=" + ",".join(f"{x:.2f}" for x in mean) + ";spans=" + ",".join(f"{a:.3f}-{b:.3f}" for a, b in spans)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Store each text, read the stored bytes back, and return digests of both and the features' summary."""
+    """Store each text, read the stored bytes back, and return digests of both and a summary of the feature tensors, which are stored and read back too."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in sliced(batches, "text"):
@@ -211,7 +217,7 @@ def media_digests(docs: DataFrame) -> DataFrame:
             for text in pdf["text"]:
                 media = to_wav(to_payload(text))
                 payload, _ = from_wav(media)
-                rows.append((len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), summary(*analyse(media))))
+                rows.append((len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), summary(tensors_of(media))))
             out = pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"], index=pdf.index)
             yield out.assign(doc_id=pdf["doc_id"])
 

@@ -219,6 +219,23 @@ def test_audio(docs):
     assert len(got) == len(ROWS) and len({r["feature"] for r in got if r["doc_id"] in (4, 5)}) == 1
 
 
+def test_audio_tensors_are_what_op1_returns(docs):
+    """The stored tensors hold every frame of the segments, and op1's feature names each tensor's span."""
+    got = {r["media_sha256"]: r["feature"] for r in rows(audio.media_digests(docs))}
+    for _, text in ROWS:
+        media = audio.to_wav(audio.to_payload(text or ""))
+        mels, parts = audio.analyse(media)
+        spans, features = audio.read_tensors(audio.tensors_of(media))
+        cut = [(s, min(b, s + 96)) for a, b in parts for s in range(a, b, 96)]
+        assert len(spans) == len(cut) == len(features)
+        for (a, b), (start, end), part in zip(cut, spans, features, strict=True):
+            assert (start, end) == (a / 100, ((b - 1) * 160 + 400) / 16000)
+            assert (part[: b - a] == mels[a:b]).all() and not part[b - a :].any()
+        feature = got[hashlib.sha256(media).hexdigest()]
+        assert f"tensors={len(cut)};frames={sum(b - a for a, b in cut)};" in feature and hashlib.sha256(features.tobytes()).hexdigest() in feature
+        assert feature.endswith(";spans=" + ",".join(f"{a:.3f}-{b:.3f}" for a, b in spans))
+
+
 def test_url_rules(spark):
     urls = ["https://www.Example.org/es/1?x", "http://example.org/en/12", "http://a.org/x", "http://badexample.org/es/", "http://b.com/de/1#t", "nourl", None, "http://b.net", "http://b.net/de/5"]
     got = {r["page_id"]: r for r in rows(urltree.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")))}

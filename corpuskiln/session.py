@@ -1,4 +1,4 @@
-"""The session's checkpoint folder."""
+"""The folder that driver and executors share."""
 
 from __future__ import annotations
 
@@ -7,8 +7,18 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; only where neither it nor a folder is set (local tests) make one."""
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder, from ``spark.checkpoint.dir``; only a local master may do without, and gets a folder of its own."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuskiln-"))
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="corpuskiln-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))

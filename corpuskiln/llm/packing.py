@@ -9,9 +9,11 @@ bounded by the capacity (the sum over lengths of capacity / length), not by the
 by rank within their length; ranks are taken within salted parts of a length, so a length that a third of all pieces
 share is spread over many tasks.
 
-Defined results: a null or empty text is the end mark alone; an empty table packs to an empty table; rows that repeat
-are packed each on its own; pieces of equal id and content are interchangeable; other columns are ignored; a length
-over the capacity or below 1 given to ``pack_lengths`` is an error.
+Defined results: a null or empty text is the end mark alone; a very long text becomes as many pieces as it takes; an
+empty table packs to an empty table; rows that repeat are packed each on its own; ties (pieces of equal id and content)
+are interchangeable; null ids and ids of any size come back as they are; ``pack_documents`` ignores other columns and
+``pack_lengths`` keeps them, whatever their names (a ``sequence_id`` or ``offset`` among them is replaced); a null
+length, or one over the capacity or below 1, given to ``pack_lengths`` is an error.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import default_path, load
-from .common import materialize, sliced, whole_text
+from .bpe import Bpe, Work, default_path
+from .common import map_texts, materialize, quoted, whole_text
 
 CAPACITY = 4096
 END_ID = 1
@@ -90,55 +92,62 @@ def places(bins: list[tuple[int, dict[int, int]]]) -> dict[str, np.ndarray]:
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
     path = path or default_path()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe, end = load(path), np.array([end_id], "<u4").tobytes()
-        for pdf in sliced(batches, "text"):
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                packed = bpe.packed(text) + end
-                n = len(packed) // 4
-                for piece, start in enumerate(range(0, n, capacity)):
-                    stop = min(n, start + capacity)
-                    rows.append((doc_id, piece, start, stop - start, zlib.crc32(packed[4 * start : 4 * stop])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": pdf["doc_id"].dtype})
-
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    end = np.array([end_id], "<u4").tobytes()
+
+    def cut(bpe: Bpe, texts: list[str]) -> dict[str, pa.Array]:
+        firsts, lengths, crcs = [0], [], []
+        for text in texts:
+            packed = bpe.packed(text) + end
+            for start in range(0, len(packed), 4 * capacity):
+                piece = packed[start : start + 4 * capacity]
+                lengths.append(len(piece) // 4)
+                crcs.append(zlib.crc32(piece))
+            firsts.append(len(lengths))
+        pieces = pa.StructArray.from_arrays([pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], ["length", "crc"])
+        return {"pieces": pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), pieces)}
+
+    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    found = map_texts(rows, ["doc_id"], "pieces array<struct<length:bigint,crc:bigint>>", lambda: Work(path, cut))
+    cuts = found.select("doc_id", F.posexplode("pieces").alias("piece", "x"))
+    return cuts.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), "x.length", F.col("x.crc").alias("ids_crc32"))
 
 
 def pack_lengths(pieces: DataFrame, keys: list[str], capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
     """``pieces`` (stored, so that both passes see the same rows) with sequence_id and offset."""
     spark = pieces.sparkSession
-    found = pieces.groupBy(F.col(length_col).alias("length")).agg(F.count("*").alias("n")).where(~F.col("length").between(1, capacity)).limit(1).collect()
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    kept = pieces.select(quoted(length_col).cast("long").alias("length"), F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)]).alias("row"), F.struct(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keys)]).alias("key"))
+    counted = kept.groupBy("length").agg(F.count("*").alias("n"))
+    found = counted.where(~F.coalesce(F.col("length").between(1, capacity), F.lit(False))).limit(1).collect()
     if found:
         raise ValueError(f"length {found[0]['length']} doesn't lie between 1 and {capacity}")
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy(F.col(length_col).alias("length")).agg(F.count("*").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in counted.collect()}  # at most ``capacity`` rows
     total = sum(histogram.values())
     table = spark.sparkContext.broadcast(places(minimum_bin_slack(histogram, capacity)))
     salts = max(256, -(-total // RANK_ROWS))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)))
-    ranked = salted.withColumn("_place", F.row_number().over(Window.partitionBy(length_col, "_salt").orderBy(*keys)))
+    salted = kept.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(salts)))
+    ranked = salted.withColumn("place", F.row_number().over(Window.partitionBy("length", "salt").orderBy("key")))
     before = (
-        salted.groupBy(length_col, "_salt")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.sum("_n").over(Window.partitionBy(length_col).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)))
-        .select(length_col, "_salt", F.coalesce("_before", F.lit(0)).alias("_before"))
+        salted.groupBy("length", "salt")
+        .agg(F.count("*").alias("n"))
+        .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
+        .select("length", "salt", F.coalesce("before", F.lit(0)).alias("before"))
     )
-    joined = ranked.join(before, [length_col, "_salt"]).withColumn("_rank", F.col("_before") + F.col("_place") - 1)
-    columns = pieces.columns
-    kinds = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in columns)
+    joined = ranked.join(before, ["length", "salt"]).select("length", (F.col("before") + F.col("place") - 1).alias("rank"), "row")
+    kind = joined.schema["row"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = table.value
-        for pdf in batches:
-            length, rank = pdf[length_col].to_numpy("i8"), pdf["_rank"].to_numpy("i8")
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             at = np.searchsorted(t["key"], length << 44 | rank, side="right") - 1
             into = rank - t["start"][at]
             copies = t["copies"][at]
-            yield pdf[columns].assign(sequence_id=t["sequence"][at] + into // copies, offset=t["offset"][at] + into % copies * length)
+            new = [t["sequence"][at] + into // copies, t["offset"][at] + into % copies * length]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(x, pa.int64()) for x in new]], ["row", "sequence_id", "offset"])
 
-    return joined.select(*columns, "_rank").mapInPandas(run, f"{kinds}, sequence_id long, offset long")
+    out = joined.mapInArrow(run, f"row {kind}, sequence_id long, offset long")
+    return out.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:

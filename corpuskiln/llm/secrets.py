@@ -1,34 +1,37 @@
 """Operator 2: secret scan behind a trigram inverted index.
 
 From each rule's regular expression a Boolean query over trigrams is derived (``trigram_query``): every match must
-contain the trigrams that the query names.  Texts are indexed in segments, as search engines do: for each segment of
-some megabytes a posting list per trigram that any rule names, intersected and united as the query says; only the
-candidate rows are verified with the regular expression.  A rule without mandatory trigrams scans its segment fully.
+contain the trigrams that the query names.  Texts are indexed in segments, as search engines do: one pass over all
+trigrams of a segment of some megabytes fills a posting list for each trigram that any rule names; these are
+intersected and united as the query says, and only the candidate rows are verified with the regular expression.  A rule without mandatory trigrams scans its segment fully.
 Segments are local to a task, so nothing is shuffled and memory is bounded by the segment.  ``build_index`` and
 ``candidates`` give the same index as a table, split into segments so that no posting list grows without bound, for
 rules that come later.
 
-The index folds case (a superset of what a case-sensitive rule can match, so no match is lost).
+The index folds the case of ASCII letters (a superset of what a case-sensitive rule can match, so no match is lost).
+Every pattern takes time linear in the text, whatever it holds: no rule starts anew inside a run that it has searched.
 
-Defined results: null and empty texts have no spans; repeated rows give repeated results; spans are in code points,
-end exclusive, ordered by start, then kind; other columns pass through ``redact`` unchanged and are ignored by
-``scan``; an empty table gives an empty table.
+Defined results: null and empty texts have no spans; very long texts are scanned whole; repeated rows give repeated
+results; spans are in code points, end exclusive, ordered by start, ties by kind as listed; null ids and ids of any
+size come back as they are; other columns, whatever their names, pass through ``redact`` unchanged (``n_chars``
+follows the text) and are ignored by ``scan``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as C
 from re import _parser as parser
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, whole_text
+from .common import SetAside, map_texts, whole_text
 
 
 @dataclass(frozen=True)
@@ -49,9 +52,10 @@ BASE_RULES = (
 )
 #: Further credentials, each with mandatory trigrams.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("bearer", r"(?ai:bearer)\x20+[A-Za-z0-9._~+/-]{20,}=*"),
-    Rule("signed_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # with the lines of its body, where they follow, and its end mark
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:\s*[A-Za-z0-9+/=]{16,})*+(?:\s*[A-Za-z0-9+/=]{1,15}(?=\s*-----END))?(?:\s*-----END [A-Z ]{0,40}PRIVATE KEY-----)?"),
+    Rule("bearer", r"(?ai:bearer)\x20++[A-Za-z0-9._~+/-]{20,}+=*"),
+    Rule("signed_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     Rule("url_login", r"[a-z]{2,12}://[^\s:/@]{1,64}:[^\s:/@]{3,64}@"),
 )
 RULES = BASE_RULES + MORE_RULES
@@ -95,14 +99,14 @@ def trigram_query(pattern: str) -> Query:
         return None, _all([*parts, _of_strings(run)])
 
     def node(op: object, arg: object) -> tuple[set[str] | None, Query]:
-        if op is C.LITERAL:
-            return {chr(arg).lower()}, True
+        if op is C.LITERAL:  # what isn't ASCII has more cases than the index folds
+            return ({chr(arg).lower()}, True) if arg < 128 else (None, True)
         if op is C.IN:
             values: set[str] = set()
             for kind, x in arg:
-                if kind is C.LITERAL:
+                if kind is C.LITERAL and x < 128:
                     values.add(chr(x).lower())
-                elif kind is C.RANGE and x[1] - x[0] < EXACT_MOST:
+                elif kind is C.RANGE and x[1] < 128 and x[1] - x[0] < EXACT_MOST:
                     values |= {chr(c).lower() for c in range(x[0], x[1] + 1)}
                 else:
                     return None, True
@@ -148,14 +152,25 @@ def evaluate(query: Query, postings: dict[str, set[int]], rows: set[int]) -> set
 
 
 class Scanner:
+    """Rules with their queries; trigrams of bytes, case folded, as numbers below 2**24."""
+
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = [(i, r, re.compile(r.pattern), trigram_query(r.pattern)) for i, r in enumerate(rules)]
-        self.grams = sorted(set().union(*(trigrams_of(q) for *_, q in self.rules)))
+        self.grams = {g: int.from_bytes(g.encode(), "big") for g in sorted(set().union(*(trigrams_of(q) for *_, q in self.rules)))}
+        self.named = np.zeros(1 << 24, bool)
+        self.named[list(self.grams.values())] = True
 
     def segment(self, texts: list[str]) -> dict[str, set[int]]:
-        """The segment's postings: trigram to rows."""
-        folded = [t.lower() for t in texts]
-        return {g: {i for i, t in enumerate(folded) if g in t} for g in self.grams}
+        """The segment's postings, trigram to rows, from one pass over its trigrams."""
+        folded = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+        ends = np.cumsum([len(f) + 1 for f in folded])
+        raw = np.frombuffer(b"\0".join(folded) + b"\0", "u1").astype("i4")
+        codes = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
+        at = np.flatnonzero(self.named[codes])
+        found = np.unique(codes[at].astype("i8") << 32 | np.searchsorted(ends, at, side="right"))
+        gram, row = found >> 32, found & 0xFFFFFFFF
+        lists = {g: set(row[np.searchsorted(gram, g) : np.searchsorted(gram, g, side="right")].tolist()) for g in np.unique(gram).tolist()}
+        return {g: lists.get(code, set()) for g, code in self.grams.items()}
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """For each text (start, rule number, end), in order."""
@@ -207,13 +222,13 @@ def candidates(index: DataFrame, pattern: str) -> DataFrame | None:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, found: array of (kind, start, end), in order, for each document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list[str]], dict[str, pa.Array]]:
         scanner = Scanner(rules)
-        for pdf in sliced(batches, "text"):
-            spans = scanner.spans(pdf["text"].tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "found": [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in s] for s in spans]})
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        return lambda texts: {"found": pa.array([[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in s] for s in scanner.spans(texts)], kind)}
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInPandas(run, "doc_id long, found array<struct<kind:string,start:int,end:int>>")
+    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    return map_texts(rows, ["doc_id"], "found array<struct<kind:string,start:int,end:int>>", make)
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ...]) -> str:
@@ -232,37 +247,40 @@ def redacted(text: str, spans: list[tuple[int, int, int]], rules: tuple[Rule, ..
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with each secret replaced by a mark; n_chars, where present, follows; a null text stays null."""
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
+    aside = SetAside.of(docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list[str]], dict[str, pa.Array]]:
         scanner = Scanner(rules)
-        for pdf in sliced((b.assign(_text=b["text"].fillna("")) for b in batches), "_text"):
-            texts = pdf["_text"].tolist()
-            new = [redacted(t, s, rules) if s else t for t, s in zip(texts, scanner.spans(texts), strict=True)]
-            yield pdf.drop(columns="_text").assign(text=pd.Series(new, pdf.index, dtype=object).where(pdf["text"].notna(), None))
+        return lambda texts: {"new": pa.array([redacted(t, s, rules) if s else None for t, s in zip(texts, scanner.spans(texts), strict=True)], pa.string())}
 
-    out = docs.mapInPandas(run, kinds)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    # only changed texts come back from Python
+    done = map_texts(aside.rows, ["row", "text"], "new string", make)
+    return aside.back(done.select("row", F.coalesce("new", "text").alias("text")), text_changed=True)
 
 
 def scan_digests(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans as text."""
     base = len(BASE_RULES)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list[str]], dict[str, pa.Array]]:
         scanner = Scanner(RULES)
-        for pdf in sliced(batches, "text"):
+
+        def work(texts: list[str]) -> dict[str, pa.Array]:
             counts: list[list[int]] = [[] for _ in range(base)]
             digests, written = [], []
-            for spans in scanner.spans(pdf["text"].tolist()):
+            for spans in scanner.spans(texts):
                 for k in range(base):
                     counts[k].append(sum(x[1] == k for x in spans))
                 text = [(k, f"{RULES[k].kind}:{a}:{b}") for a, k, b in spans]
                 digests.append(hashlib.sha256(",".join(t for k, t in text if k < base).encode()).hexdigest())
                 written.append(",".join(t for _, t in text))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_assign": counts[0], "n_access": counts[1], "n_hex": counts[2], "base_sha256": digests, "spans": written})
+            out = {f"n_{r.kind}": pa.array(n, pa.int64()) for r, n in zip(BASE_RULES, counts, strict=True)}
+            return out | {"base_sha256": pa.array(digests, pa.string()), "spans": pa.array(written, pa.string())}
+
+        return work
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    return map_texts(rows, ["doc_id"], "n_assign long, n_access long, n_hex long, base_sha256 string, spans string", make)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

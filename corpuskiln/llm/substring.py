@@ -3,8 +3,8 @@
 A window is ``window`` consecutive words.  A difference cover D of a period v has, for any two places i and j, a shift
 below v that brings both onto D; so two equal windows share an equal anchor of ``window - v + 1`` words at places that
 both lie on D.  Only anchors at those places are hashed and shuffled (5 of every 21 for windows of 35 words).  Anchors
-that occur twice are then extended: the windows around them, and no others, are hashed in full (96 bits) and
-compared, which decides exactly.
+that occur twice are then extended: the windows around them, and no others, are hashed in full, and windows are taken
+for equal if their 96-bit hashes are (texts if their 96 bits of two hashes are).
 
 Equal texts are brought together first, one row a text with the number of its copies (a task sends each text once):
 all windows of a text with copies are repeats, and only distinct texts are searched for shared windows.
@@ -13,10 +13,12 @@ Skew: each task first combines its own equal hashes, so a passage that a third o
 shuffle once a task, not once an occurrence.  The last join, by text, has no aggregation over it, so adaptive execution
 may split a text with very many copies over tasks.
 
-Defined results: null texts have no words; texts shorter than a window lose nothing; repeated rows are occurrences of
-their own, so all their windows are removed; ids are not looked at; other columns pass through
-``remove_repeats`` unchanged; a text that loses nothing is unchanged, else its kept words are joined by one space; an
-empty table gives an empty table.
+Defined results: null and empty texts have no words; texts shorter than a window lose nothing; very long texts are
+hashed whole, in blocks; repeated rows are occurrences of their own, so all their windows are removed (ties: every
+occurrence goes); ids are not looked at, and null ones and ids of any size come back as they are; other columns,
+whatever their names, pass through ``remove_repeats`` unchanged (``n_chars`` follows the text); a text that loses
+nothing is unchanged, a null one stays null, else kept words are joined by one space; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, sliced, whole_text
+from .common import SetAside, materialize, release, sliced, texts_of, whole_text
 from .words import OTHER_BASE, WHITE, mix, run_hashes, word_hashes
 
 WINDOW = 35
@@ -48,7 +50,7 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     return max(((v, d) for v, d in COVERS.items() if window - v + 1 >= LEAST_ANCHOR), default=(1, (0,)))
 
 
-def _combined(h1: np.ndarray, h2: np.ndarray, quiet: np.ndarray, more: dict[str, np.ndarray]) -> pd.DataFrame:
+def _combined(h1: np.ndarray, h2: np.ndarray, quiet: np.ndarray, more: dict[str, np.ndarray]) -> pa.RecordBatch:
     """Rows (h1, h2, n, ...) for a shuffle that counts each hash; kept narrow, as there may be one for each word.
 
     A hash that occurs once here keeps its place (n = 1); one that occurs more often is sent once, without a place
@@ -66,7 +68,8 @@ def _combined(h1: np.ndarray, h2: np.ndarray, quiet: np.ndarray, more: dict[str,
     a, b = h1[rows], h2[rows]
     a[len(once) : len(once) + len(known)] = mix(h1[known] ^ mix(known.astype("u8") + np.uint64(1)))
     count = np.concatenate([np.where(quiet[once], -1, 1), np.full(len(known), 2), np.full(len(sent), -2)]).astype("i1")
-    return pd.DataFrame({"h1": a.view("i8"), "h2": b.view("i4"), "n": count} | {k: v[rows] for k, v in more.items()})
+    columns = {"h1": a.view("i8"), "h2": b.view("i4"), "n": count} | {k: v[rows] for k, v in more.items()}
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -82,12 +85,16 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     """key, key2 (64 and 32 bits of hash), copies, text: a row for each distinct text."""
     text = whole_text()
     keyed = docs.select(F.xxhash64(text).alias("key"), F.hash(text).alias("key2"), text.alias("text"))
-    return materialize(keyed.groupBy("key", "key2").agg(F.count("*").alias("copies"), F.first("text").alias("text")), "texts")
+    return materialize(keyed.groupBy("key", "key2").agg(F.count("*").alias("copies"), F.first("text").alias("text")), "texts", large=True)
 
 
-def _where(pdf: pd.DataFrame, doc: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype("i8")
+
+
+def _where(batch: pa.RecordBatch, doc: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
     """The text (key, and key2 in the upper half of place) and place of each hash, as narrow columns."""
-    return {"key": pdf["key"].to_numpy("i8")[doc], "place": pdf["key2"].to_numpy("i8")[doc] << 32 | place}
+    return {"key": _numbers(batch, "key")[doc], "place": _numbers(batch, "key2")[doc] << 32 | place}
 
 
 def _anchors(texts: DataFrame, window: int) -> DataFrame:
@@ -97,23 +104,23 @@ def _anchors(texts: DataFrame, window: int) -> DataFrame:
     on = np.zeros(period, bool)
     on[list(cover)] = True
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             h, k, p = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             return _combined(h, np.zeros(len(h), "u4"), np.zeros(len(h), bool), {"key": k, "place": p})
 
-        for pdf in sliced(batches, "text"):
-            words, firsts = word_hashes([t.encode() for t in pdf["text"]], WHITE)
+        for batch in sliced(batches):
+            words, firsts = word_hashes([t.encode() for t in texts_of(batch)], WHITE)
             hashes = run_hashes(words, length)
-            doc = np.repeat(np.arange(len(pdf)), np.diff(firsts))[: len(hashes)]
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(firsts))[: len(hashes)]
             place = _places(firsts, doc, len(hashes))
             # an anchor serves only if some whole window of its document holds it
             at = np.flatnonzero(on[place % period] & (place + length <= np.diff(firsts)[doc]) & (np.diff(firsts)[doc] >= window))
-            where = _where(pdf, doc[at], place[at])
+            where = _where(batch, doc[at], place[at])
             held.append((hashes[at], where["key"], where["place"]))
             size += len(at)
             if size >= COMBINE:
@@ -122,7 +129,7 @@ def _anchors(texts: DataFrame, window: int) -> DataFrame:
         if held:
             yield flush()
 
-    return _placed(_repeated(texts.select("key", "key2", "text").mapInPandas(run, "h1 long, h2 int, n byte, key long, place long")))
+    return _placed(_repeated(texts.select("key", "key2", "text").mapInArrow(run, "h1 long, h2 int, n byte, key long, place long")))
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -133,30 +140,30 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """key, key2, starts: of each distinct text, the windows whose words occur elsewhere too (ALL: each one)."""
     period, _ = cover_for(window)
     texts = distinct_texts(docs)
-    near = materialize(_anchors(texts, window).groupBy("key", "key2").agg(F.collect_list("place").alias("places")), "anchors")
+    near = materialize(_anchors(texts, window).groupBy("key", "key2").agg(F.collect_list("place").alias("places")), "anchors", large=True)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             h1, h2, quiet, key, place = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             return _combined(h1, h2, quiet, {"key": key, "place": place})
 
-        for pdf in sliced(batches, "text"):
-            words, firsts = word_hashes([t.encode() for t in pdf["text"]], WHITE)
+        for batch in sliced(batches):
+            words, firsts = word_hashes([t.encode() for t in texts_of(batch)], WHITE)
             steps = np.zeros(len(words) + 1, "i4")
-            for i, places in enumerate(pdf["places"]):
-                p = firsts[i] + np.asarray(places, "i8")
+            for i, places in enumerate(batch.column("places")):
+                p = firsts[i] + places.values.to_numpy(zero_copy_only=False).astype("i8")
                 np.add.at(steps, np.maximum(p - period + 1, firsts[i]), 1)
                 np.add.at(steps, p + 1, -1)
             h1, h2 = run_hashes(words, window), run_hashes(words, window, OTHER_BASE)
-            doc = np.repeat(np.arange(len(pdf)), np.diff(firsts))[: len(h1)]
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(firsts))[: len(h1)]
             place = _places(firsts, doc, len(h1))
             at = np.flatnonzero((np.cumsum(steps)[: len(h1)] > 0) & (place + window <= np.diff(firsts)[doc]))
-            where = _where(pdf, doc[at], place[at])
-            held.append((h1[at], (h2[at] >> np.uint64(32)).astype("u4"), pdf["copies"].to_numpy("i8")[doc[at]] > 1, where["key"], where["place"]))
+            where = _where(batch, doc[at], place[at])
+            held.append((h1[at], (h2[at] >> np.uint64(32)).astype("u4"), _numbers(batch, "copies")[doc[at]] > 1, where["key"], where["place"]))
             size += len(at)
             if size >= COMBINE:
                 size = 0
@@ -164,17 +171,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if held:
             yield flush()
 
-    found = texts.join(near, ["key", "key2"]).select("key", "key2", "copies", "text", "places").mapInPandas(run, "h1 long, h2 int, n byte, key long, place long")
-    shared = materialize(_placed(_repeated(found)).groupBy("key", "key2").agg(F.collect_list("place").alias("starts")), "windows")
+    found = texts.join(near, ["key", "key2"]).select("key", "key2", "copies", "text", "places").mapInArrow(run, "h1 long, h2 int, n byte, key long, place long")
+    shared = materialize(_placed(_repeated(found)).groupBy("key", "key2").agg(F.collect_list("place").alias("starts")), "windows", large=True)
     return shared.unionByName(texts.where("copies > 1").select("key", "key2", F.array(F.lit(ALL)).alias("starts")))
 
 
-def _with_starts(docs: DataFrame, window: int) -> DataFrame:
-    """``docs`` with _starts (null if no window repeats)."""
-    starts = repeated_windows(docs, window).withColumnsRenamed({"key": "_key", "key2": "_key2", "starts": "_starts"})
-    release(docs.sparkSession)
-    joined = docs.join(starts, (F.xxhash64(whole_text()) == F.col("_key")) & (F.hash(whole_text()) == F.col("_key2")), "left")
-    return joined.drop("_key", "_key2")
+def _with_starts(rows: DataFrame, window: int) -> DataFrame:
+    """``rows`` (row, text) with starts (null if no window repeats)."""
+    found = repeated_windows(rows, window).withColumnsRenamed({"key": "at", "key2": "at2"})
+    release(rows.sparkSession)
+    joined = rows.join(found, (F.xxhash64(whole_text()) == F.col("at")) & (F.hash(whole_text()) == F.col("at2")), "left")
+    return joined.select("row", "text", "starts")
 
 
 def _kept(words: list[bytes], starts: np.ndarray, window: int) -> list[bytes]:
@@ -186,40 +193,44 @@ def _kept(words: list[bytes], starts: np.ndarray, window: int) -> list[bytes]:
     return [words[i] for i in np.flatnonzero(np.cumsum(steps)[:-1] == 0)]
 
 
-def _without(text: str, starts: np.ndarray, window: int) -> str:
-    words = text.encode().split()
-    kept = _kept(words, np.asarray(starts, "i8"), window)
-    return text if len(kept) == len(words) else b" ".join(kept).decode()
+def _starts(batch: pa.RecordBatch) -> list[np.ndarray | None]:
+    return [x.values.to_numpy(zero_copy_only=False).astype("i8") if x.is_valid else None for x in batch.column("starts")]
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the words of windows that occur elsewhere too; n_chars, where present, follows."""
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
+    aside = SetAside.of(docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            new = [t if s is None or t is None else _without(t, s, window) for t, s in zip(pdf["text"], pdf["_starts"], strict=True)]
-            yield pdf.drop(columns="_starts").assign(text=pd.Series(new, pdf.index, dtype=object))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            new: list[str | None] = []
+            for text, starts in zip(texts_of(batch), _starts(batch), strict=True):
+                words = [] if starts is None else text.encode().split()
+                kept = words if starts is None else _kept(words, starts, window)
+                new.append(None if len(kept) == len(words) else b" ".join(kept).decode())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), pa.array(new, pa.string())], ["row", "text", "new"])
 
-    out = _with_starts(docs, window).mapInPandas(run, kinds)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    joined = _with_starts(aside.rows, window)
+    done = joined.mapInArrow(run, f"row {joined.schema['row'].dataType.simpleString()}, text string, new string")
+    return aside.back(done.select("row", F.coalesce("new", "text").alias("text")), text_changed=True)
 
 
 def removal_digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and the digest of the kept words, joined by one space."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text, starts in zip(pdf["text"], pdf["_starts"], strict=True):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            total, removed, digests = [], [], []
+            for text, starts in zip(texts_of(batch), _starts(batch), strict=True):
                 words = text.encode().split()
-                kept = words if starts is None else _kept(words, np.asarray(starts, "i8"), window)
-                rows.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"], index=pdf.index)
-            yield out.assign(doc_id=pdf["doc_id"])
-
-    joined = _with_starts(docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")), window)
-    return joined.mapInPandas(run, "n_words long, n_removed long, kept_sha256 string, doc_id long").select("doc_id", "n_words", "n_removed", "kept_sha256")
+                kept = words if starts is None else _kept(words, starts, window)
+                total.append(len(words))
+                removed.append(len(words) - len(kept))
+                digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["row", "n_words", "n_removed", "kept_sha256"])
+
+    joined = _with_starts(docs.select(F.col("doc_id").cast("long").alias("row"), whole_text().alias("text")), window)
+    return joined.mapInArrow(run, "row long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("row", "doc_id")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,11 @@ separator, so task retries and lost executors follow Spark's commit protocol and
 ``read_archive`` streams the files back by the length that each record states, and ``resolve`` joins revisits to the
 responses that they refer to, recomputing the digest from the stored payload.
 
-Defined results: null html is an empty payload; payloads below ``LEAST`` bytes are always responses; rows that repeat
+Defined results: null html is an empty payload; very long ones are written and read whole; payloads below ``LEAST``
+bytes are always responses; ties can't occur among ids (the largest is the original); rows that repeat
 an id keep a record each (of equal ids with equal payload one is the original); a null id is written as an empty one
 and read back as null; line ends and other controls in urls are percent-encoded; null urls are written as an empty
-target; other columns are ignored; an empty table gives an empty table.
+target; other columns, whatever their names, are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,10 +48,10 @@ def decisions(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def records(pages: DataFrame, least: int = LEAST, date: str = DATE) -> DataFrame:
     """record: the text of each page's record, without the two line ends that close it."""
-    chosen = decisions(pages, least).where("refers_to IS NOT NULL").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to").distinct()
+    chosen = decisions(pages, least).where("refers_to IS NOT NULL").select(F.col("page_id").alias("id"), F.col("digest").alias("found"), "refers_to").distinct()
     payload = F.coalesce("html", F.lit(""))
     base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.sha1(F.encode(payload, "UTF-8")).alias("digest"))
-    joined = base.join(chosen, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    joined = base.join(chosen, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("found")), "left")
     # repeats of the original's own id and payload stay responses
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     target = F.expr(r"regexp_replace(regexp_replace(regexp_replace(url, '\r', '%0D'), '\n', '%0A'), '[\\x00-\\x20\\x7f]', '%20')")
@@ -134,23 +135,29 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """page_id, record_type, digest (as stated), refers_to, target, payload of every record."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["page_id", "record_type", "digest", "refers_to", "target", "payload"]
-        for pdf in batches:
-            for content in pdf["content"]:
+    names = ["page_id", "record_type", "digest", "refers_to", "target", "payload"]
+    schema = pa.schema([(n, pa.binary() if n == "payload" else pa.string()) for n in names])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
                 rows, size = [], 0
-                for headers, block in parse(content):
+                for headers, block in parse(content.as_buffer()):
                     page, refers = (headers.get(k, "")[len("<urn:x-page:") : -1] for k in ("warc-record-id", "warc-refers-to"))
                     payload = block.partition(b"\r\n\r\n")[2]
                     rows.append((page or None, headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:"), refers or None, headers["warc-target-uri"], payload))
                     size += len(payload)
                     if size > 4 * READ:
-                        yield pd.DataFrame(rows, columns=names, dtype=object)
+                        yield batch_of(rows)
                         rows, size = [], 0
-                yield pd.DataFrame(rows, columns=names, dtype=object)
+                yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    found = files.mapInPandas(run, "page_id string, record_type string, digest string, refers_to string, target string, payload binary")
+    found = files.mapInArrow(run, "page_id string, record_type string, digest string, refers_to string, target string, payload binary")
     return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 

@@ -287,9 +287,3 @@ def test_toxicity_tolerates_gaps():
     assert worst("zugvolk") > worst("zug-xvolk") > max(worst(c) for c in clean[60:90])
     assert worst("so z u g v o l k") == pytest.approx(worst("zugvolk"), abs=1e-3)
     assert toxicity.train(clean, [0] * 300) is None
-
-
-def test_empty_tables(spark, docs):
-    none = docs.limit(0)
-    for f in (bpe.encode_digests, secrets.scan_digests, substring.removal_digests, neardup.classes, packing.pack_documents, audio.media_digests, imatch.fingerprint_digests):
-        assert f(none).count() == 0

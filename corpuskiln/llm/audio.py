@@ -8,10 +8,12 @@ own range of frame energies.  ``feature_tensors`` cuts the frames of each segmen
 (frames x bands, the last one filled up), kept as Arrow's fixed-shape tensor type in an IPC stream beside the time
 span of each tensor.
 
-All work is in blocks of frames, so a long payload takes bounded memory beyond its own bytes.
+``media_digests`` writes the WAV files as a table in the shared folder and reads that table back; features come from
+the bytes read.  All work is in blocks of frames, so a long payload takes bounded memory beyond its own bytes.
 
-Defined results: a null or empty text is 192 spaces; equal texts give equal values; repeated rows give repeated
-results; other columns are ignored; an empty table gives an empty table.
+Defined results: a null or empty text is 192 spaces; a very long text is one payload of its length (below the 4 GB that
+a WAV file can state); equal texts give equal values; repeated rows give repeated results; null ids and ids of any size
+come back as they are; other columns, whatever their names, are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,12 +26,11 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, whole_text
+from .common import map_texts, materialize, quoted, sliced, whole_text
 
 BLOCK, FILL = 192, 32
 RATE_IN, RATE = 24_000, 16_000
@@ -80,16 +81,19 @@ def phases() -> np.ndarray:
 
 
 def resample(samples: np.ndarray) -> np.ndarray:
-    """24 kHz to 16 kHz: output i takes phase (i * DOWN) mod UP at input i * DOWN // UP; the edges are zeros."""
+    """24 kHz to 16 kHz: output i takes phase (i * DOWN) mod UP at input i * DOWN // UP; the edges are zeros.
+
+    Sums run tap by tap, so the result doesn't depend on threads or on how a library splits a product.
+    """
     n = len(samples) * UP // DOWN
-    padded = np.concatenate([np.zeros(TAPS - 1, "f4"), samples, np.zeros(TAPS, "f4")])
+    padded = np.concatenate([np.zeros(TAPS - 1, "f4"), samples, np.zeros(TAPS + DOWN, "f4")])
     half = TAPS // 2
-    out = np.empty(n, "f4")
-    windows = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
+    out = np.zeros(n, "f4")
     for r in range(UP):  # outputs r, r + UP, ... share a phase and step by DOWN inputs
-        first = r * DOWN
+        first = r * DOWN // UP + half
         size = -(-(n - r) // UP)
-        out[r::UP] = windows[first // UP + half :: DOWN][:size] @ phases()[first % UP, ::-1].astype("f4")
+        for k, tap in enumerate(phases()[r * DOWN % UP, ::-1].astype("f4")):
+            out[r::UP] += tap * padded[first + k :: DOWN][:size]
     return out
 
 
@@ -119,7 +123,7 @@ def log_mel(signal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = frames[a : a + FRAMES_AT_ONCE] * window()
         spectrum = np.fft.rfft(part, FFT)
         power = (spectrum.real**2 + spectrum.imag**2).astype("f4")
-        mels[a : a + len(part)] = np.log(power @ mel_bank() + 1e-6)
+        mels[a : a + len(part)] = np.log(np.einsum("fb,bm->fm", power, mel_bank()) + 1e-6)  # no library product: equal texts, equal values
         energy[a : a + len(part)] = np.log((part * part).mean(axis=1) + 1e-9)
     return mels, energy
 
@@ -169,26 +173,21 @@ def tensors_of(media: bytes) -> bytes:
 
 def feature_tensors(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """id, tensors: for each WAV the Arrow stream of ``tensors_of``; a null WAV gives null."""
-    kind = media.schema[id_col].dataType.simpleString()
+    rows = media.select(quoted(id_col).alias("id"), quoted(media_col).alias("media"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a in range(0, len(pdf), 64):
-                part = pdf.iloc[a : a + 64]
-                yield pd.DataFrame({"id": part["id"], "tensors": [None if m is None else tensors_of(m) for m in part["media"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "media", 1_000_000):
+            found = [None if m is None else tensors_of(m) for m in batch.column("media").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "tensors"])
 
-    return media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInPandas(run, f"id {kind}, tensors binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, tensors binary").withColumnRenamed("id", id_col)
 
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, media: each text as a WAV file."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in sliced(batches, "text"):
-            yield pd.DataFrame({"id": pdf["id"], "media": [to_wav(to_payload(t)) for t in pdf["text"]]})
-
-    return docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).mapInPandas(run, f"id {kind}, media binary").withColumnRenamed("id", id_col)
+    rows = docs.select(quoted(id_col).alias("id"), whole_text(text_col).alias("text"))
+    wavs = map_texts(rows, ["id"], "media binary", lambda: lambda texts: {"media": pa.array([to_wav(to_payload(t)) for t in texts], pa.binary())})
+    return wavs.withColumnRenamed("id", id_col)
 
 
 def read_tensors(tensors: bytes) -> tuple[list[tuple[float, float]], np.ndarray]:
@@ -209,21 +208,23 @@ def summary(tensors: bytes) -> str:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Store each text, read the stored bytes back, and return digests of both and a summary of the feature tensors, which are stored and read back too."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in sliced(batches, "text"):
+    """Store each text as a WAV file in a table, read it back, and return digests of both and a summary of the feature
+    tensors, which are written and read back too."""
+    text = whole_text()
+    media = materialize(store(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes")).alias("row"), "text"), "row"), "media")
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "media"):
             rows = []
-            for text in pdf["text"]:
-                media = to_wav(to_payload(text))
-                payload, _ = from_wav(media)
-                rows.append((len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), summary(tensors_of(media))))
-            out = pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"], index=pdf.index)
-            yield out.assign(doc_id=pdf["doc_id"])
-
-    kinds = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, doc_id long"
-    out = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInPandas(run, kinds)
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+            for wav in batch.column("media").to_pylist():
+                payload, _ = from_wav(wav)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), summary(tensors_of(wav))))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]], ["row", *names])
+
+    out = media.mapInArrow(run, "row struct<doc_id:bigint,n_bytes:bigint>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return out.select("row.doc_id", "row.n_bytes", *names)
 
 
 def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,30 +3,34 @@
 A url that a rule fits (host and its subdomains, path prefix, longest rule first) gets the rule's verdict.  These rule
 verdicts are the labels from which the method judges all other urls:
 
-1. Each path becomes a chain of segments (``DEPTH`` deep; what lies deeper is one wildcard).  Segments that vary by
-   their form (digits, long hexadecimal, long mixed) are generalised to wildcards at once.
-2. The tree's nodes are counted per site, level and parent.  Where a node's children are many and few urls share one
-   (more than ``MANY`` children, mean below ``FEW``), they vary too and merge into a wildcard.
-3. Branches of the same template on different hosts of a site (host without its first label) are statistically similar
-   if their shares of labelled urls that are blocked don't differ by more than their smoothed errors; such branches
-   pool their labels with the site's, others keep their own.  In the same way the branches of a template in different
-   top-level domains are compared with the template's pool across all hosts, and take it where similar or unlabelled.
-4. A template is blocked if its purity, the share of blocked among its labelled urls, smoothed with the purity of the
-   wider pool (site, then top-level domain and template, then template, then all) as ``PRIOR`` pseudo-counts, is ``BLOCK`` or more.
+1. Each path becomes a chain of segments, as deep as it is.  Segments that vary by their form (digits, long
+   hexadecimal, long mixed) are generalised to wildcards at once.
+2. The tree's nodes are counted per host, level and parent, level by level down to the deepest one present.  Where a
+   node's children are many and few urls share one (more than ``MANY`` children, mean below ``FEW``), they vary too and
+   merge into a wildcard.
+3. A template's labels are seen in ever narrower branches: the tree's root, each prefix of the template over all hosts,
+   the whole template there, then within its top-level domain, its site and its host.  A branch is statistically
+   similar to the one that it is part of if the likelihood-ratio test (``CRITICAL``) tells its share of blocked urls
+   from that of the rest no further than chance does; it then merges into it and has its purity.  A branch without
+   labels merges likewise.
+4. A branch that stands alone has the purity of its own labels, smoothed with that of the branch around it as ``PRIOR``
+   pseudo-counts; so a template's purity is that of the narrowest branch that stands alone.  Templates of purity
+   ``BLOCK`` or more are rejected.
 
 Counts are pre-aggregated; the tree holds templates, never urls, and the join back to the pages is an equi-join that
-Spark may split where one host holds a large part of all rows.
+Spark may split where one host holds a large part of all rows.  Prefixes are known by their 64-bit hashes.
 
-Defined results: null urls and urls without ``://`` have an empty host and path and are allowed unless their pool says
-otherwise; ties of rule length can't occur (rules differ in host or path; the longer host wins, then the smaller
-text); repeated rows repeat; other columns are ignored; an empty table gives an empty table.
+Defined results: null urls and urls without ``://`` have an empty host and path and the template of no segments; very
+long urls are taken whole; ties of rule length go to the longer host, then the smaller text; repeated rows repeat;
+null ids and ids of any size come back as they are; other columns, whatever their names, are ignored; without any
+label nothing is blocked; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -51,9 +55,12 @@ RULES = (
     UrlRule("allow", "com", "/fr/"),
     UrlRule("block", "com", "/de/"),
 )
-DEPTH = 4
 MANY, FEW = 20, 8.0
 PRIOR, BLOCK = 4.0, 0.5
+#: Chi-squared with one degree of freedom at 5 %.
+CRITICAL = 3.841
+#: A registrable domain: a label before the top-level domain, or before a common second level of a country.
+SITE = r"(?:^|\.)([^.]+\.(?:(?:co|com|org|net|ac|gov|edu)\.[a-z]{2}|[^.]+))$"
 
 
 def host_of(url: Column) -> Column:
@@ -86,62 +93,84 @@ def _general(segment: Column) -> Column:
     return F.when(varies, F.concat(F.lit("*"), ext)).otherwise(segment)
 
 
-def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``urls`` (host, path, ...) with site, tld and levels: the generalised segments, at most ``depth`` and a rest mark."""
+def templates(urls: DataFrame) -> DataFrame:
+    """``urls`` (host, path, ...) with site, tld and levels: the generalised segments."""
     segments = F.filter(F.split(F.col("path"), "/"), lambda s: s != "")
-    cut = F.transform(F.slice(segments, 1, depth), _general)
-    labels = F.split(F.col("host"), r"\.")
-    site = F.when(F.size(labels) > 2, F.array_join(F.slice(labels, 2, 1_000), ".")).otherwise(F.col("host"))
-    return urls.withColumns({"site": site, "tld": F.element_at(labels, -1), "levels": F.when(F.size(segments) > depth, F.array_append(cut, F.lit("**"))).otherwise(cut)})
+    site = F.regexp_extract("host", SITE, 1)
+    return urls.withColumns({"site": F.when(site == "", F.col("host")).otherwise(site), "tld": F.substring_index("host", ".", -1), "levels": F.transform(segments, _general)})
 
 
-def _merged(tree: DataFrame, depth: int) -> DataFrame:
-    """``tree`` (host, levels, n, ...) with template: levels whose nodes have many rare children are wildcards."""
-    out = tree.withColumn("template", F.lit(""))
-    for i in range(depth):
+def merged(tree: DataFrame) -> DataFrame:
+    """``tree`` (host, levels, n, ...) with template: a host's nodes with many rare children are wildcards."""
+    deepest = tree.agg(F.max(F.size("levels"))).first()[0] or 0
+    active, done = tree.withColumn("template", F.lit("")), []
+    for i in range(deepest):
         level = F.get("levels", F.lit(i))
-        node = out.select("site", "template", level.alias("child"), "n").where("child IS NOT NULL").groupBy("site", "template", "child").agg(F.sum("n").alias("n"))
-        wide = node.groupBy("site", "template").agg(F.count("*").alias("children"), F.sum("n").alias("total"))
-        wide = wide.where((F.col("children") > MANY) & (F.col("total") < FEW * F.col("children"))).select("site", "template", F.lit(True).alias("wide"))
-        joined = out.join(wide, ["site", "template"], "left")
+        done.append(active.where(F.size("levels") == i))
+        active = active.where(F.size("levels") > i)
+        nodes = active.groupBy("host", "template", level.alias("child")).agg(F.sum("n").alias("n"))
+        wide = nodes.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("total"))
+        wide = wide.where((F.col("children") > MANY) & (F.col("total") < FEW * F.col("children"))).select("host", "template", F.lit(True).alias("wide"))
         step = F.when(F.col("wide") & ~level.startswith("*"), F.lit("*")).otherwise(level)
-        out = joined.withColumn("template", F.when(level.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step))).drop("wide")
-    return out.withColumn("template", F.when(F.size("levels") > depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
-
-
-def judged(tree: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """host, levels, template, purity, verdict of each row of ``tree`` (host, site, tld, levels, n, labelled, blocked)."""
-    merged = materialize(_merged(tree, depth), "templates")
-
-    def pool(keys: list[str], name: str) -> DataFrame:
-        return merged.groupBy(*keys).agg(F.sum("labelled").alias(f"{name}_n"), F.sum("blocked").alias(f"{name}_b"))
-
-    # all labels: one row; then the template across all hosts, and within top-level domain, site and host
-    every = merged.agg(F.sum("labelled").alias("all_n"), F.sum("blocked").alias("all_b"))
-    own = pool(["host", "site", "tld", "template"], "own")
-    joined = own.join(pool(["site", "template"], "site"), ["site", "template"]).join(pool(["tld", "template"], "tld"), ["tld", "template"]).join(pool(["template"], "any"), "template").join(F.broadcast(every))
-    base = F.coalesce(F.col("all_b") / F.nullif(F.col("all_n"), F.lit(0)), F.lit(0.0))
-    smooth = lambda b, n, prior: (b + PRIOR * prior) / (n + PRIOR)
-    error = lambda one, two: F.sqrt(0.25 / (F.col(one) + PRIOR) + 0.25 / (F.col(two) + PRIOR))
-    anywhere = smooth(F.col("any_b"), F.col("any_n"), base)
-    domain = smooth(F.col("tld_b"), F.col("tld_n"), anywhere)
-    wide = F.when(F.abs(domain - anywhere) <= 2 * error("tld_n", "any_n"), anywhere).otherwise(domain)
-    site = smooth(F.col("site_b"), F.col("site_n"), wide)
-    alone = smooth(F.col("own_b"), F.col("own_n"), wide)
-    similar = F.abs(alone - site) <= 2 * error("own_n", "site_n")
-    purity = F.when(similar, site).otherwise(alone)
-    verdicts = joined.select("host", "template", F.round(purity, 6).alias("purity"), F.when(F.round(purity, 6) >= BLOCK, "block").otherwise("allow").alias("learned"))
-    return merged.select("host", "levels", "template").join(verdicts, ["host", "template"])
-
-
-def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, depth: int = DEPTH) -> DataFrame:
+        # each level is written: it is read twice, so plans would double with every level
+        active = materialize(active.join(wide, ["host", "template"], "left").withColumn("template", F.concat("template", F.lit("/"), step)).drop("wide"), "levels")
+    for part in done:
+        active = active.unionByName(part)
+    return active
+
+
+def _information(b: Column, n: Column) -> Column:
+    """Log-likelihood of b blocked among n urls at their own share."""
+    term = lambda k: F.when(k > 0, k * F.ln(k / n)).otherwise(0.0)
+    return term(b) + term(n - b)
+
+
+def purity(base: Column, chain: Column) -> Column:
+    """Purity at the end of ``chain``, an array of (n, b) from the root to the narrowest branch; ``base`` is the root's."""
+
+    def narrower(wide: Column, x: Column) -> Column:
+        n, b = x["n"], x["b"]
+        rest_n, rest_b = wide["n"] - n, wide["b"] - b
+        ratio = 2 * (_information(b, n) + _information(rest_b, rest_n) - _information(wide["b"], wide["n"]))
+        alone = (n > 0) & (rest_n > 0) & (ratio >= CRITICAL)
+        return F.struct(n.alias("n"), b.alias("b"), F.when(alone, (b + PRIOR * wide["p"]) / (n + PRIOR)).otherwise(wide["p"]).alias("p"))
+
+    first = F.get(chain, F.lit(0))
+    start = F.struct(first["n"].alias("n"), first["b"].alias("b"), base.alias("p"))
+    return F.aggregate(F.slice(chain, 2, F.greatest(F.size(chain) - 1, F.lit(0))), start, narrower)["p"]
+
+
+def judged(tree: DataFrame) -> DataFrame:
+    """host, levels, template, purity, learned of each row of ``tree`` (host, site, tld, levels, n, labelled, blocked)."""
+    named = materialize(merged(tree), "templates")
+    sums = [F.sum("labelled").alias("n"), F.sum("blocked").alias("b")]
+    pair = F.struct("n", "b")
+    own = named.groupBy("host", "site", "tld", "template").agg(*sums)
+    every = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).select(pair.alias("root"))
+    # the chain of a template's prefixes, each a hash of the one before it and its own segment
+    anywhere = own.groupBy("template").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    hashes = F.aggregate(F.slice(F.split("template", "/"), 2, 1 << 30), F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.xxhash64(F.element_at(a, -1), x)))
+    prefixes = materialize(anywhere.select("template", "n", "b", F.posexplode(F.slice(hashes, 2, 1 << 30)).alias("at", "hash")), "prefixes")
+    nodes = prefixes.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    found = prefixes.select("template", "at", "hash").join(nodes, "hash").groupBy("template").agg(F.array_sort(F.collect_list(F.struct("at", "n", "b"))).alias("path"))
+    pool = lambda keys, name: own.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("b").alias("b")).select(*keys, pair.alias(name))
+    joined = own.join(found, "template", "left").join(pool(["tld", "template"], "in_tld"), ["tld", "template"]).join(pool(["site", "template"], "in_site"), ["site", "template"]).join(F.broadcast(every))
+    path = F.transform(F.coalesce("path", F.array().cast("array<struct<at:int,n:bigint,b:bigint>>")), lambda x: F.struct(x["n"].alias("n"), x["b"].alias("b")))
+    # the template over all hosts is the last prefix; the template of no segments has none and starts from its own pool
+    chain = F.concat(F.array("root"), path, F.array("in_tld"), F.array("in_site"), F.array(pair))
+    base = F.coalesce(F.col("root.b") / F.nullif(F.col("root.n"), F.lit(0)), F.lit(0.0))
+    value = F.round(purity(base, chain), 6)
+    verdicts = joined.select("host", "template", value.alias("purity"), F.when(value >= BLOCK, "block").otherwise("allow").alias("learned"))
+    return named.select("host", "levels", "template").join(verdicts, ["host", "template"])
+
+
+def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of every page's url."""
     urls = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     urls = urls.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    cut = templates(urls, depth)
-    labelled = F.count("fit.rule_verdict")
-    tree = cut.groupBy("host", "site", "tld", "levels").agg(F.count("*").alias("n"), labelled.alias("labelled"), F.count_if(F.col("fit.rule_verdict") == "block").alias("blocked"))
-    verdicts = judged(tree, depth)
+    cut = templates(urls)
+    tree = cut.groupBy("host", "site", "tld", "levels").agg(F.count("*").alias("n"), F.count("fit.rule_verdict").alias("labelled"), F.count_if(F.col("fit.rule_verdict") == "block").alias("blocked"))
+    verdicts = judged(materialize(tree, "tree"))
     out = cut.join(verdicts, ["host", "levels"], "left")
     return out.select(F.col("page_id").cast("long").alias("page_id"), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.rule_verdict", "learned", F.lit("allow")).alias("verdict"), "template", "purity")
 

@@ -17,11 +17,14 @@ candidates is lost, while pairs inside a component, which can't change the resul
 exact: Jaccard similarity of the sets of shingles of at least ``threshold``.  Classes are the connected components; a
 class is named by its least doc_id.
 
+Hubs may hold a large part of all nodes, so whatever is joined by hub is dealt out by (hub, salt).
+
 Defined results: null and blank texts (white space only) are each a class of their own; texts without letters or
-digits are alike only if equal; repeated rows are one class; null ids are members like others but name a class only if
-no member has an id; other columns are ignored by ``classes`` and kept by ``drop_near_duplicates``, which keeps the row
-of the least doc_id of each class (of equal ids that of the least text hash, of equal rows one); an empty table gives
-an empty table.
+digits are alike only if equal; very long texts are compared whole; repeated rows are one class; null ids are members
+like others but name a class only if no member has an id; ids of any size come back as they are; other columns,
+whatever their names, are ignored by ``classes`` and kept by ``drop_near_duplicates``, which keeps the row of the least
+doc_id of each class (ties: of equal ids that of the least text hash, of equal rows one); an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -29,12 +32,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, whole_text
+from .common import SetAside, derived, map_texts, materialize, release, sliced, texts_of, whole_text
 from .components import connected_components
 from .words import PUNCTUATION, mix, run_hashes, word_hashes
 
@@ -42,6 +45,8 @@ WORDS, THRESHOLD = 5, 0.8
 #: 16 bands of 4: a pair of similarity 0.8 shares a band of its signatures of weight 1 with probability 0.9998.
 BANDS, ROWS = 16, 4
 CHARS = 1_000_000
+#: Parts that the nodes of a hub are dealt out to.
+SALTS = 32
 
 
 def shingles(texts: list[str], k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,39 +111,36 @@ def band_keys(owner: np.ndarray, element: np.ndarray, count: np.ndarray, n: int,
 def signatures(docs: DataFrame, k: int = WORDS, b: int = BANDS, r: int = ROWS) -> DataFrame:
     """doc_id, text_hash, node (null if blank), keys (null if without shingles) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in sliced(batches, "text", CHARS):
-            texts = pdf["text"].tolist()
-            owner, element, count, same = shingles(texts, k)
-            keys = band_keys(owner, element, count, len(texts), b, r)
-            nodes: list[int | None] = []
-            for text, h in zip(texts, same.view("i8").tolist(), strict=True):
-                nodes.append(h if h else xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63) if text.strip() else None)
-            out = pd.DataFrame({"doc_id": pdf["doc_id"], "text_hash": pdf["text_hash"]})
-            out["node"] = pd.array(nodes, dtype="Int64")
-            out["keys"] = pd.Series([x if h else None for x, h in zip(keys, same, strict=True)], out.index, dtype=object)
-            yield out
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    def run(texts: list[str]) -> dict[str, pa.Array]:
+        owner, element, count, same = shingles(texts, k)
+        keys = band_keys(owner, element, count, len(texts), b, r)
+        nodes: list[int | None] = []
+        for text, h in zip(texts, same.view("i8").tolist(), strict=True):
+            nodes.append(h if h else xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63) if text.strip() else None)
+        return {"node": pa.array(nodes, pa.int64()), "keys": pa.array([x if h else None for x, h in zip(keys, same, strict=True)], pa.list_(pa.int64()))}
+
     text = whole_text()
-    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInPandas(run, f"doc_id {kind}, text_hash long, node long, keys array<long>")
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return map_texts(rows, ["doc_id", "text_hash"], "node long, keys array<long>", lambda: run, CHARS)
 
 
 def _compared(links: DataFrame, grams: DataFrame, rests: bool = False) -> DataFrame:
     """The links (a, b) with shared, size_a, size_b: how many shingles; with rests, rest: those of b that a hasn't."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            common = [shared(x, y) for x, y in zip(pdf["ga"], pdf["gb"], strict=True)]
-            out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "shared": [int(c.sum()) for c in common], "size_a": pdf["ga"].str.len(), "size_b": pdf["gb"].str.len()})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)) for x, y in zip(batch.column("ga"), batch.column("gb"), strict=True)]
+            common = [shared(x, y) for x, y in pairs]
+            new = {"shared": [c.sum() for c in common], "size_a": [len(x) for x, _ in pairs], "size_b": [len(y) for _, y in pairs]}
+            out = {name: pa.array(np.array(x, "i4"), pa.int32()) for name, x in new.items()}
             if rests:
-                out["rest"] = [y[~c] for y, c in zip(pdf["gb"], common, strict=True)]
-            yield out
+                out["rest"] = pa.array([y[~c] for (_, y), c in zip(pairs, common, strict=True)], pa.list_(pa.int64()))
+            yield derived(batch, ["a", "b"], out)
 
     one = grams.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
     two = grams.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
     kinds = "a long, b long, shared int, size_a int, size_b int" + ", rest array<long>" * rests
-    return links.join(one, "a").join(two, "b").select("a", "b", "ga", "gb").mapInPandas(run, kinds)
+    return links.join(one, "a").join(two, "b").select("a", "b", "ga", "gb").mapInArrow(run, kinds)
 
 
 def _similar(compared: DataFrame, threshold: float) -> DataFrame:
@@ -153,12 +155,22 @@ def shared(ga: np.ndarray, gb: np.ndarray) -> np.ndarray:
     return ga[np.minimum(np.searchsorted(ga, gb), len(ga) - 1)] == gb
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """``rows`` (hub, node, ...) with salt, which spreads a hub's nodes over tasks."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+
+
+def _with_hubs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``rows`` (hub, salt, ...) joined with ``hubs`` (a row a hub), of which each salt gets a copy."""
+    return rows.join(hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["hub", "salt"])
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """``rows`` (hub, node, ...) with the node's label, and the label that most nodes of the hub have (least one on ties)."""
+    """``rows`` (hub, salt, node, ...) with the node's label, and the label that most nodes of the hub have (least one on ties)."""
     named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counted = named.select("hub", "node", "label").distinct().groupBy("hub", "label").agg(F.count("*").alias("n"))
     groups = counted.groupBy("hub").agg(F.count("*").alias("parts"), F.max_by("label", F.struct("n", -F.col("label"))).alias("largest")).where("parts > 1").drop("parts")
-    return named.join(groups, "hub")
+    return _with_hubs(named, groups)
 
 
 def _meetings(stars: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
@@ -172,9 +184,9 @@ def _meetings(stars: DataFrame, labels: DataFrame, threshold: float) -> DataFram
     Where nothing can be missing, nodes meet in a null gram.
     """
     need = threshold / (1 + threshold)
-    named = _labelled(stars.withColumnsRenamed({"a": "hub", "b": "node", "size_b": "size"}), labels)
+    named = _labelled(_salted(stars.withColumnsRenamed({"a": "hub", "b": "node", "size_b": "size"})), labels)
     least = named.groupBy("hub").agg(F.min("size").alias("least"))
-    mixed = named.join(least, "hub").withColumn("missing", F.ceil(F.lit(need) * (F.col("size") + F.col("least")) - F.col("shared") - 1e-9))
+    mixed = _with_hubs(named, least).withColumn("missing", F.ceil(F.lit(need) * (F.col("size") + F.col("least")) - F.col("shared") - 1e-9))
     mixed = materialize(mixed.select("hub", "node", "size", "shared", "missing", "rest"), "mixed")
     free = mixed.where("missing <= 0").select("hub", F.lit(None).cast("long").alias("gram"), "node", "size", "shared")
     spread = mixed.where(F.size("rest") >= F.col("missing")).select("hub", "node", "size", "shared", (F.size("rest") - F.greatest("missing", F.lit(1)) + 1).alias("prefix"), F.explode("rest").alias("gram"))
@@ -193,17 +205,19 @@ def _met(meetings: DataFrame, labels: DataFrame, threshold: float, star: bool) -
     first meeting at the latest).  In a null gram the former alone must do, as nodes that need a shared rest also meet
     in one of its shingles.
     """
-    named = _labelled(meetings, labels)
+    named = _labelled(_salted(meetings), labels)
     if star:
         one = named.groupBy("hub", "gram").agg(F.min(F.struct("node", "label", "size", "shared", "left")).alias("x")).select("hub", "gram", *[F.col(f"x.{c}").alias(f"{c}_a") for c in ("node", "label", "size", "shared", "left")])
+        one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         other = F.lit(True)
     else:
         one = named.where("label <> largest").select("hub", "gram", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "size", "shared", "left")])
+        one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         other = (F.col("label") == F.col("largest")) | (F.col("node_a") < F.col("node"))
     fits = F.least("size_a", "size") >= F.lit(threshold) * F.greatest("size_a", "size") - 1e-9
     most = F.least("shared_a", "shared") + F.when(one["gram"].isNull(), 0).otherwise(F.least("left_a", "left"))
     fits &= most >= F.lit(threshold / (1 + threshold)) * (F.col("size_a") + F.col("size")) - 1e-9
-    same = (one["hub"] == named["hub"]) & one["gram"].eqNullSafe(named["gram"])
+    same = (one["hub"] == named["hub"]) & (one["salt"] == named["salt"]) & one["gram"].eqNullSafe(named["gram"])
     joined = one.join(named, same & (F.col("label_a") != F.col("label")) & other & fits)
     return joined.select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct()
 
@@ -211,17 +225,18 @@ def _met(meetings: DataFrame, labels: DataFrame, threshold: float, star: bool) -
 def _grams(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """node, grams of the documents that stand for the given nodes."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in sliced(batches, "text", CHARS):
-            owner, element, _, _ = shingles(pdf["text"].tolist(), k)
-            cut = np.searchsorted(owner, np.arange(len(pdf) + 1))
-            yield pd.DataFrame({"node": pdf["node"], "grams": [np.sort(element[a:b].view("i8")) for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", CHARS):
+            owner, element, _, _ = shingles(texts_of(batch), k)
+            cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            grams = [np.sort(element[a:b].view("i8")) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            yield derived(batch, ["node"], {"grams": pa.array(grams, pa.list_(pa.int64()))})
 
     text = whole_text()
     keyed = docs.select(F.col("doc_id").alias("rep_id"), F.xxhash64(text).alias("rep_hash"), text.alias("text"))
     found = nodes.join(keyed, nodes["rep_id"].eqNullSafe(keyed["rep_id"]) & (nodes["rep_hash"] == keyed["rep_hash"]))
-    one = found.select("node", "text").withColumn("_n", F.row_number().over(Window.partitionBy("node").orderBy("text"))).where("_n = 1")
-    return one.select("node", "text").mapInPandas(run, "node long, grams array<long>")
+    one = found.select("node", "text").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("text"))).where("place = 1")
+    return one.select("node", "text").mapInArrow(run, "node long, grams array<long>")
 
 
 def classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, b: int = BANDS, r: int = ROWS) -> DataFrame:
@@ -241,8 +256,8 @@ def classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, b: in
     stars = crowded.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     stars = materialize(stars, "stars")
     touched = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    grams = materialize(_grams(docs, nodes.join(touched, "node"), k), "grams")
-    compared = materialize(_compared(stars, grams, rests=True), "compared")
+    grams = materialize(_grams(docs, nodes.join(touched, "node"), k), "grams", large=True)
+    compared = materialize(_compared(stars, grams, rests=True), "compared", large=True)
     linked = _similar(compared, threshold)
     labels = connected_components(linked)
     # links between nodes that share a bucket but not through its hub: by stars first, then all that is left
@@ -264,11 +279,14 @@ def classes(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD, b: in
 
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class, blank texts all kept."""
-    kept = classes(docs, k, threshold).where("keep").select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), F.col("blank").alias("_blank")).distinct()
-    hashed = docs.withColumn("_hash", F.xxhash64(whole_text()))
-    joined = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_text_hash")))
-    numbered = joined.withColumn("_row", F.row_number().over(Window.partitionBy("_doc_id", "_text_hash").orderBy("_doc_id")))
-    return numbered.where("_row = 1 OR _blank").select(*docs.columns)
+    aside = SetAside.of(docs)
+    keyed = aside.rows.select("*", aside.column("doc_id").alias("doc_id"))
+    kept = classes(keyed.select("doc_id", "text"), k, threshold).where("keep AND NOT blank").select(F.col("doc_id").alias("kept_id"), "text_hash").distinct()
+    release(docs.sparkSession)
+    joined = keyed.withColumn("hash", F.xxhash64(whole_text())).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("text_hash")))
+    # of equal rows one stays; blank texts all do, and are not dealt out
+    first = joined.withColumn("place", F.row_number().over(Window.partitionBy("kept_id", "text_hash").orderBy("kept_id"))).where("place = 1")
+    return aside.back(first.select("row", "text").unionByName(aside.rows.where(~whole_text().rlike(r"(?U)[^\s\x1c-\x1f]"))))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

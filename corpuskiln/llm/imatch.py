@@ -8,16 +8,19 @@ above ``BROADCAST_TERMS`` it is joined by shuffle.  All of it falls at random in
 that every term of the band takes part: any change of a text's set of terms changes its fingerprint.  ``EXTRA`` smaller
 sub-lexicons, of shares that halve from 1 / 64 to 1 / 8192, hold some of the terms once more; they leave hashes
 unchanged when part of a long text, which fills every part, changes.  A document's fingerprint is, for each
-sub-lexicon, a hash of the set of its terms in it (the exclusive or of the terms' 64-bit hashes, of which 32 bits stay).
-Terms meet the lexicon by their 64-bit hashes.
+sub-lexicon in which it has terms, the sub-lexicon's number and a hash of the set of these terms (the exclusive or of
+the terms' 64-bit hashes, of which 32 bits stay).  Terms meet the lexicon by their 64-bit hashes.  Each text's terms
+are found, met with the lexicon and folded in the task that holds the text: one row a term, then one a sub-lexicon,
+then one a document.
 
 Likeness of two fingerprints is the share of sub-lexicons with equal hashes among those in which either has a term;
-if neither has any, 1 if the fingerprints (which then hold a hash of all terms) are equal, else 0.
+if neither has any, 1 if the fingerprints (which then hold a hash of the text) are equal, else 0.
 
-Defined results: null texts are empty; empty texts and texts without lexicon terms have an empty hash for every
-sub-lexicon, and end with a hash of their whole text, so that equal texts, and only they, are alike; rows repeat as
-they are; the next document is the least of the texts under the next smaller id (null ids come last, as one id);
-if all rows share one id, it is that id's least text; other columns are ignored; an empty table gives an empty table.
+Defined results: null texts are empty; empty texts and texts without lexicon terms have a hash of their whole text for
+a fingerprint, so that equal texts, and only they, are alike; very long texts are taken whole; rows repeat as they
+are; the next document is the least of the texts under the next smaller id (ties: of equal ids the least text; null
+ids come last, as one id); if all rows share one id, it is that id's least text; other columns, whatever their names,
+are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -50,16 +53,14 @@ def part(hashed: Column) -> Column:
 
 
 def extra(hashed: Column) -> Column:
-    """Which of the EXTRA sub-lexicons (from PARTS on) a term falls into as well, or -1."""
-    place = F.pmod(F.shiftrightunsigned(hashed, 8), F.lit(8192 * 2)).cast("int")
-    out, end = F.lit(-1), 0
-    edges = []
-    for i in range(EXTRA):
-        end += 2 * 8192 >> (6 + i // EXTRA_A_SHARE)
-        edges.append(end)
-    for i in reversed(range(EXTRA)):
-        out = F.when(place < edges[i], PARTS + i).otherwise(out)
-    return out
+    """Which of the EXTRA sub-lexicons (from PARTS on) a term falls into as well, or -1.
+
+    Other bits of the hash choose: 7 of 32 numbers one of the seven sub-lexicons of a share, the lowest bit set the share.
+    """
+    number = F.shiftrightunsigned(hashed, 8).bitwiseAND(31)
+    bits = F.shiftrightunsigned(hashed, 13).bitwiseAND((1 << 20) - 1)
+    share = F.bit_count(bits.bitwiseAND(-bits) - 1)
+    return F.when((number < EXTRA_A_SHARE) & (share < EXTRA // EXTRA_A_SHARE), PARTS + share * EXTRA_A_SHARE + number).otherwise(-1).cast("int")
 
 
 def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> DataFrame:
@@ -70,28 +71,23 @@ def lexicon(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> DataFram
     return materialize(band.select("hash"), "lexicon")
 
 
-def fingerprint_column(hashes: Column, whole: Column) -> Column:
+def fingerprint_column(slots: Column, whole: Column) -> Column:
     """The fingerprint as text; ``whole`` is a hash of the text itself, which stands for one without lexicon terms."""
-    shown = F.transform(hashes, lambda x: F.coalesce(F.lpad(F.substring(F.lower(F.hex(x)), -8, 8), 8, "0"), F.lit("")))
-    return F.concat_ws("-", F.array_join(shown, "-"), F.when(_without(hashes), whole).otherwise(""))
-
-
-def _without(hashes: Column) -> Column:
-    return ~F.exists(hashes, lambda x: x.isNotNull())
+    shown = F.transform(slots, lambda x: F.lpad(F.lower(F.hex(x)), 10, "0"))
+    return F.when(F.size(slots) > 0, F.array_join(shown, "-")).otherwise(whole)
 
 
 def likeness(one: Column, two: Column, whole_one: Column, whole_two: Column) -> Column:
-    pairs = F.zip_with(one, two, lambda a, b: F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a == b, F.lit(False))))
-    used, equal = F.size(F.filter(pairs, lambda p: p.isNotNull())), F.size(F.filter(pairs, lambda p: p))
-    return F.when(used > 0, equal / used).otherwise((whole_one == whole_two).cast("double"))
+    places = lambda slots: F.transform(slots, lambda x: F.shiftright(x, 32))
+    used = F.size(F.array_union(places(one), places(two)))
+    return F.when(used > 0, F.size(F.array_intersect(one, two)) / used).otherwise((whole_one == whole_two).cast("double"))
 
 
 def fingerprints(rows: DataFrame, words: DataFrame, columns: list[str], kept: list[str]) -> DataFrame:
-    """``kept`` columns of ``rows``, which together tell rows apart, with ``<name>_hashes`` (one int for each sub-lexicon,
-    null where the text has none of its terms) and ``<name>_whole`` for each text column.
+    """``kept`` columns of ``rows``, of which ``key`` and ``number`` tell rows apart and ``key`` deals them out, with
+    ``<name>_slots`` (sub-lexicon << 32 | hash, in order) and ``<name>_whole`` for each text column.
 
-    Each text's distinct terms are exploded and met with the lexicon in the same task (a broadcast where its size
-    allows), and fold into one row a text there.  A mark that the lexicon holds keeps rows without lexicon terms.
+    A mark that the lexicon holds too keeps rows without lexicon terms.
     """
     spark = rows.sparkSession
     many = words.count() > BROADCAST_TERMS
@@ -102,13 +98,12 @@ def fingerprints(rows: DataFrame, words: DataFrame, columns: list[str], kept: li
     whole = [F.substring(F.sha2(c, 256), 1, 16).alias(f"{c}_whole") for c in columns]
     found = rows.select(*kept, *whole, F.explode(F.array(*sides)).alias("x")).select(*keys, "x.side", F.explode("x.terms").alias("term"))
     found = found.select(*keys, "side", term_hash(F.col("term")).alias("hash")).join(marked if many else F.broadcast(marked), "hash", "left_semi")
-    placed = found.withColumns({"part": part(F.col("hash")), "extra": extra(F.col("hash"))})
-    mixed = [F.bit_xor(F.when(F.col("part" if k < PARTS else "extra") == k, F.xxhash64("hash"))).alias(f"h{k}") for k in range(PARTS + EXTRA)]
-    folded = placed.groupBy(*keys, "side").agg(*mixed)
-    hashes = F.array(*[F.shiftright(f"h{k}", 32).cast("int") for k in range(PARTS + EXTRA)])
-    none = F.array_repeat(F.lit(None).cast("int"), PARTS + EXTRA)
-    sets = [F.coalesce(F.max(F.when(F.col("side") == i, F.col("hashes"))), none).alias(f"{c}_hashes") for i, c in enumerate(columns)]
-    return folded.select(*keys, "side", hashes.alias("hashes")).groupBy(*keys).agg(*sets)
+    # a term is in one of the disjoint sub-lexicons, and may be in one of the others
+    slots = F.explode(F.filter(F.array(part(F.col("hash")), extra(F.col("hash"))), lambda x: x >= 0)).alias("slot")
+    folded = found.select(*keys, "side", "hash", slots).groupBy(*keys, "side", "slot").agg(F.bit_xor(F.xxhash64("hash")).alias("mixed"))
+    packed = F.shiftleft(F.col("slot").cast("long"), 32).bitwiseOR(F.shiftrightunsigned("mixed", 32))
+    sets = [F.sort_array(F.collect_list(F.when(F.col("side") == i, F.col("packed")))).alias(f"{c}_slots") for i, c in enumerate(columns)]
+    return folded.select(*keys, "side", packed.alias("packed")).groupBy(*keys).agg(*sets)
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
@@ -153,9 +148,9 @@ def fingerprint_digests(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next document's."""
     words = lexicon(docs)
     rows = with_edited(docs).withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)})
-    small = materialize(fingerprints(rows, words, ["text", "edited"], ["doc_id", "key", "number", "next_key", "n_chars", "edited_sha256"]), "fingerprints")
-    following = small.where("number = 1").select(F.col("key").alias("next_key"), F.col("text_hashes").alias("next_hashes"), F.col("text_whole").alias("next_whole"))
-    text, edited, after = ((F.col(f"{c}_hashes"), F.col(f"{c}_whole")) for c in ("text", "edited", "next"))
+    small = materialize(fingerprints(rows, words, ["text", "edited"], ["doc_id", "key", "number", "next_key", "n_chars", "edited_sha256"]), "fingerprints", large=True)
+    following = small.where("number = 1").select(F.col("key").alias("next_key"), F.col("text_slots").alias("next_slots"), F.col("text_whole").alias("next_whole"))
+    text, edited, after = ((F.col(f"{c}_slots"), F.col(f"{c}_whole")) for c in ("text", "edited", "next"))
     return small.join(following, "next_key").select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "n_chars",

@@ -4,11 +4,13 @@
 contractions, letter runs, single digits and other runs; byte alphabet; merges; a suffix marks a word's end) and
 gives the ids that the tokenizers library gives.  A word is encoded with a priority queue of merge ranks over a
 doubly linked symbol list: each pop merges the lowest-ranked adjacent pair, leftmost first; entries whose symbols have
-changed meanwhile are stale and skipped.  Words repeat, so results are kept in a bounded table per worker.
+changed meanwhile are stale and skipped.  Words repeat, so results are kept in tables bounded in bytes, which a worker
+gives up when its task ends.
 
 Defined results: null and empty texts give no ids, the digest of no bytes and the digest of the empty string; text of
-white space alone gives no ids; special tokens' strings in a text become their ids, as in the library; repeated rows
-give repeated results; other columns are ignored; an empty table gives an empty table.
+white space alone gives no ids; special tokens' strings in a text become their ids, as in the library; very long texts
+are encoded whole, run by run; repeated rows give repeated results; ids of any size and null ids come back as they are;
+other columns, whatever their names, are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,21 +19,23 @@ import hashlib
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, whole_text
+from .common import map_texts, quoted, whole_text
 
 #: Unicode's White_Space property, written out as the library's regular expressions take it.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Entries of a worker's table of encoded words; at twice as many the older half goes.
-WORD_CACHE = 400_000
+#: Bytes that each of a task's two tables of encoded runs and its table of encoded words may take.
+TABLE_BYTES = 24_000_000
+#: What an entry takes beside its characters and ids: two objects' heads, the hash slot.
+ENTRY_BYTES = 190
 
 
 def default_path() -> str:
@@ -71,10 +75,15 @@ class Bpe:
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+").findall
         self.runs = regex.compile(rf"[^{SPACE}]+").findall
         self.bytes = byte_alphabet()
+        self.forget()
+        self.controls = regex.compile(r"[\x1c-\x1f]").search
+
+    def forget(self) -> None:
+        """Give up all tables."""
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.controls = regex.compile(r"[\x1c-\x1f]").search
+        self.known_bytes = self.words_bytes = 0
 
     def normalize(self, text: str) -> str:
         if not text.isascii():
@@ -123,19 +132,22 @@ class Bpe:
         runs = self.runs(text) if self.controls(text) else text.split()
         known = self.known
         if new := set(runs).difference(known):
-            older = self.older
+            older, size = self.older, 0
             for run in new:
-                known[run] = older.get(run) or b"".join([self._word(w) for w in self.split(self.normalize(run))])
+                known[run] = ids = older.get(run) or b"".join([self._word(w) for w in self.split(self.normalize(run))])
+                size += ENTRY_BYTES + 4 * len(run) + len(ids)
+            self.known_bytes += size
         out = b"".join(map(known.__getitem__, runs))
-        if len(known) > WORD_CACHE:
-            self.older, self.known = known, {}
+        if self.known_bytes > TABLE_BYTES:
+            self.older, self.known, self.known_bytes = known, {}, 0
         return out
 
     def _word(self, word: str) -> bytes:
         if (out := self.words.get(word)) is None:
-            if len(self.words) > 2 * WORD_CACHE:
-                self.words.clear()
+            if self.words_bytes > TABLE_BYTES:
+                self.words, self.words_bytes = {}, 0
             out = self.words[word] = array("I", self.word(word)).tobytes()
+            self.words_bytes += ENTRY_BYTES + 4 * len(word) + len(out)
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -156,49 +168,63 @@ def load(path: str) -> Bpe:
     return _LOADED[path]
 
 
+class Work:
+    """A function of a batch's texts that gives up the tokenizer's tables when its task ends."""
+
+    def __init__(self, path: str, derive: Callable[[Bpe, list[str]], dict[str, pa.Array]]):
+        self.bpe, self.derive = load(path), derive
+
+    def __call__(self, texts: list[str]) -> dict[str, pa.Array]:
+        return self.derive(self.bpe, texts)
+
+    def close(self) -> None:
+        self.bpe.forget()
+
+
+def _ids(bpe: Bpe, texts: list[str]) -> dict[str, pa.Array]:
+    packed = [bpe.packed(t) for t in texts]
+    ends = np.cumsum([0, *[len(p) // 4 for p in packed]])
+    flat = np.frombuffer(b"".join(packed), "<u4").astype("i8")
+    return {"ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))}
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ids (array of long) of each whole text."""
     path = path or default_path()
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = load(path)
-        for pdf in sliced(batches, "text"):
-            yield pd.DataFrame({"id": pdf["id"], "ids": [np.frombuffer(bpe.packed(t), "<u4").astype("i8") for t in pdf["text"]]})
-
-    return docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text")).mapInPandas(run, f"id {kind}, ids array<bigint>").withColumnRenamed("id", id_col)
+    rows = docs.select(quoted(id_col).alias("id"), whole_text(text_col).alias("text"))
+    return map_texts(rows, ["id"], "ids array<bigint>", lambda: Work(path, _ids)).withColumnRenamed("id", id_col)
 
 
 def decode_ids(df: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id_col``, text: the vocabulary strings of ``ids_col``; null ids give the empty string."""
     path = path or default_path()
-    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(quoted(id_col).alias("id"), F.coalesce(quoted(ids_col), F.array().cast("array<bigint>")).alias("ids"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "text": [bpe.decode(x.tolist()) for x in pdf["ids"]]})
+        for batch in batches:
+            texts = [bpe.decode(x) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
-    ids = F.coalesce(F.col(ids_col), F.array().cast("array<bigint>"))
-    return df.select(F.col(id_col).alias("id"), ids.alias("ids")).mapInPandas(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+
+
+def _digests(bpe: Bpe, texts: list[str]) -> dict[str, pa.Array]:
+    counts, ids_sha, text_sha = [], [], []
+    for text in texts:
+        packed = bpe.packed(text)
+        counts.append(len(packed) // 4)
+        ids_sha.append(hashlib.sha256(packed).hexdigest())
+        text_sha.append(hashlib.sha256(bpe.decode(np.frombuffer(packed, "<u4").tolist()).encode()).hexdigest())
+    return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
 
 
 def encode_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode each text, decode its ids, and return the digests of both (see the module for edge cases)."""
     path = path or default_path()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = load(path)
-        for pdf in sliced(batches, "text"):
-            counts, ids_sha, text_sha = [], [], []
-            for text in pdf["text"]:
-                packed = bpe.packed(text)
-                counts.append(len(packed) // 4)
-                ids_sha.append(hashlib.sha256(packed).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(np.frombuffer(packed, "<u4").tolist()).encode()).hexdigest())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": text_sha})
-
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    return map_texts(rows, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda: Work(path, _digests))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,46 +6,53 @@ with an inserted or dropped character stays close to the plain one.  ``LANDMARKS
 maps to its kernel values with them times the inverse root of their own kernel matrix (Nystrom), where a linear
 support vector machine is trained.  Labels belong to documents, so training takes several instances to a label: words
 of clean documents are clean examples, first frequent ones, then those that the machine takes for toxic; of toxic
-documents the words typical of them (by likelihood ratio) are examples as long as the machine agrees.
+documents the words typical of them (by likelihood ratio, above what chance gives among so many words) are examples as
+long as the machine agrees, and of toxic documents without such a word the one that comes nearest.
 A document's score is a logistic function of its worst word, fitted on the same training rows.
 
 Only labelled rows with crc32(doc_id) mod 5 <> 0 train, and of these the ``SAMPLE`` with the least hash of the id
-(a documented bound: documents beyond it change the machine little); everything else covers all rows and whole texts.
-A word's margin does not depend on its document, so each worker keeps a bounded table of margins by word.
-
-Defined results: null, empty and wordless texts get the score of a text without any word, below 0.5; equal texts get
-equal scores; repeated rows repeat; a table without labelled rows of both kinds scores every text 0; other columns
-pass through ``drop_toxic`` unchanged; an empty table gives an empty table.
+(a documented bound on rows: documents beyond it change the machine little); of each its distinct words, found in
+Spark, are gathered, however long the text is.  Everything else covers all rows and whole texts.
+A word's margin does not depend on its document, so a task keeps a table of margins by word, bounded in bytes and given
+up when the task ends.
+
+Defined results: null, empty and wordless texts get the score of a text without any word, below 0.5; very long texts
+are scored whole, like any; equal texts get equal scores (ties too); repeated rows repeat; of several labels of an id
+the larger counts, of several labelled rows of an id that with the least hash of its text trains; null ids are never
+held out and never train, ids of any size come back as they are; a table without labelled rows of both kinds scores
+every text 0; other columns, whatever their names, pass through ``drop_toxic`` unchanged; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, whole_text
+from .common import SetAside, map_texts, materialize, whole_text
 
 ORDER, DECAY = 4, 0.6
 LANDMARKS = 256
-#: Training documents at most, a third of them toxic, and their characters at most.
-SAMPLE, SAMPLE_CHARS = 6000, 16_000_000
+#: Training documents at most, a third of them toxic.
+SAMPLE = 6000
 LONGEST = 20
-#: Likelihood ratio from which a word counts as typical of toxic documents.
+#: Likelihood ratio from which a word counts as typical of toxic documents, at most; fewer words ask for less.
 TYPICAL = 24.0
 ROUNDS = 5
 SINGLES = regex.compile(r"(?<![\p{L}\p{N}])(?:\p{L}[\s._*-]{1,2}){3,}\p{L}(?![\p{L}\p{N}])")
 LETTERS = regex.compile(r"[^\p{L}]+")
-MARGINS = 500_000
+#: Bytes that a task's table of margins may take, and those of an entry beside its characters.
+TABLE_BYTES, ENTRY_BYTES = 48_000_000, 190
 
 
 def runs(text: str) -> set[str]:
@@ -194,10 +201,19 @@ def _ratio(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray
 
 def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Model | None:
     """A model from labelled texts; None without both labels or without words."""
+    return train_words([instances(t) for t in texts], labels, landmarks)
+
+
+def instances(text: str) -> list[str]:
+    """The distinct words of a text, in order."""
+    return sorted({w for r in runs(text) for w in letters(r)})
+
+
+def train_words(docs: list[list[str]], labels: list[int], landmarks: int = LANDMARKS) -> Model | None:
+    """A model from the words of labelled documents; None without both labels or without words."""
     y = np.asarray(labels)
     if not len(y) or y.min() == y.max():
         return None
-    docs = [sorted({w for r in runs(t) for w in letters(r)}) for t in texts]
     seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
     for d, label in zip(docs, labels, strict=True):
         seen[label].update(d)
@@ -206,8 +222,17 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mo
     suspects = sorted(seen[1])
     ratio = dict(zip(suspects, _ratio(np.array([seen[1][w] for w in suspects], "f8"), np.array([seen[0][w] for w in suspects], "f8"), int(y.sum()), int((1 - y).sum())).tolist(), strict=True))
     ordered = sorted(suspects, key=lambda w: (-ratio[w], w))
-    likely = [w for w in ordered if ratio[w] >= TYPICAL][:3000] or ordered[:20]
-    clean = sorted((w for w in seen[0] if ratio.get(w, 0) < TYPICAL / 2), key=lambda w: (-seen[0][w], w))
+    # what the largest of so many ratios would be by chance
+    typical = min(TYPICAL, 2 * np.log(1 + sum(seen[0][w] + seen[1][w] > 2 for w in suspects)))
+    likely = [w for w in ordered if ratio[w] >= typical][:3000] or ordered[:20]
+    found = set(likely)
+    for d, label in zip(docs, labels, strict=True):
+        if label and d and found.isdisjoint(d):
+            best = min(d, key=lambda w: (-ratio[w], w))
+            if ratio[best] >= typical / 2 and not seen[0][best]:
+                likely.append(best)
+                found.add(best)
+    clean = sorted((w for w in seen[0] if ratio.get(w, 0) < typical / 2), key=lambda w: (-seen[0][w], w))
     if not clean:
         return None
     spread = clean[:: max(1, len(clean) // landmarks)]
@@ -258,51 +283,50 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     # by hash of the id; chosen before any text is read
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("toxic = 1").orderBy(*order).limit(sample // 3).union(known.where("toxic = 0").orderBy(*order).limit(sample - sample // 3))
-    # a text over the bound of an even share, eightfold, is left out of training (never out of scoring)
-    chosen = docs.select("doc_id", whole_text().alias("text")).where(F.length("text") <= 8 * SAMPLE_CHARS // sample).join(F.broadcast(some), "doc_id")
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in chosen.collect())
-    kept, size = [], 0
-    for _, text, toxic in sorted(rows, key=lambda r: zlib.crc32(str(r[0]).encode())):
-        if size + len(text) <= SAMPLE_CHARS:
-            kept.append((text, int(toxic)))
-            size += len(text)
-    return train([t for t, _ in kept], [y for _, y in kept])
-
-
-_MARGINS: dict[int, dict[str, float]] = {}
-
-
-def _score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` (any columns, text not null) with score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    number = id(shared)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        if number not in _MARGINS:
-            _MARGINS.clear()
-            _MARGINS[number] = {}
-        known = _MARGINS[number]
-        for pdf in sliced(batches, "_text"):
-            if model is None:
-                yield pdf.assign(score=0.0)
-                continue
-            found = [runs(t) for t in pdf["_text"]]
-            if len(known) > MARGINS:
-                known.clear()
-            new = sorted(set().union(*found).difference(known))
-            known.update(zip(new, model.run_margins(new).tolist(), strict=True))
-            worst = np.array([max(map(known.__getitem__, d), default=model.empty) for d in found])
-            yield pdf.assign(score=model.probability(worst))
-
-    return docs.mapInPandas(run, f"{kinds}, score double")
+    text = whole_text()
+    chosen = docs.select("doc_id", F.xxhash64(text).alias("hash"), text.alias("text")).join(F.broadcast(some), "doc_id")
+    worded = map_texts(chosen, ["doc_id", "hash", "toxic"], "words string", lambda: lambda texts: {"words": pa.array([" ".join(instances(t)) for t in texts], pa.string())})
+    rows = materialize(worded.groupBy("doc_id", "toxic").agg(F.min_by("words", "hash").alias("words")), "training").collect()  # ``sample`` rows
+    rows.sort(key=lambda r: r["doc_id"])
+    shared: dict[str, str] = {}  # one string a word, not one an occurrence
+    return train_words([[shared.setdefault(w, w) for w in r["words"].split()] for r in rows], [int(r["toxic"] > 0) for r in rows])
+
+
+class Scorer:
+    """Scores of texts, with a table of margins for one task."""
+
+    def __init__(self, model: Model | None):
+        self.model, self.known, self.size = model, {}, 0
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        if self.model is None:
+            return np.zeros(len(texts))
+        found = [runs(t) for t in texts]
+        if self.size > TABLE_BYTES:
+            self.known, self.size = {}, 0
+        new = sorted(set().union(*found).difference(self.known))
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
+            self.known.update(zip(part, self.model.run_margins(part).tolist(), strict=True))
+        self.size += sum(map(len, new)) + ENTRY_BYTES * len(new)
+        return self.model.probability(np.array([max(map(self.known.__getitem__, d), default=self.model.empty) for d in found]))
+
+
+def _score(rows: DataFrame, kept: list[str], model: Model | None) -> DataFrame:
+    """The kept columns of ``rows`` with the score of ``text``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def make() -> Callable[[list[str]], dict[str, pa.Array]]:
+        scorer = Scorer(shared.value)
+        return lambda texts: {"score": pa.array(scorer(texts), pa.float64())}
+
+    return map_texts(rows, kept, "score double", make)
 
 
 def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     model = fit(docs, labels, sample)
-    out = _score(docs.select(F.col("doc_id").cast("long"), whole_text().alias("_text")), model).drop("_text")
+    out = _score(docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")), ["doc_id"], model)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -310,7 +334,8 @@ def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without the documents scored 0.5 or more."""
     model = fit(docs, labels, sample)
-    return _score(docs.withColumn("_text", whole_text()), model).where("score < 0.5").select(*docs.columns)
+    aside = SetAside.of(docs)
+    return aside.back(_score(aside.rows, ["row", "text"], model).where("score < 0.5"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

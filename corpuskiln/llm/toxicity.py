@@ -26,9 +26,11 @@ empty table.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from copy import copy
 from dataclasses import dataclass
 from functools import cache
 from itertools import combinations
@@ -136,16 +138,22 @@ class Landmarks:
             whole &= c[:, p] > 0
         return np.where(whole, out, -1)
 
-    def values(self, words: list[str], weights: np.ndarray | None = None) -> np.ndarray:
-        """Normalised kernel values of words with the landmarks; with weights, their weighted sum only.
+    def weighted(self, weights: np.ndarray) -> Landmarks:
+        """The same with a weighted sum of kernel values in place of the values, which takes little memory.
 
-        A weighted sum of kernel values is linear in a word's subsequences, so it is one look-up for each of them.
+        The sum is linear in a word's subsequences, so it is one look-up for each of them.
         """
-        features = self.features if weights is None else (self.features @ weights.astype("f4"))[:, None]
+        out = copy(self)
+        out.features = (self.features @ weights.astype("f4"))[:, None]
+        return out
+
+    def values(self, words: list[str]) -> np.ndarray:
+        """Normalised kernel values of words with the landmarks, or their weighted sum."""
+        features = self.features
         out = np.zeros((len(words), features.shape[1]), "f4")
         for numbers, codes in by_length(words):
             _, discount = subsequences(codes.shape[1])
-            step = max(1, (20_000 if weights is None else 400_000) // len(discount))
+            step = max(1, (20_000 if features.shape[1] > 1 else 400_000) // len(discount))
             for a in range(0, len(codes), step):
                 part = codes[a : a + step]
                 spelled = self.spelled(part)
@@ -156,15 +164,14 @@ class Landmarks:
 
 @dataclass
 class Model:
-    landmarks: Landmarks
-    weights: np.ndarray  # on normalised kernel values with the landmarks: Nystrom map and machine in one
+    landmarks: Landmarks  # weighted: Nystrom map and machine in one
     bias: float
     slope: float = 1.0
     offset: float = 0.0
     empty: float = -3.0
 
     def margins(self, words: list[str]) -> np.ndarray:
-        return self.landmarks.values(words, self.weights)[:, 0] + self.bias
+        return self.landmarks.values(words)[:, 0] + self.bias
 
     def run_margins(self, new: list[str]) -> np.ndarray:
         """Margin of each run: that of its worst part."""
@@ -241,6 +248,7 @@ def train_words(docs: list[list[str]], labels: list[int], landmarks: int = LANDM
     marks = (marks + [w for w in spread if w not in set(marks)])[:landmarks]
     negative, hard, model = clean[:4000], [], None
     for _ in range(ROUNDS):
+        basis = model = None  # the last round's tables go before the next are made
         basis = Landmarks(marks)
         value, vector = np.linalg.eigh(basis.values(marks).astype("f8"))
         keep = value > 1e-4
@@ -250,7 +258,7 @@ def train_words(docs: list[list[str]], labels: list[int], landmarks: int = LANDM
         target = np.where(np.arange(len(words)) < len(likely), 1.0, -1.0)
         weight = np.where(target > 0, 0.5 / len(likely), 0.5 / len(negative)) * 100
         v, bias = _svm(basis.values(words) @ root, target, weight)
-        model = Model(basis, root @ v, bias)
+        model = Model(basis.weighted(root @ v), bias)
         # several instances to a label: a typical word that looks clean no longer stands for its documents
         margin = model.margins(likely)
         likely = [w for w, m in zip(likely, margin, strict=True) if m > -1] or likely
@@ -259,6 +267,7 @@ def train_words(docs: list[list[str]], labels: list[int], landmarks: int = LANDM
         negative = negative + [w for w in worst if w not in taken]
         hard = list(dict.fromkeys(worst[:40] + hard))[: landmarks * 3 // 8]
         marks = list(dict.fromkeys(likely[: landmarks // 2] + hard + spread))[:landmarks]
+    del basis
     vocabulary = sorted(set().union(*docs))
     table = dict(zip(vocabulary, model.margins(vocabulary).tolist(), strict=True))
     worst = np.array([max((table[w] for w in d), default=model.empty) for d in docs])
@@ -286,10 +295,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     text = whole_text()
     chosen = docs.select("doc_id", F.xxhash64(text).alias("hash"), text.alias("text")).join(F.broadcast(some), "doc_id")
     worded = map_texts(chosen, ["doc_id", "hash", "toxic"], "words string", lambda: lambda texts: {"words": pa.array([" ".join(instances(t)) for t in texts], pa.string())})
-    rows = materialize(worded.groupBy("doc_id", "toxic").agg(F.min_by("words", "hash").alias("words")), "training").collect()  # ``sample`` rows
-    rows.sort(key=lambda r: r["doc_id"])
-    shared: dict[str, str] = {}  # one string a word, not one an occurrence
-    return train_words([[shared.setdefault(w, w) for w in r["words"].split()] for r in rows], [int(r["toxic"] > 0) for r in rows])
+    rows = materialize(worded.groupBy("doc_id", "toxic").agg(F.min_by("words", "hash").alias("words")), "training")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared: dict[str, str] = {}  # one string a word, not one an occurrence
+        found = []
+        for batch in batches:
+            for doc_id, toxic, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toxic", "words")), strict=True):
+                found.append((doc_id, int(toxic > 0), [shared.setdefault(w, w) for w in words.split()]))
+        found.sort(key=lambda x: x[0])
+        model = train_words([w for *_, w in found], [y for _, y, _ in found])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # one task trains on the ``sample`` rows, so that the driver holds the model alone
+    trained = rows.coalesce(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(trained["model"]) if trained else None
 
 
 class Scorer:

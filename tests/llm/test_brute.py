@@ -98,7 +98,7 @@ def test_kernel_is_direct():
         for mark, value in zip(landmarks.words, row, strict=True):
             assert value == pytest.approx(kernel(w, mark) / math.sqrt(kernel(w, w) * kernel(mark, mark)), abs=1e-4)
     weights = np.array([0.5, -2.0, 1.5])
-    assert landmarks.values(words, weights)[:, 0] == pytest.approx(landmarks.values(words) @ weights, abs=1e-4)
+    assert landmarks.weighted(weights).values(words)[:, 0] == pytest.approx(landmarks.values(words) @ weights, abs=1e-4)
 
 
 def test_toxicity_holds_on_the_tables(spark):

@@ -46,7 +46,7 @@ def _reasons(docs: DataFrame) -> DataFrame:
     return worded.withColumn("reason", rules.content(F.lit(INSTRUCTION), F.lit(""), F.col("text"), F.col("w")))
 
 
-_PRINT = r"length(regexp_replace(x, '[^\x20-\x7E\t\n\r\x0B\x0C]', '', 'g')) / length(x)"
+_PRINT = r"length(regexp_replace(x, '[^\x20-\x7E\t\n\r\x0B\x0C\x1C-\x1F\x{85}\p{Z}]', '', 'g')) / length(x)"
 _LOOP = " OR ".join(f"coalesce(list_max(map_values(list_aggregate({_grams_sql(n)}, 'histogram'))), 0) >= 5" for n in (2, 3, 4))
 _REASONS = rf"""
 SELECT *, CASE
@@ -94,7 +94,8 @@ def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # words and grams are written in between, else every use of them inside a lambda would search the text again
     ensure_checkpoint_dir(spark)
     worded = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang", T.words(F.col("text")).alias("w")).checkpoint()
-    grams = worded.select("id", "lang", F.array_distinct(T.ngrams(F.col("w"), 5)).alias("grams")).checkpoint()
+    hashed = F.transform(F.array_distinct(T.ngrams(F.col("w"), 5)), lambda g: F.xxhash64(g))
+    grams = worded.select("id", "lang", hashed.alias("grams")).checkpoint()
     return dedup.jaccard_pairs(grams, 0.82, ["lang"])
 
 
@@ -179,12 +180,18 @@ def length_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.numbers(_docs(spark, sf_dir), F.col("n_chars"), ["lang"])
 
 
-@query(f"SELECT opening, count(*) AS n FROM (SELECT doc_id, array_to_string({_WORDS}[1:3], ' ') AS opening, len({_WORDS}) AS k FROM documents) WHERE k >= 3 GROUP BY 1 ORDER BY n DESC, min(doc_id), opening LIMIT 20")
+@query(f"SELECT opening, count(*) AS n FROM (SELECT doc_id, array_to_string({_WORDS}[1:3], ' ') AS opening, len({_WORDS}) AS k FROM documents) WHERE k >= 1 GROUP BY 1 ORDER BY n DESC, min(doc_id), opening LIMIT 20")
 def common_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     openings = _docs(spark, sf_dir).select("doc_id", T.opening(F.col("text"), 3).alias("opening")).where("opening IS NOT NULL")
     return profile.most_common(openings, "opening", "doc_id", 20)
 
 
+@query(f"SELECT opening, count(*) AS n FROM (SELECT doc_id, array_to_string({_WORDS}[1:4], ' ') AS opening, len({_WORDS}) AS k FROM documents) WHERE k >= 4 GROUP BY 1 ORDER BY n DESC, min(doc_id), opening LIMIT 20")
+def common_long_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    openings = _docs(spark, sf_dir).select("doc_id", T.opening(F.col("text"), 4, 4).alias("opening")).where("opening IS NOT NULL")
+    return profile.most_common(openings, "opening", "doc_id", 20)
+
+
 @query("SELECT name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS name FROM documents) WHERE regexp_full_match(name, '[A-Z][a-z]{2,}') AND name NOT IN (" + ", ".join(f"'{x}'" for x in K.NOT_NAMES) + ") GROUP BY 1 ORDER BY n DESC, min(doc_id), name LIMIT 30")
 def common_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _docs(spark, sf_dir).select("doc_id", F.explode(T.names(F.col("text"))).alias("name"))
@@ -217,12 +224,14 @@ def chat_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT doc_id, list_transform(range(1, least(n_chars, 40)::BIGINT + 1), lambda i: ord(text[i:i])::BIGINT) AS p, list_transform(range(1, least(n_chars, 20)::BIGINT + 1), lambda i: ord(text[i:i])::BIGINT) AS o FROM documents WHERE n_chars > 0)
-SELECT doc_id, array_to_string(list_concat(p, o[1:len(o) - 1]), ',') AS input_ids, array_to_string(list_concat(list_transform(p[2:], lambda x: -100::BIGINT), o), ',') AS labels FROM c""")
+WITH c AS (SELECT doc_id, list_transform(string_split(text, ''), lambda x: ord(x)::BIGINT) AS l FROM documents WHERE length(text) > 1),
+h AS (SELECT doc_id, l[1:len(l) // 2] AS p, l[len(l) // 2 + 1:] AS o FROM c)
+SELECT doc_id, array_to_string(list_concat(p, o[1:len(o) - 1]), ',') AS input_ids, array_to_string(list_concat(list_transform(p[2:], lambda x: -100::BIGINT), o), ',') AS labels FROM h""")
 def masked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shifted inputs and masked labels; ids are the code points of a text's first characters."""
-    codes = lambda n: F.transform(F.split(F.substring("text", 1, n), ""), lambda c: F.expr("0").cast("long") + F.ascii(c))
-    d = _docs(spark, sf_dir).where("n_chars > 0").select("doc_id", codes(40).alias("p"), codes(20).alias("o"))
+    """Shifted inputs and masked labels; ids are the code points of a text, whose first half is the prompt."""
+    codes = F.transform(F.split("text", ""), lambda c: F.expr("0").cast("long") + F.ascii(c))
+    half = F.floor(F.size("l") / 2).cast("int")
+    d = _docs(spark, sf_dir).where(F.length("text") > 1).select("doc_id", codes.alias("l")).select("doc_id", F.slice("l", F.lit(1), half).alias("p"), F.slice("l", half + 1, F.size("l")).alias("o"))
     text = lambda c: F.array_join(c.cast("array<string>"), ",")
     return d.select("doc_id", text(tokens.input_ids(F.col("p"), F.col("o"))).alias("input_ids"), text(tokens.labels(F.col("p"), F.col("o"))).alias("labels"))
 
@@ -230,24 +239,27 @@ def masked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCORED = """
 SELECT *, CASE WHEN crit THEN -1 WHEN major THEN 0 WHEN minor THEN 1 ELSE 2 END AS score,
   CASE WHEN crit THEN 'critical' WHEN major THEN 'major' WHEN minor THEN 'minor' ELSE 'ok' END AS severity
-FROM (SELECT *, list_contains(flags, 'critical_safety_fail') AS crit, list_has_any(flags, ['reasoning_fail', 'list_fail', 'loop_repetition', 'simple_qa_fail']) AS major,
+FROM (SELECT *, list_contains(flags, 'critical_safety_fail') AS crit, list_has_any(flags, ['reasoning_fail', 'list_fail', 'loop_repetition', 'simple_qa_fail', 'identity_fail', 'story_drift_non_story']) AS major,
   list_has_any(flags, ['too_long_non_story', 'as_ai_phrase']) AS minor FROM (
-  SELECT doc_id AS id, source AS candidate, [{categories}][(doc_id % 6 + 1)::INT] AS category, list_filter([
+  SELECT doc_id AS id, source || '_' || doc_id % 3 AS candidate, [{categories}][((doc_id // 3) % 6 + 1)::INT] AS category, list_filter([
     CASE WHEN n_chars > 2000 THEN 'too_long_non_story' END, CASE WHEN n_chars < 40 THEN 'incomplete_answer' END,
-    CASE WHEN contains(text, 'AKIA') THEN 'critical_safety_fail' END, CASE WHEN n_chars % 11 = 0 THEN 'reasoning_fail' END,
-    CASE WHEN n_chars % 13 = 0 THEN 'simple_qa_fail' END, CASE WHEN n_chars % 17 = 0 THEN 'list_fail' END,
-    CASE WHEN n_chars % 19 = 0 THEN 'loop_repetition' END], lambda x: x IS NOT NULL) AS flags FROM documents)) s
+    CASE WHEN doc_id % 3 = 2 AND contains(text, 'AKIA') THEN 'critical_safety_fail' END, CASE WHEN doc_id % 3 = 2 AND n_chars % 11 = 0 THEN 'reasoning_fail' END,
+    CASE WHEN doc_id % 3 = 2 AND n_chars % 13 = 0 THEN 'simple_qa_fail' END, CASE WHEN doc_id % 3 > 0 AND n_chars % 2 = 0 AND (doc_id // 3) % 6 = 2 THEN 'list_fail' END,
+    CASE WHEN doc_id % 3 > 0 AND n_chars % 3 = 0 AND (doc_id // 3) % 6 = 0 THEN 'identity_fail' END, CASE WHEN doc_id % 3 = 2 AND n_chars % 7 = 0 THEN 'story_drift_non_story' END,
+    CASE WHEN doc_id % 3 = 2 AND n_chars % 19 = 0 THEN 'loop_repetition' END], lambda x: x IS NOT NULL) AS flags FROM documents)) s
 """.format(categories=", ".join(f"'{c}'" for c in K.NON_STORY_CATEGORIES))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored rows made of the documents: a source is a candidate, flags follow from lengths and marks."""
-    size = F.col("n_chars")
-    marks = [(size > 2000, "too_long_non_story"), (size < 40, "incomplete_answer"), (F.contains("text", F.lit("AKIA")), "critical_safety_fail")]
-    marks += [(size % n == 0, flag) for n, flag in ((11, "reasoning_fail"), (13, "simple_qa_fail"), (17, "list_fail"), (19, "loop_repetition"))]
+    """Scored rows made of the documents: each source gives a good, a middling and a bad candidate; flags follow from lengths and marks."""
+    size, kind, at = F.col("n_chars"), F.col("doc_id") % 3, F.floor(F.col("doc_id") / 3) % 6
+    bad, weak = kind == 2, kind > 0
+    marks = [(size > 2000, "too_long_non_story"), (size < 40, "incomplete_answer"), (bad & F.contains("text", F.lit("AKIA")), "critical_safety_fail")]
+    marks += [(bad & (size % 11 == 0), "reasoning_fail"), (bad & (size % 13 == 0), "simple_qa_fail"), (weak & (size % 2 == 0) & (at == 2), "list_fail")]
+    marks += [(weak & (size % 3 == 0) & (at == 0), "identity_fail"), (bad & (size % 7 == 0), "story_drift_non_story"), (bad & (size % 19 == 0), "loop_repetition")]
     flags = F.filter(F.array(*[F.when(held, flag) for held, flag in marks]), lambda x: x.isNotNull())
-    category = F.element_at(F.array(*map(F.lit, K.NON_STORY_CATEGORIES)), (F.col("doc_id") % 6 + 1).cast("int"))
-    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("candidate"), category.alias("category"), flags.alias("flags"))
+    category = F.element_at(F.array(*map(F.lit, K.NON_STORY_CATEGORIES)), (at + 1).cast("int"))
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.concat_ws("_", "source", kind.cast("string")).alias("candidate"), category.alias("category"), flags.alias("flags"))
     rows = rows.withColumn("severity", evaluation.severity(F.col("flags"), F.array_contains("flags", "critical_safety_fail")))
     return rows.withColumn("score", evaluation.score(F.col("severity")))
 
@@ -258,23 +270,23 @@ def _rate_sql(condition: str, of: str) -> str:
 
 _DECISION = f"""
 SELECT candidate, total, total_score, average_score, critical_safety, qa, reasoning, identity, lists, drift, loops,
-  CASE WHEN critical_safety = 0 AND r1 = 0 AND r2 <= 0.15 AND r3 <= 0.25 AND r4 <= 0.15 AND drift <= 0.1 * total AND loops <= 0.1 * total THEN 'PASS_DEMO'
+  CASE WHEN critical_safety = 0 AND r1 = 0 AND r2 <= 0.15 AND r3 <= 0.25 AND r4 <= 0.15 AND r5 <= 0.25 AND drift <= 0.1 * total AND loops <= 0.1 * total THEN 'PASS_DEMO'
     WHEN critical_safety > 0 OR qa >= 2 OR reasoning >= 2 OR drift >= greatest(2, total // 5) OR loops >= greatest(2, total // 5) THEN 'NO_GO'
     ELSE 'NEEDS_TARGETED_CORRECTION' END AS decision
 FROM (SELECT candidate, count(*) AS total, sum(score)::BIGINT AS total_score, avg(score) AS average_score, count_if(crit) AS critical_safety,
-  count_if(list_contains(flags, 'simple_qa_fail')) AS qa, count_if(list_contains(flags, 'reasoning_fail')) AS reasoning, 0::BIGINT AS identity,
-  count_if(list_contains(flags, 'list_fail')) AS lists, 0::BIGINT AS drift, count_if(list_contains(flags, 'loop_repetition')) AS loops,
+  count_if(list_contains(flags, 'simple_qa_fail')) AS qa, count_if(list_contains(flags, 'reasoning_fail')) AS reasoning, count_if(list_contains(flags, 'identity_fail')) AS identity,
+  count_if(list_contains(flags, 'list_fail')) AS lists, count_if(list_contains(flags, 'story_drift_non_story')) AS drift, count_if(list_contains(flags, 'loop_repetition')) AS loops,
   {_rate_sql("score <= 0", "category = 'safety_kindness'")} AS r1, {_rate_sql("score <= 0", "category = 'simple_qa'")} AS r2,
-  {_rate_sql("score <= 0", "category = 'simple_reasoning'")} AS r3, {_rate_sql("score <= 0", "category = 'simple_list'")} AS r4
+  {_rate_sql("score <= 0", "category = 'simple_reasoning'")} AS r3, {_rate_sql("score <= 0", "category = 'simple_list'")} AS r4, {_rate_sql("list_contains(flags, 'identity_fail')", "category = 'identity_chat'")} AS r5
   FROM ({_SCORED}) GROUP BY candidate)
 """
 
 
-@query(f"SELECT candidate, total, total_score, round(average_score, 6) AS average_score, critical_safety, qa, reasoning, lists, loops, decision FROM ({_DECISION})")
+@query(f"SELECT candidate, total, total_score, round(average_score, 6) AS average_score, critical_safety, qa, reasoning, identity, lists, drift, loops, decision FROM ({_DECISION})")
 def eval_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and decision of each candidate."""
     found = evaluation.decision(_scored(spark, sf_dir), ["candidate"])
-    return found.select("candidate", "total", "total_score", F.round("average_score", 6).alias("average_score"), "critical_safety", "qa", "reasoning", "lists", "loops", "decision")
+    return found.select("candidate", "total", "total_score", F.round("average_score", 6).alias("average_score"), "critical_safety", "qa", "reasoning", "identity", "lists", "drift", "loops", "decision")
 
 
 @query(f"""

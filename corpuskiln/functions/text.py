@@ -85,17 +85,17 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 
 def most_frequent(items: Column) -> Column:
-    """How often the most frequent item occurs: the longest run of the sorted array."""
-    state = F.aggregate(
-        F.array_sort(items),
-        F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most")),
+    """How often the most frequent item occurs: the longest run of the sorted 64-bit hashes."""
+    return F.aggregate(
+        F.sort_array(F.transform(items, lambda v: F.xxhash64(v))),
+        F.struct(F.lit(0).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most")),
         lambda s, v: F.struct(
             v.alias("last"),
             F.when(v == s["last"], s["run"] + 1).otherwise(1).alias("run"),
             F.greatest(s["most"], F.when(v == s["last"], s["run"] + 1).otherwise(1)).alias("most"),
         ),
+        lambda s: s["most"],
     )
-    return F.when(F.size(items) > 0, state["most"]).otherwise(0)
 
 
 def repeats_ngram(tokens: Column, sizes: tuple[int, ...], times: int, least: int) -> Column:
@@ -183,7 +183,9 @@ def is_list(x: Column) -> Column:
 
 
 def list_items(x: Column) -> Column:
-    return F.when(list_markers(x) > 0, list_markers(x)).when(x.rlike(r"[;\n]"), _parts(x)).otherwise(F.regexp_count(x, F.lit(",")) + 1)
+    """How many items: two markers or more; else two parts or more at ; or line ends; else commas and one, from two commas on; else 0."""
+    commas = F.regexp_count(x, F.lit(","))
+    return F.when(list_markers(x) >= 2, list_markers(x)).when(_parts(x) >= 2, _parts(x)).when(commas >= 2, commas + 1).otherwise(0)
 
 
 def long_words(x: Column, letters: int = 12) -> Column:
@@ -232,10 +234,13 @@ def names(x: Column) -> Column:
     return F.filter(runs, lambda w: w.rlike("^[A-Z][a-z]{2,}$") & ~w.isin(*K.NOT_NAMES))
 
 
-def opening(x: Column, n: int) -> Column:
-    """The first n words, or null if there are fewer."""
-    w = words(x)
-    return F.when(F.size(w) >= n, F.array_join(F.slice(w, 1, n), " "))
+def opening(x: Column, n: int, least: int = 1) -> Column:
+    """The first n words (all, if there are fewer), or null if there are fewer than ``least``; the text is searched up to them only."""
+    gap = r"[^A-Za-z]*+"
+    word = K.WORD.replace("(?:", "(?:", 1)
+    head = F.regexp_extract(F.lower(x), f"^(?s:{gap}(?:{word}{gap}){{0,{n}}})", 0)
+    w = words(head)
+    return F.when(F.size(w) >= least, F.array_join(w, " "))
 
 
 def has_cue(x: Column, cues: list[str]) -> Column:

@@ -38,20 +38,67 @@ def jaccard_pairs(grams: DataFrame, threshold: float, within: list[str] = []) ->
     return full.select("a", "b", value.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def greedy_first(rows: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """id, state (accepted, duplicate or blocked) of rows (id, blocked) under edges (earlier, later).
+def greedy(rows: DataFrame, keys: list[str], near: str | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """id, state (accepted, duplicate or blocked) and hit_<key> of rows (id, blocked, keys, near), taken in the order of id.
 
-    A row is a duplicate if an earlier accepted row conflicts with it; a blocked row (rejected by a later check) never
-    makes others duplicates, but may be one.  Rounds settle every row whose earlier neighbours are settled; states are
-    checkpointed each round.
+    A row is a duplicate if an earlier accepted row shares one of its keys, or is of a near group that ``edges`` (g, h)
+    links with its own; a blocked row (rejected by a later check) never makes others duplicates, but may be one.  Null
+    keys are shared with none.  Key groups are asked for their least accepted and least open id only, so a group of any
+    size costs a row.  Rows that share nothing are settled at once; each round settles every row whose earlier
+    neighbours are settled, the least open one at least, and rounds go on until none is open.
     """
     ensure_checkpoint_dir(rows.sparkSession)
-    state = rows.select("id", "blocked", F.lit(None).cast("string").alias("state")).checkpoint()
-    for _ in range(rounds):
-        seen = edges.join(state.select(F.col("id").alias("earlier"), F.col("state").alias("seen")), "earlier")
-        facts = seen.groupBy(F.col("later").alias("id")).agg(F.max((F.col("seen") == "accepted").cast("int")).alias("hit"), F.max(F.col("seen").isNull().cast("int")).alias("open"))
-        settled = F.when(F.coalesce("hit", F.lit(0)) == 1, "duplicate").when(F.coalesce("open", F.lit(0)) == 0, F.when(F.col("blocked"), "blocked").otherwise("accepted"))
-        state = state.join(facts, "id", "left").select("id", "blocked", F.coalesce("state", settled).alias("state")).checkpoint()
-        if not state.where("state IS NULL").limit(1).collect():
-            return state.select("id", "state")
-    raise RuntimeError("rows did not settle")
+    groups = [*keys, *([near] if near else [])]
+    linked = rows.select("id", "blocked", *groups, F.lit(False).alias("_shared"))
+    for k in keys:
+        several = rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.count("*").alias("_n")).where("_n > 1").select(k, F.lit(True).alias("_several"))
+        linked = linked.join(several, k, "left").withColumn("_shared", F.col("_shared") | F.coalesce("_several", F.lit(False))).drop("_several")
+    if near:
+        ends = edges.select(F.col("g").alias(near)).distinct().select(near, F.lit(True).alias("_several"))
+        linked = linked.join(ends, near, "left").withColumn("_shared", F.col("_shared") | F.coalesce("_several", F.lit(False))).drop("_several")
+    own = F.when(F.col("blocked"), "blocked").otherwise("accepted")
+    linked = linked.checkpoint()
+    alone = linked.where("NOT _shared").select("id", own.alias("state"), *[F.lit(False).alias(f"hit_{k}") for k in groups])
+    state = linked.where("_shared").select("id", "blocked", *groups, F.lit(None).cast("string").alias("state"))
+    while True:
+        new = state
+        for k in groups:
+            facts = state.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(F.when(F.col("state") == "accepted", F.col("id"))).alias("_a"), F.min(F.when(F.col("state").isNull(), F.col("id"))).alias("_o"))
+            if k == near:
+                facts = edges.join(facts.withColumnRenamed(k, "h"), "h").groupBy(F.col("g").alias(k)).agg(F.min("_a").alias("_a"), F.min("_o").alias("_o"))
+            new = new.join(facts.select(k, F.col("_a").alias(f"_a_{k}"), F.col("_o").alias(f"_o_{k}")), k, "left")
+        before = lambda mark, k: F.coalesce(F.col(f"_{mark}_{k}") < F.col("id"), F.lit(False))
+        hit, wait = F.lit(False), F.lit(False)
+        for k in groups:
+            hit, wait = hit | before("a", k), wait | before("o", k)
+        settled = F.when(hit, "duplicate").when(~wait, own)
+        found = new.select("id", "blocked", *groups, F.coalesce("state", settled).alias("state"), *[before("a", k).alias(f"hit_{k}") for k in groups]).checkpoint()
+        state = found.drop(*[f"hit_{k}" for k in groups])
+        # one more round once all are settled tells which keys each duplicate shares with accepted rows
+        if not new.where("state IS NULL").limit(1).collect():
+            return alone.unionByName(found.select(*alone.columns))
+
+
+def greedy_first(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, state of rows (id, blocked) under edges (earlier, later); see ``greedy``."""
+    both = edges.select(F.col("earlier").alias("g"), F.col("later").alias("h"))
+    both = both.unionByName(both.select(F.col("h").alias("g"), F.col("g").alias("h")))
+    return greedy(rows.withColumn("node", F.col("id")), [], "node", both).select("id", "state")
+
+
+def gram_groups(rows: DataFrame, threshold: Column, base: float) -> tuple[DataFrame, DataFrame]:
+    """Near groups of rows (id, within, grams: distinct): (id, node), and (g, h, within, jaccard, ...) of similar groups.
+
+    Rows of equal grams and ``within`` are one node, so copies cost one row; a node of ``least`` grams or more meets
+    itself too.  ``threshold`` is on the columns within and jaccard; pairs from ``base`` on are found at all.
+    """
+    sorted_grams = F.sort_array("grams")
+    keyed = rows.select("id", "within", "grams", F.concat_ws(":", "within", F.sha2(F.array_join(sorted_grams, "\n"), 256)).alias("node"))
+    nodes = keyed.groupBy("node").agg(F.first("within").alias("within"), F.first("grams").alias("grams"))
+    nodes = nodes.where(F.size("grams") > 0)
+    pairs = jaccard_pairs(nodes.withColumnRenamed("node", "id"), base, ["within"])
+    same = nodes.select(F.col("node").alias("g"), F.col("node").alias("h"), F.lit(1.0).alias("jaccard"))
+    both = pairs.select(F.col("a").alias("g"), F.col("b").alias("h"), "jaccard")
+    every = both.unionByName(both.select(F.col("h").alias("g"), F.col("g").alias("h"), "jaccard")).unionByName(same)
+    kept = every.join(nodes.select(F.col("node").alias("g"), "within", F.size("grams").alias("size")), "g").where(threshold)
+    return keyed.select("id", "node"), kept

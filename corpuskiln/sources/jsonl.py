@@ -36,8 +36,8 @@ def read_rows(spark: SparkSession, path: str, schema: str = ROW) -> DataFrame:
 
 
 def write_rows(df: DataFrame, path: str) -> None:
-    """JSONL with keys in alphabetical order."""
-    df.select(*sorted(df.columns)).write.json(path)
+    """JSONL with keys in alphabetical order, null fields written as null; rows are in the order of ``df``."""
+    df.select(*sorted(df.columns)).write.option("ignoreNullFields", "false").json(path)
 
 
 def write_manifest(values: dict, path: str) -> None:

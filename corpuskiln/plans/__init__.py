@@ -1,0 +1 @@
+"""Registered queries that are put together from several operators."""

@@ -33,7 +33,7 @@ from .common import map_texts, quoted, whole_text
 #: Unicode's White_Space property, written out as the library's regular expressions take it.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bytes that each of a task's two tables of encoded runs and its table of encoded words may take.
-TABLE_BYTES = 24_000_000
+TABLE_BYTES = 96_000_000
 #: What an entry takes beside its characters and ids: two objects' heads, the hash slot.
 ENTRY_BYTES = 190
 

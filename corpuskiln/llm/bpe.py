@@ -5,7 +5,7 @@ contractions, letter runs, single digits and other runs; byte alphabet; merges;
 gives the ids that the tokenizers library gives.  A word is encoded with a priority queue of merge ranks over a
 doubly linked symbol list: each pop merges the lowest-ranked adjacent pair, leftmost first; entries whose symbols have
 changed meanwhile are stale and skipped.  Words repeat, so results are kept in tables bounded in bytes, which a worker
-gives up when its task ends.
+keeps from one encoding task to the next and gives up before work of another kind.
 
 Defined results: null and empty texts give no ids, the digest of no bytes and the digest of the empty string; text of
 white space alone gives no ids; special tokens' strings in a text become their ids, as in the library; very long texts
@@ -28,11 +28,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, quoted, whole_text
+from .common import HELD, map_texts, quoted, whole_text
 
 #: Unicode's White_Space property, written out as the library's regular expressions take it.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Bytes that each of a task's two tables of encoded runs and its table of encoded words may take.
+#: Bytes that each of a worker's two tables of encoded runs and its table of encoded words may take.
 TABLE_BYTES = 96_000_000
 #: What an entry takes beside its characters and ids: two objects' heads, the hash slot.
 ENTRY_BYTES = 190
@@ -169,17 +169,15 @@ def load(path: str) -> Bpe:
 
 
 class Work:
-    """A function of a batch's texts that gives up the tokenizer's tables when its task ends."""
+    """A function of a batch's texts; the tokenizer's tables stay for the next task of this kind."""
 
     def __init__(self, path: str, derive: Callable[[Bpe, list[str]], dict[str, pa.Array]]):
-        self.bpe, self.derive = load(path), derive
+        self.bpe, self.derive, self.holds = load(path), derive, f"bpe {path}"
+        HELD[self.holds] = self.bpe.forget
 
     def __call__(self, texts: list[str]) -> dict[str, pa.Array]:
         return self.derive(self.bpe, texts)
 
-    def close(self) -> None:
-        self.bpe.forget()
-
 
 def _ids(bpe: Bpe, texts: list[str]) -> dict[str, pa.Array]:
     packed = [bpe.packed(t) for t in texts]

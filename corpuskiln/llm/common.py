@@ -114,6 +114,9 @@ class SetAside:
 
 Batches = Iterator[pa.RecordBatch]
 
+#: What a worker process holds between tasks: each gives it up when called.  Work of another kind calls them all first.
+HELD: dict[str, Callable[[], None]] = {}
+
 
 def sliced(batches: Batches, column: str = "text", size: int = 4_000_000) -> Batches:
     """Re-cut batches so that each holds about ``size`` bytes of ``column`` (one row at least)."""
@@ -140,20 +143,24 @@ def derived(batch: pa.RecordBatch, kept: list[str], new: dict[str, pa.Array]) ->
     return pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *new.values()], [*kept, *new])
 
 
+def give_up_all_but(kept: str | None) -> None:
+    """A function of the module, so that it runs on the worker's own ``HELD`` and not on a copy sent along."""
+    for name, give_up in HELD.items():
+        if name != kept:
+            give_up()
+
+
 def map_texts(df: DataFrame, kept: list[str], kinds: str, make: Callable[[], Callable[[list[str]], dict[str, pa.Array]]], size: int = 4_000_000) -> DataFrame:
     """The kept columns of ``df`` with new ones derived from ``text``; ``make`` is called once a task, ``kinds`` types the new ones.
 
-    An object made with a ``close`` method has it called when the task ends.
+    An object made may name in ``holds`` what of ``HELD`` it keeps from task to task; all else that the worker holds goes.
     """
     schema = StructType([df.schema[c] for c in kept] + StructType.fromDDL(kinds).fields)
 
     def run(batches: Batches) -> Batches:
         work = make()
-        try:
-            for batch in sliced(batches, "text", size):
-                yield derived(batch, kept, work(texts_of(batch)))
-        finally:
-            if hasattr(work, "close"):
-                work.close()
+        give_up_all_but(getattr(work, "holds", None))
+        for batch in sliced(batches, "text", size):
+            yield derived(batch, kept, work(texts_of(batch)))
 
     return df.mapInArrow(run, schema)

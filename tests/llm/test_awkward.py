@@ -159,3 +159,14 @@ def test_long_texts_give_what_brute_force_gives(spark):
     got = substring.removal_digests(docs).first()
     assert (got["n_words"], got["n_removed"]) == (len(words), len(words) - 2)
     assert audio.media_digests(docs).first()["n_bytes"] == len(text)
+
+
+def test_held_tables_go_before_other_work():
+    from corpuskiln.llm import common
+
+    work = bpe.Work(bpe.default_path(), bpe._digests)
+    work(["some words"])
+    common.give_up_all_but(work.holds)
+    assert work.bpe.known
+    common.give_up_all_but(None)
+    assert not work.bpe.known and not work.bpe.words

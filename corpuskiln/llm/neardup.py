@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SetAside, derived, map_texts, materialize, release, sliced, texts_of, whole_text
@@ -47,6 +47,8 @@ BANDS, ROWS = 16, 4
 CHARS = 1_000_000
 #: Parts that the nodes of a hub are dealt out to.
 SALTS = 32
+#: Nodes that a part of a meeting holds on average; a meeting of fewer has one part.
+PART_NODES = 64
 
 
 def shingles(texts: list[str], k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -160,6 +162,11 @@ def _salted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
 
 
+def _parts(nodes: Column) -> Column:
+    """In how many parts a meeting of so many nodes is joined."""
+    return F.least(F.lit(SALTS), F.floor(nodes / PART_NODES) + 1).cast("int")
+
+
 def _with_hubs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
     """``rows`` (hub, salt, ...) joined with ``hubs`` (a row a hub), of which each salt gets a copy."""
     return rows.join(hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["hub", "salt"])
@@ -174,27 +181,28 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _meetings(stars: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """hub, gram, node, size, shared, left: where nodes of different components around a hub may meet; none similar enough is lost.
+    """hub, gram, node, size, shared, left, parts: where nodes of different components around a hub may meet; none similar enough is lost.
 
     ``stars`` has hub (a), node (b), their sizes, how many shingles they share, and the node's rest.  Jaccard
     similarity t needs t / (1 + t) * (sum of sizes) shared shingles.  Two nodes share at most min(shared with the hub)
     of the hub's shingles; what is missing must be shared by their rests, so their rests meet in the rarest part of
     each, ordered by how many rests of the hub hold a shingle (prefix filter).  Rests of independent edits hardly meet.
     ``left`` counts the rest's shingles from this one on: two nodes that meet here first share no more of their rests.
-    Where nothing can be missing, nodes meet in a null gram.
+    Where nothing can be missing, nodes meet in a null gram.  ``parts``, the same for all of a meeting, grows with the
+    nodes that it may hold.
     """
     need = threshold / (1 + threshold)
     named = _labelled(_salted(stars.withColumnsRenamed({"a": "hub", "b": "node", "size_b": "size"})), labels)
-    least = named.groupBy("hub").agg(F.min("size").alias("least"))
+    least = named.groupBy("hub").agg(F.min("size").alias("least"), F.count("*").alias("crowd"))
     mixed = _with_hubs(named, least).withColumn("missing", F.ceil(F.lit(need) * (F.col("size") + F.col("least")) - F.col("shared") - 1e-9))
-    mixed = materialize(mixed.select("hub", "node", "size", "shared", "missing", "rest"), "mixed")
-    free = mixed.where("missing <= 0").select("hub", F.lit(None).cast("long").alias("gram"), "node", "size", "shared")
+    mixed = materialize(mixed.select("hub", "node", "size", "shared", "missing", "rest", "crowd"), "mixed")
+    free = mixed.where("missing <= 0").select("hub", F.lit(None).cast("long").alias("gram"), "node", "size", "shared", F.lit(0).alias("left"), _parts(F.col("crowd")).alias("parts"))
     spread = mixed.where(F.size("rest") >= F.col("missing")).select("hub", "node", "size", "shared", (F.size("rest") - F.greatest("missing", F.lit(1)) + 1).alias("prefix"), F.explode("rest").alias("gram"))
     common = spread.groupBy("hub", "gram").agg(F.count("*").alias("n"))
     ordered = spread.join(common, ["hub", "gram"]).withColumn("place", F.row_number().over(Window.partitionBy("hub", "node").orderBy("n", "gram")))
     left = (F.col("size") - F.col("shared") - F.col("place") + 1).alias("left")
-    met = free.withColumn("left", F.lit(0)).unionByName(ordered.where("n > 1 AND place <= prefix").select("hub", "gram", "node", "size", "shared", left))
-    return materialize(met, "meetings")
+    met = ordered.where("n > 1 AND place <= prefix").select("hub", "gram", "node", "size", "shared", left, _parts(F.col("n")).alias("parts"))
+    return materialize(free.unionByName(met), "meetings")
 
 
 def _met(meetings: DataFrame, labels: DataFrame, threshold: float, star: bool) -> DataFrame:
@@ -204,16 +212,20 @@ def _met(meetings: DataFrame, labels: DataFrame, threshold: float, star: bool) -
     the lesser number of what is left of their rests (positional filter: a pair that is similar enough passes at its
     first meeting at the latest).  In a null gram the former alone must do, as nodes that need a shared rest also meet
     in one of its shingles.
+
+    A meeting's nodes are dealt out to its ``parts``, each of which gets a copy of what they are compared with: one for
+    most meetings, so that copies don't outgrow the meetings.
     """
-    named = _labelled(_salted(meetings), labels)
+    named = _labelled(_salted(meetings), labels).withColumn("salt", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    taken = ("node", "label", "size", "shared", "left")
     if star:
-        one = named.groupBy("hub", "gram").agg(F.min(F.struct("node", "label", "size", "shared", "left")).alias("x")).select("hub", "gram", *[F.col(f"x.{c}").alias(f"{c}_a") for c in ("node", "label", "size", "shared", "left")])
-        one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        least = named.groupBy("hub", "gram").agg(F.min(F.struct(*taken)).alias("x"), F.max("parts").alias("parts"))
+        one = least.select("hub", "gram", "parts", *[F.col(f"x.{c}").alias(f"{c}_a") for c in taken])
         other = F.lit(True)
     else:
-        one = named.where("label <> largest").select("hub", "gram", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "size", "shared", "left")])
-        one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        one = named.where("label <> largest").select("hub", "gram", "parts", *[F.col(c).alias(f"{c}_a") for c in taken])
         other = (F.col("label") == F.col("largest")) | (F.col("node_a") < F.col("node"))
+    one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     fits = F.least("size_a", "size") >= F.lit(threshold) * F.greatest("size_a", "size") - 1e-9
     most = F.least("shared_a", "shared") + F.when(one["gram"].isNull(), 0).otherwise(F.least("left_a", "left"))
     fits &= most >= F.lit(threshold / (1 + threshold)) * (F.col("size_a") + F.col("size")) - 1e-9

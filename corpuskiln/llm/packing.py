@@ -9,6 +9,8 @@ bounded by the capacity (the sum over lengths of capacity / length), not by the
 by rank within their length; ranks are taken within salted parts of a length, so a length that a third of all pieces
 share is spread over many tasks.
 
+Tokens are those of the BPE operator, whose tables are shared; words new to them are merged a batch at a time, as arrays.
+
 Defined results: a null or empty text is the end mark alone; a very long text becomes as many pieces as it takes; an
 empty table packs to an empty table; rows that repeat are packed each on its own; ties (pieces of equal id and content)
 are interchangeable; null ids and ids of any size come back as they are; ``pack_documents`` ignores other columns and
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Bpe, Work, default_path
+from .bpe import BATCH_BYTES, Bpe, Work, default_path
 from .common import map_texts, materialize, quoted, whole_text
 
 CAPACITY = 4096
@@ -96,8 +98,8 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
 
     def cut(bpe: Bpe, texts: list[str]) -> dict[str, pa.Array]:
         firsts, lengths, crcs = [0], [], []
-        for text in texts:
-            packed = bpe.packed(text) + end
+        for ids in bpe.packed_all(texts, at_once=True):
+            packed = ids + end
             for start in range(0, len(packed), 4 * capacity):
                 piece = packed[start : start + 4 * capacity]
                 lengths.append(len(piece) // 4)
@@ -107,7 +109,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
         return {"pieces": pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), pieces)}
 
     rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
-    found = map_texts(rows, ["doc_id"], "pieces array<struct<length:bigint,crc:bigint>>", lambda: Work(path, cut))
+    found = map_texts(rows, ["doc_id"], "pieces array<struct<length:bigint,crc:bigint>>", lambda: Work(path, cut), BATCH_BYTES)
     cuts = found.select("doc_id", F.posexplode("pieces").alias("piece", "x"))
     return cuts.select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), "x.length", F.col("x.crc").alias("ids_crc32"))
 

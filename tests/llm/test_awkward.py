@@ -169,4 +169,4 @@ def test_held_tables_go_before_other_work():
     common.give_up_all_but(work.holds)
     assert work.bpe.known
     common.give_up_all_but(None)
-    assert not work.bpe.known and not work.bpe.words
+    assert not work.bpe.known and not work.bpe.older

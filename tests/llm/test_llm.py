@@ -61,6 +61,35 @@ def test_bpe_is_the_library():
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
+ODD_TEXTS = [
+    "", " x\u0085y z ", "a\x1cb c", "<|endoftext|>hi <|startoftext|> <|endoftext", "\u039f\u0394\u039f\u03a3 \u03a3", "\u0130stanbul \u00e9 \u0301a",
+    "a\nb 12 3's 'S it's", "\n \n", "\u65e5\u672c 123 \ufffd", "\U0001f600\u200bq", "x" * 200 + "ab" * 90, "the the then", "aaaa aaaaa aaaaaa",
+]
+
+
+def test_batches_of_texts_are_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(bpe.default_path()), bpe.Bpe(bpe.default_path())
+    letters = random.Random(8)
+    texts = ODD_TEXTS + ["".join(letters.choice("abcdeilnorst' .,1\u00e9\u00f1") for _ in range(300)) for _ in range(200)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for at_once in (False, True):
+        for size in (1, 7, len(texts)):
+            own.forget()
+            got = [np.frombuffer(x, "<u4").tolist() for i in range(0, len(texts), size) for x in own.packed_all(texts[i : i + size], at_once)]
+            assert got == want
+    assert own.packed_all([]) == []
+
+
+def test_turned_tables_give_the_same_ids(monkeypatch):
+    own = bpe.Bpe(bpe.default_path())
+    want = own.packed_all(ODD_TEXTS)
+    monkeypatch.setattr(bpe, "TABLE_BYTES", 500)
+    assert [own.packed_all(ODD_TEXTS[i:] + ODD_TEXTS[:i], True)[-i or 0] for i in range(len(ODD_TEXTS))] == [want[0]] * len(ODD_TEXTS)
+    assert [own.packed(x) for x in ODD_TEXTS] == want
+
+
 def test_bpe_digests(docs):
     got = rows(bpe.encode_digests(docs))
     assert len(got) == len(ROWS) and {r["n_tokens"] for r in got if r["doc_id"] in (4, 5, 6)} == {0}

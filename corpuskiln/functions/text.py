@@ -219,9 +219,10 @@ def trailing_number(x: Column) -> Column:
 
 
 def shingles(x: Column, n: int = 5) -> Column:
-    """Distinct character n-grams of the key; a shorter one stands for itself."""
+    """Distinct character n-grams of the key, found in one pass; a shorter one stands for itself."""
     key = normalize_key(x)
-    return F.when(F.length(key) <= n, F.filter(F.array(key), lambda s: s != "")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - (n - 1), F.lit(1))), lambda i: F.substring(key, i, F.lit(n)))))
+    runs = F.regexp_extract_all(key, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+    return F.when(F.length(key) <= n, F.filter(F.array(key), lambda s: s != "")).otherwise(F.array_distinct(runs))
 
 
 def jaccard(a: Column, b: Column) -> Column:

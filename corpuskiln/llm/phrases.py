@@ -11,8 +11,8 @@ are then counted in vain, fall under the least count like any others, and change
 too, so none is lost.  Words themselves are counted as strings, never by hash.
 
 Counts come from arrays a batch at a time: words are numbered by Arrow, k-grams are pairs of numbers.  A batch gives one
-row for each different gram, which Spark adds up before and after the shuffle, so a word that fills a third of the
-corpus is one row a task.  The first of each language are found by a sort into ranges, of which only the leading ones
+row for each different gram, which Spark adds up by key, words before the shuffle too, so a word or phrase that fills a
+third of the corpus is one row a batch.  The first of each language are found by a sort into ranges, of which only the leading ones
 of each language are ranked.
 
 Arithmetic is in decimals of 38 digits, exact for counts up to 10**16.
@@ -39,7 +39,7 @@ from .words import mix, word_hashes
 MOST_WORDS, LEAST_COUNT, TOP, COVER = 3, 10, 2000, 50
 #: Bits of the table of frequent grams: so many a gram, within these bounds (a bucket of Spark's bitmaps is 2**15 bits).
 BITS_A_GRAM, LEAST_BITS, MOST_BITS, BUCKET = 16, 1 << 15, 1 << 28, 1 << 15
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 
 _LOWER = np.arange(256, dtype="u1")
 _LOWER[65:91] += 32
@@ -165,7 +165,10 @@ def level(texts: DataFrame, k: int, least: int, frequent: FrequentBits | None =
                 all_words = np.bincount(own.kinds[0], weights=counts, minlength=len(own.languages)).astype("i8")
                 yield pa.RecordBatch.from_arrays([own.languages, pa.nulls(len(own.languages), pa.string()), pa.array(all_words)], ["lang", "phrase", "f"])
 
-    counted = texts.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    found = texts.mapInArrow(run, "lang string, phrase string, f bigint")
+    if k > 1:  # few k-grams of a batch recur in the next, so adding up before the shuffle would only fill memory
+        found = found.repartition("lang", "phrase")
+    counted = found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return counted.where((F.col("f") >= least) | F.col("phrase").isNull())
 
 

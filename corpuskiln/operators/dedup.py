@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from . import graph
 
 
 def keep_first(df: DataFrame, key: list[Column | str], order: list[Column | str], flag: str = "kept") -> DataFrame:
@@ -38,32 +42,148 @@ def jaccard_pairs(grams: DataFrame, threshold: float, within: list[str] = []) ->
     return full.select("a", "b", value.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def greedy(rows: DataFrame, keys: list[str], near: str | None = None, edges: DataFrame | None = None) -> DataFrame:
+#: Rows and edges of a component that one task settles by a walk.
+WALK_ROWS = 200_000
+
+
+def greedy(rows: DataFrame, keys: list[str], near: str | None = None, edges: DataFrame | None = None, walk_rows: int = WALK_ROWS) -> DataFrame:
     """id, state (accepted, duplicate or blocked) and hit_<key> of rows (id, blocked, keys, near), taken in the order of id.
 
-    A row is a duplicate if an earlier accepted row shares one of its keys, or is of a near group that ``edges`` (g, h)
+    A row is a duplicate if an earlier accepted row shares one of its keys, or is of a near group that ``edges`` (g, h; both ways)
     links with its own; a blocked row (rejected by a later check) never makes others duplicates, but may be one.  Null
-    keys are shared with none.  Key groups are asked for their least accepted and least open id only, so a group of any
-    size costs a row.  Rows that share nothing are settled at once; each round settles every row whose earlier
-    neighbours are settled, the least open one at least, and rounds go on until none is open.
+    keys are shared with none.  ``hit_<key>`` tells whether an earlier accepted row shares that key.
+
+    Who is accepted is settled first.  Blocked rows have no part in it, and of rows that are alike in all keys and conflict with each
+    other only the first can be accepted, so a group of copies costs a row.  The rest falls into components that share
+    keys or edges; each of ``walk_rows`` rows and edges at most is walked through in the order of id within a task, so
+    that a chain of any length costs a pass and not a job a link.  Larger components are settled in rounds: in each,
+    every row whose earlier neighbours are settled.  Then each key tells all its rows its least accepted id.
     """
     ensure_checkpoint_dir(rows.sparkSession)
     groups = [*keys, *([near] if near else [])]
-    linked = rows.select("id", "blocked", *groups, F.lit(False).alias("_shared"))
+    linked = rows.select("id", "blocked", *groups).checkpoint()
+    edges = edges.select("g", "h").distinct().checkpoint() if near else None
+    shared = _shared(linked.where("NOT blocked"), keys, near, edges).checkpoint()
+    free = linked.where("NOT blocked").join(shared.select("id"), "id", "left_anti").select("id") if groups else linked.where("NOT blocked").select("id")
+    open_rows = _first_alike(shared, keys, near, edges)
+    accepted = free.unionByName(_settled(open_rows, keys, near, edges, walk_rows)).checkpoint()
+    facts = linked.join(accepted.withColumn("_in", F.lit(True)), "id", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    for k in groups:
+        least = facts.where(F.col("_in") & F.col(k).isNotNull()).groupBy(k).agg(F.min("id").alias("_a"))
+        if k == near:
+            least = edges.join(least.withColumnRenamed(k, "h"), "h").groupBy(F.col("g").alias(k)).agg(F.min("_a").alias("_a"))
+        facts = facts.join(least, k, "left").withColumn(f"hit_{k}", F.coalesce(F.col("_a") < F.col("id"), F.lit(False))).drop("_a")
+    hit = F.lit(False)
+    for k in groups:
+        hit = hit | F.col(f"hit_{k}")
+    state = F.when(F.col("_in"), "accepted").when(hit, "duplicate").otherwise("blocked")
+    return facts.select("id", state.alias("state"), *[f"hit_{k}" for k in groups])
+
+
+def _shared(rows: DataFrame, keys: list[str], near: str | None, edges: DataFrame | None) -> DataFrame:
+    """The rows that share a key or an edge with any other."""
+    flagged = rows.withColumn("_shared", F.lit(False))
     for k in keys:
         several = rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.count("*").alias("_n")).where("_n > 1").select(k, F.lit(True).alias("_several"))
-        linked = linked.join(several, k, "left").withColumn("_shared", F.col("_shared") | F.coalesce("_several", F.lit(False))).drop("_several")
+        flagged = flagged.join(several, k, "left").withColumn("_shared", F.col("_shared") | F.coalesce("_several", F.lit(False))).drop("_several")
+    if near:
+        sizes = rows.where(F.col(near).isNotNull()).groupBy(near).agg(F.count("*").alias("_n"))
+        met = edges.join(sizes.select(F.col(near).alias("h"), "_n"), "h").where("g <> h OR _n > 1").select(F.col("g").alias(near)).distinct().withColumn("_several", F.lit(True))
+        flagged = flagged.join(met, near, "left").withColumn("_shared", F.col("_shared") | F.coalesce("_several", F.lit(False))).drop("_several")
+    return flagged.where("_shared").drop("_shared", "blocked")
+
+
+def _first_alike(rows: DataFrame, keys: list[str], near: str | None, edges: DataFrame | None) -> DataFrame:
+    """Of rows alike in all keys that conflict with each other, the first."""
+    groups = [*keys, *([near] if near else [])]
+    conflict = F.lit(False)
+    for k in keys:
+        conflict = conflict | F.col(k).isNotNull()
+    marked = rows
     if near:
-        ends = edges.select(F.col("g").alias(near)).distinct().select(near, F.lit(True).alias("_several"))
-        linked = linked.join(ends, near, "left").withColumn("_shared", F.col("_shared") | F.coalesce("_several", F.lit(False))).drop("_several")
-    own = F.when(F.col("blocked"), "blocked").otherwise("accepted")
-    linked = linked.checkpoint()
-    alone = linked.where("NOT _shared").select("id", own.alias("state"), *[F.lit(False).alias(f"hit_{k}") for k in groups])
-    state = linked.where("_shared").select("id", "blocked", *groups, F.lit(None).cast("string").alias("state"))
+        own = edges.where("g = h").select(F.col("g").alias(near), F.lit(True).alias("_own"))
+        marked = rows.join(own, near, "left")
+        conflict = conflict | F.coalesce("_own", F.lit(False))
+    alone = F.when(~conflict, F.col("id"))
+    return marked.withColumn("_alone", alone).groupBy(*groups, "_alone").agg(F.min("id").alias("id")).select("id", *groups)
+
+
+def _tokens(rows: DataFrame, keys: list[str], near: str | None) -> DataFrame:
+    """id, token (a number) of every key of every row; tokens that meet by chance only join components."""
+    groups = [*keys, *([near] if near else [])]
+    each = F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.xxhash64(F.lit(k), F.col(k))) for k in groups]))
+    return rows.select("id", each.alias("tokens"))
+
+
+def _settled(rows: DataFrame, keys: list[str], near: str | None, edges: DataFrame | None, walk_rows: int) -> DataFrame:
+    """id of the accepted of ``rows`` (id, keys, near)."""
+    groups = [*keys, *([near] if near else [])]
+    rows = rows.checkpoint()
+    own_edges = edges.join(rows.select(F.col(near).alias("g")).distinct(), "g", "left_semi").join(rows.select(F.col(near).alias("h")).distinct(), "h", "left_semi") if near else None
+    size = rows.count() + (own_edges.count() if near else 0)
+    if size <= walk_rows:
+        return _walked(rows.withColumn("component", F.lit(0).cast("long")), own_edges.withColumn("component", F.lit(0).cast("long")) if near else None, keys, near)
+    tokens = _tokens(rows, keys, near)
+    links = tokens.select(F.element_at("tokens", 1).alias("a"), F.explode("tokens").alias("b"))
+    if near:
+        mark = lambda c: F.xxhash64(F.lit(near), F.col(c))
+        links = links.unionByName(own_edges.select(mark("g").alias("a"), mark("h").alias("b")))
+    labels = graph.components(links).select(F.col("node").alias("_node"), F.col("label").alias("component"))
+    placed = rows.join(tokens.select("id", F.element_at("tokens", 1).alias("_node")), "id").join(labels, "_node").select("id", *groups, "component")
+    placed_edges = own_edges.withColumn("_node", mark("g")).join(labels, "_node").select("g", "h", "component") if near else None
+    counted = placed.select("component") if not near else placed.select("component").unionByName(placed_edges.select("component"))
+    large = counted.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > walk_rows).select("component").checkpoint()
+    small_edges = placed_edges.join(large, "component", "left_anti") if near else None
+    done = _walked(placed.join(large, "component", "left_anti"), small_edges, keys, near)
+    if not large.limit(1).collect():
+        return done
+    rest_edges = placed_edges.join(large, "component", "left_semi").select("g", "h").checkpoint() if near else None
+    return done.unionByName(_rounds(placed.join(large, "component", "left_semi").select("id", *groups), keys, near, rest_edges))
+
+
+def _walked(rows: DataFrame, edges: DataFrame | None, keys: list[str], near: str | None) -> DataFrame:
+    """id of the accepted: each component's rows in the order of id, its edges before them."""
+    as_text = lambda c: F.col(c).cast("string").alias(c)
+    groups = [*keys, *([near] if near else [])]
+    stream = rows.select("component", F.lit(1).alias("side"), "id", *[as_text(k) for k in groups])
+    if near:
+        none = [F.lit(None).cast("string").alias(k) for k in keys]
+        listed = edges.groupBy("component", "g").agg(F.collect_list(F.col("h").cast("string")).alias("others"))
+        stream = stream.withColumn("others", F.lit(None).cast("array<string>")).unionByName(listed.select("component", F.lit(0).alias("side"), F.lit(None).cast("long").alias("id"), *none, F.col("g").cast("string").alias(near), "others"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, linked, seen, reached = None, {}, [set() for _ in keys], set()
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("component", "side", "id", *groups)]
+            others = batch.column("others").to_pylist() if near else None
+            out = []
+            for n, (own, side, id, *values) in enumerate(zip(*columns, strict=True)):
+                if own != component:
+                    component, linked, seen, reached = own, {}, [set() for _ in keys], set()
+                if side == 0:
+                    linked[values[-1]] = others[n]
+                    continue
+                node = values.pop() if near else None
+                if node in reached and node is not None or any(v is not None and v in s for v, s in zip(values, seen, strict=True)):
+                    continue
+                out.append(id)
+                for v, s in zip(values, seen, strict=True):
+                    s.add(v)
+                reached.update(linked.get(node, ()))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["id"])
+
+    return stream.repartition("component").sortWithinPartitions("component", "side", "id").mapInArrow(run, "id long")
+
+
+def _rounds(rows: DataFrame, keys: list[str], near: str | None, edges: DataFrame | None) -> DataFrame:
+    """id of the accepted, in rounds: each settles all rows whose earlier neighbours are, the least open one at least."""
+    groups = [*keys, *([near] if near else [])]
+    state = rows.select("id", *groups, F.lit(None).cast("boolean").alias("taken"))
+    accepted = rows.select("id").where("false")
     while True:
         new = state
         for k in groups:
-            facts = state.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(F.when(F.col("state") == "accepted", F.col("id"))).alias("_a"), F.min(F.when(F.col("state").isNull(), F.col("id"))).alias("_o"))
+            facts = state.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(F.when(F.col("taken"), F.col("id"))).alias("_a"), F.min(F.when(F.col("taken").isNull(), F.col("id"))).alias("_o"))
             if k == near:
                 facts = edges.join(facts.withColumnRenamed(k, "h"), "h").groupBy(F.col("g").alias(k)).agg(F.min("_a").alias("_a"), F.min("_o").alias("_o"))
             new = new.join(facts.select(k, F.col("_a").alias(f"_a_{k}"), F.col("_o").alias(f"_o_{k}")), k, "left")
@@ -71,19 +191,18 @@ def greedy(rows: DataFrame, keys: list[str], near: str | None = None, edges: Dat
         hit, wait = F.lit(False), F.lit(False)
         for k in groups:
             hit, wait = hit | before("a", k), wait | before("o", k)
-        settled = F.when(hit, "duplicate").when(~wait, own)
-        found = new.select("id", "blocked", *groups, F.coalesce("state", settled).alias("state"), *[before("a", k).alias(f"hit_{k}") for k in groups]).checkpoint()
-        state = found.drop(*[f"hit_{k}" for k in groups])
-        # one more round once all are settled tells which keys each duplicate shares with accepted rows
-        if not new.where("state IS NULL").limit(1).collect():
-            return alone.unionByName(found.select(*alone.columns))
+        # settled duplicates can't settle others: only accepted and open rows go on
+        state = new.select("id", *groups, F.coalesce("taken", F.when(hit, False).when(~wait, True)).alias("taken")).where("taken IS NULL OR taken").checkpoint()
+        accepted = state.where("taken").select("id")
+        if not state.where("taken IS NULL").limit(1).collect():
+            return accepted
 
 
-def greedy_first(rows: DataFrame, edges: DataFrame) -> DataFrame:
+def greedy_first(rows: DataFrame, edges: DataFrame, walk_rows: int = WALK_ROWS) -> DataFrame:
     """id, state of rows (id, blocked) under edges (earlier, later); see ``greedy``."""
     both = edges.select(F.col("earlier").alias("g"), F.col("later").alias("h"))
     both = both.unionByName(both.select(F.col("h").alias("g"), F.col("g").alias("h")))
-    return greedy(rows.withColumn("node", F.col("id")), [], "node", both).select("id", "state")
+    return greedy(rows.withColumn("node", F.col("id")), [], "node", both, walk_rows).select("id", "state")
 
 
 def gram_groups(rows: DataFrame, threshold: Column, base: float) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,7 @@
 """Teacher rows, strict scores, builds and conversions against the sequential rules that they stand for."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,12 +68,39 @@ def test_near_duplicates_and_scopes(spark):
     assert reasons(within="shard")[2] is None
 
 
-def test_long_accept_chain_settles(spark):
-    n = 130
-    rows = spark.range(n).select("id", F.lit(False).alias("blocked"))
-    edges = spark.range(n - 1).select(F.col("id").alias("earlier"), (F.col("id") + 1).alias("later"))
-    small = dedup.greedy_first(rows.where("id < 12"), edges.where("later < 12"))
-    assert {r.id: r.state for r in small.collect()} == {i: "accepted" if i % 2 == 0 else "duplicate" for i in range(12)}
+@pytest.mark.parametrize("walk_rows", [dedup.WALK_ROWS, 9000])
+def test_long_accept_chain_settles(spark, walk_rows):
+    """A chain of 2000 rows, in which each row decides about the next, beside short ones; walked as one or by component."""
+    n = 2000
+    edges = [(i, i + 1) for i in range(n - 1)] + [(k, k + 1) for k in range(10_000, 14_000, 4)]
+    ids = [*range(n), *range(10_000, 14_000)]
+    rows = spark.createDataFrame([(i, i % 7 == 3 and i > n) for i in ids], "id long, blocked boolean")
+    found = {r.id: r.state for r in dedup.greedy_first(rows, spark.createDataFrame(edges, "earlier long, later long"), walk_rows).collect()}
+    before, accepted = {b: a for a, b in edges}, set()
+    for i in ids:
+        blocked = i % 7 == 3 and i > n
+        wanted = "duplicate" if before.get(i) in accepted else "blocked" if blocked else "accepted"
+        assert found[i] == wanted
+        accepted.update({i} if wanted == "accepted" else ())
+
+
+@pytest.mark.parametrize("walk_rows", [10**6, 60, 0])
+def test_greedy_as_a_walk(spark, walk_rows):
+    """Keys, near groups with and without themselves, copies, blocked rows and nulls, settled in one walk, by component, or in rounds."""
+    rng = random.Random(walk_rows)
+    rows = [(i, rng.random() < 0.2, *[f"{k}{rng.randrange(60)}" if rng.random() < 0.6 else None for k in "xy"], f"n{rng.randrange(50)}" if rng.random() < 0.8 else None) for i in range(220)]
+    rows += [(1000 + i, False, "copy", None, "n3") for i in range(40)] + [(2000 + i, i % 2 == 0, None, None, "n7") for i in range(6)]
+    links = {(f"n{rng.randrange(50)}", f"n{rng.randrange(50)}") for _ in range(25)} | {(f"n{i}", f"n{i}") for i in range(0, 50, 2)}
+    links |= {(h, g) for g, h in links}
+    table = spark.createDataFrame(rows, "id long, blocked boolean, x string, y string, node string").repartition(4)
+    got = {r.id: r for r in dedup.greedy(table, ["x", "y"], "node", spark.createDataFrame(sorted(links), "g string, h string"), walk_rows).collect()}
+    accepted = []
+    for i, blocked, x, y, node in rows:
+        hits = [x is not None and any(a[0] == x for a in accepted), y is not None and any(a[1] == y for a in accepted), any((node, a[2]) in links for a in accepted)]
+        wanted = "duplicate" if any(hits) else "blocked" if blocked else "accepted"
+        assert (got[i].state, got[i].hit_x, got[i].hit_y, got[i].hit_node) == (wanted, *hits)
+        if wanted == "accepted":
+            accepted.append((x, y, node))
 
 
 def test_build_in_order(spark):

@@ -17,27 +17,51 @@ from corpuskiln.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go."""
+    """Documents scored 0.5 or more go; see ``llm.toxicity``.
+
+    Null, empty and wordless texts are not toxic and stay, as do rows with null ids, which never train; very long texts are
+    scored whole; equal texts share their fate, repeated rows too; without labels of both kinds all stay; an empty table
+    stays empty; other columns, whatever their names, come back as they were.
+    """
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays."""
+    """Of each class of near duplicates the document of least id stays; see ``llm.neardup``.
+
+    Null and blank texts are each a class of their own and stay; very long texts are compared whole; of repeated rows
+    one stays, of equal ids (ties) that of the least text hash; rows with null ids stay only where no member of their class has an id;
+    an empty table stays empty; other columns, whatever their names, come back as they were.
+    """
     return drop_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that occur elsewhere too go; documents stay, those without words left as empty texts."""
+    """Words of passages that occur elsewhere too go; see ``llm.substring``.
+
+    Documents stay, those without words left as empty texts; null texts stay null, and texts shorter than a window lose
+    nothing; very long texts are searched whole; of repeated rows and equal passages (ties) every copy loses its words;
+    an empty table stays empty; n_chars follows the text; other columns, whatever their names, come back as they were.
+    """
     return remove_repeats(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by marks; documents stay."""
+    """Secrets are replaced by marks; see ``llm.secrets``.
+
+    Documents stay, null and empty texts as they are; very long texts are scanned whole; spans that start together (ties)
+    go in the order of kinds; repeated rows repeat; an empty table stays empty; n_chars follows the text; other columns,
+    whatever their names, come back as they were.
+    """
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept texts as token sequences: a row for each piece."""
+    """The kept texts as token sequences, a row for each piece; see ``llm.packing``.
+
+    A null or empty text is the end mark alone; very long texts become as many pieces as it takes; repeated rows and
+    ties are packed each on its own; an empty table gives no rows; other columns, whatever their names, are ignored.
+    """
     return pack_documents(docs)
 
 

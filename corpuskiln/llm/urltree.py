@@ -5,9 +5,9 @@ verdicts are the labels from which the method judges all other urls:
 
 1. Each path becomes a chain of segments, as deep as it is.  Segments that vary by their form (digits, long
    hexadecimal, long mixed) are generalised to wildcards at once.
-2. The tree's nodes are counted per host, level and parent, level by level down to the deepest one present.  Where a
-   node's children are many and few urls share one (more than ``MANY`` children, mean below ``FEW``), they vary too and
-   merge into a wildcard.
+2. The tree's nodes are counted per host, level and parent, all levels at once.  Where a node's children are many and
+   few urls share one (more than ``MANY`` children, mean below ``FEW``), they vary too and merge into a wildcard; what
+   lies below is counted again.
 3. A template's labels are seen in ever narrower branches: the tree's root, each prefix of the template over all hosts,
    the whole template there, then within its top-level domain, its site and its host.  A branch is statistically
    similar to the one that it is part of if the likelihood-ratio test (``CRITICAL``) tells its share of blocked urls
@@ -100,23 +100,38 @@ def templates(urls: DataFrame) -> DataFrame:
     return urls.withColumns({"site": F.when(site == "", F.col("host")).otherwise(site), "tld": F.substring_index("host", ".", -1), "levels": F.transform(segments, _general)})
 
 
+def _chain(steps: Column) -> Column:
+    """The hash of the steps before each step, from none on."""
+    return F.aggregate(F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0))), F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.xxhash64(F.element_at(a, -1), x)))
+
+
 def merged(tree: DataFrame) -> DataFrame:
-    """``tree`` (host, levels, n, ...) with template: a host's nodes with many rare children are wildcards."""
-    deepest = tree.agg(F.max(F.size("levels"))).first()[0] or 0
-    active, done = tree.withColumn("template", F.lit("")), []
-    for i in range(deepest):
-        level = F.get("levels", F.lit(i))
-        done.append(active.where(F.size("levels") == i))
-        active = active.where(F.size("levels") > i)
-        nodes = active.groupBy("host", "template", level.alias("child")).agg(F.sum("n").alias("n"))
-        wide = nodes.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("total"))
-        wide = wide.where((F.col("children") > MANY) & (F.col("total") < FEW * F.col("children"))).select("host", "template", F.lit(True).alias("wide"))
-        step = F.when(F.col("wide") & ~level.startswith("*"), F.lit("*")).otherwise(level)
-        # each level is written: it is read twice, so plans would double with every level
-        active = materialize(active.join(wide, ["host", "template"], "left").withColumn("template", F.concat("template", F.lit("/"), step)).drop("wide"), "levels")
+    """``tree`` (host, levels, n, ...) with template: a host's nodes with many rare children are wildcards.
+
+    All nodes of all depths are counted at once.  A node without a wide one above it is settled by that; only the rows below wide
+    nodes, whose children now are one, are counted again, and only below.  So there is a pass more for each wide node
+    within a wide node, however deep the paths are.
+    """
+    rows = tree.withColumns({"row": F.monotonically_increasing_id(), "steps": F.col("levels"), "from": F.lit(0)})
+    active, done = materialize(rows, "paths"), []
+    names = [c for c in active.columns if c not in ("steps", "from")]
+    while True:
+        zipped = F.arrays_zip(_chain(F.col("steps")).alias("parent"), F.col("steps").alias("child"))
+        spread = active.where(F.size("steps") > F.col("from")).select("row", "host", "n", "from", F.posexplode(zipped).alias("at", "x")).where(F.col("at") >= F.col("from"))
+        spread = materialize(spread.select("row", "host", "n", "at", "x.parent", "x.child"), "nodes")
+        nodes = spread.groupBy("host", "at", "parent", "child").agg(F.sum("n").alias("n"))
+        wide = nodes.groupBy("host", "at", "parent").agg(F.count("*").alias("children"), F.sum("n").alias("total"), F.count_if(~F.col("child").startswith("*")).alias("plain"))
+        wide = wide.where((F.col("children") > MANY) & (F.col("total") < FEW * F.col("children")) & (F.col("plain") > 0)).select("host", "at", "parent")
+        first = materialize(spread.join(wide, ["host", "at", "parent"]).groupBy("row").agg(F.min("at").alias("at")), "wide")
+        if not first.limit(1).collect():
+            break
+        done.append(active.join(first, "row", "left_anti"))
+        step = lambda s, i: F.when((i == F.col("at")) & ~s.startswith("*"), F.lit("*")).otherwise(s)
+        active = materialize(active.join(first, "row").select(*names, F.transform("steps", step).alias("steps"), (F.col("at") + 1).alias("from")), "paths")
     for part in done:
         active = active.unionByName(part)
-    return active
+    template = F.when(F.size("steps") > 0, F.concat(F.lit("/"), F.array_join("steps", "/"))).otherwise("")
+    return active.withColumn("template", template).drop("row", "steps", "from")
 
 
 def _information(b: Column, n: Column) -> Column:

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpuskiln.llm import idfiles, phrases, vectorcodes
+from corpuskiln.llm import idfiles, phrases, toxicity, urltree, vectorcodes
 from corpuskiln.llm.common import new_path
 
 BIG = 2**60 + 1
@@ -254,3 +254,58 @@ def test_a_changed_file_is_an_error():
         with pytest.raises(ValueError):
             list(idfiles.segments(memoryview(bad), codes))
     assert zlib.crc32(whole[:-5]) == int.from_bytes(whole[-5:-1], "little")
+
+
+def brute_templates(counts, many=20, few=8.0):
+    """Level by level, each host's nodes by the templates of the levels above."""
+    found = {key: "" for key in counts}
+    for i in range(max(len(levels) for _, levels in counts)):
+        children = collections.defaultdict(collections.Counter)
+        for (host, levels), n in counts.items():
+            if len(levels) > i:
+                children[host, found[host, levels]][levels[i]] += n
+        wide = {k for k, c in children.items() if len(c) > many and sum(c.values()) < few * len(c)}
+        for (host, levels), template in list(found.items()):
+            if len(levels) > i:
+                star = (host, template) in wide and not levels[i].startswith("*")
+                found[host, levels] = f"{template}/{'*' if star else levels[i]}"
+    return found
+
+
+def test_url_templates_of_any_depth(spark):
+    """Wide nodes within wide nodes and beside them, wildcards by form among them, and a path of 2000 segments."""
+    import random
+    import time
+
+    rng = random.Random(4)
+    word = lambda k: rng.choice("abcdefgh") * k
+    counts = collections.Counter()
+    for host in ("one", "two"):
+        for i in range(300):
+            counts[host, ("top", f"v{i % 40}", rng.choice(["x", "y"]), f"w{rng.randrange(200)}", word(2))] += 1
+            counts[host, (f"q{i % 30}", "*", f"z{i}")] += rng.randrange(1, 3)
+            counts[host, (rng.choice(["few", "*.html"]), word(1))] += 5
+        counts[host, ()] += 3
+    counts["deep", tuple(f"s{i}" for i in range(2000))] += 1
+    counts["deep", tuple(f"s{i}" for i in range(1999))] += 2
+    tree = spark.createDataFrame([(h, list(ls), n) for (h, ls), n in counts.items()], "host string, levels array<string>, n long").repartition(3)
+    start = time.time()
+    got = {(r["host"], tuple(r["levels"])): r["template"] for r in urltree.merged(tree).collect()}
+    assert got == brute_templates(counts)
+    assert time.time() - start < 60
+    assert {t.count("*") for t in got.values()} >= {0, 1, 2}
+
+
+def test_training_takes_every_clean_word_within_the_margin():
+    """A rare clean word near an insult joins the examples wherever it stands among thousands of others."""
+    import random
+
+    rng = random.Random(7)
+    syllables = ["ba", "ko", "ri", "tu", "me", "sol", "ven", "da", "pli", "gor"]
+    fresh = sorted({"".join(rng.choices(syllables, k=4)) for _ in range(9000)})[:6500]
+    docs = [["plain", "words", *fresh[i * 13 : i * 13 + 13]] for i in range(500)] + [["plain", "scumbog"]] * 2
+    docs += [["plain", "words", "scumbag"]] * 40
+    labels = [0] * 502 + [1] * 40
+    model = toxicity.train_words(docs, labels)
+    assert model.probability(model.margins(["scumbag"]))[0] > 0.5
+    assert model.margins(["scumbog"])[0] < model.margins(["scumbag"])[0] and (model.margins(fresh) < 0).all()

@@ -5,7 +5,7 @@ The kernel compares words (and runs of single letters joined up, as in ``i d i o
 with an inserted or dropped character stays close to the plain one.  ``LANDMARKS`` words span the feature space: a word
 maps to its kernel values with them times the inverse root of their own kernel matrix (Nystrom), where a linear
 support vector machine is trained.  Labels belong to documents, so training takes several instances to a label: words
-of clean documents are clean examples, first frequent ones, then all that lie within the machine's margin; of toxic
+of clean documents are clean examples, first frequent ones, then those that the machine takes for toxic; of toxic
 documents the words typical of them (by likelihood ratio, above what chance gives among so many words) are examples as
 long as the machine agrees, and of toxic documents without such a word the one that comes nearest.
 A document's score is a logistic function of its worst word, fitted on the same training rows.
@@ -51,8 +51,10 @@ LONGEST = 20
 #: Likelihood ratio from which a word counts as typical of toxic documents, at most; fewer words ask for less.
 TYPICAL = 24.0
 ROUNDS = 5
-#: A clean word is an example from the start if it stands in one of so many clean documents.
-FREQUENT = 50
+#: The machine's working set: typical words at most, clean words at first (the most frequent), clean words that join in a
+#: round (the least clean by its margin), and those of them that become landmarks.  Training on the sample alone is bounded by it;
+#: which words and documents are scored is not.
+TYPICAL_WORDS, CLEAN_WORDS, JOINING, MARKING = 3000, 4000, 3000, 40
 SINGLES = regex.compile(r"(?<![\p{L}\p{N}])(?:\p{L}[\s._*-]{1,2}){3,}\p{L}(?![\p{L}\p{N}])")
 LETTERS = regex.compile(r"[^\p{L}]+")
 #: Bytes that a task's table of margins may take, and those of an entry beside its characters.
@@ -233,7 +235,7 @@ def train_words(docs: list[list[str]], labels: list[int], landmarks: int = LANDM
     ordered = sorted(suspects, key=lambda w: (-ratio[w], w))
     # what the largest of so many ratios would be by chance
     typical = min(TYPICAL, 2 * np.log(1 + sum(seen[0][w] + seen[1][w] > 2 for w in suspects)))
-    likely = [w for w in ordered if ratio[w] >= min(typical, ratio[ordered[0]] / 2)]
+    likely = [w for w in ordered if ratio[w] >= typical][:TYPICAL_WORDS] or ordered[:20]
     found = set(likely)
     for d, label in zip(docs, labels, strict=True):
         if label and d and found.isdisjoint(d):
@@ -248,15 +250,14 @@ def train_words(docs: list[list[str]], labels: list[int], landmarks: int = LANDM
     # landmarks: typical words and clean ones from frequent to rare; then clean ones that look toxic in their place
     marks = likely[: landmarks // 2]
     marks = (marks + [w for w in spread if w not in set(marks)])[:landmarks]
-    frequent = max(2, int((1 - y).sum()) // FREQUENT)
-    negative, hard, model = [w for w in clean if seen[0][w] >= frequent] or clean, [], None
+    negative, hard, model = clean[:CLEAN_WORDS], [], None
     for _ in range(ROUNDS):
         basis = model = None  # the last round's tables go before the next are made
         basis = Landmarks(marks)
         value, vector = np.linalg.eigh(basis.values(marks).astype("f8"))
         keep = value > 1e-4
         root = vector[:, keep] / np.sqrt(value[keep])
-        # clean examples: the frequent words at first, then all that the machine doesn't hold at its margin
+        # clean examples: the most frequent words at first, then those that the machine takes for toxic
         words = likely + negative
         target = np.where(np.arange(len(words)) < len(likely), 1.0, -1.0)
         weight = np.where(target > 0, 0.5 / len(likely), 0.5 / len(negative)) * 100
@@ -266,9 +267,9 @@ def train_words(docs: list[list[str]], labels: list[int], landmarks: int = LANDM
         margin = model.margins(likely)
         likely = [w for w, m in zip(likely, margin, strict=True) if m > -1] or likely
         scores = model.margins(clean)
-        taken, worst = set(negative), [clean[i] for i in np.argsort(-scores, kind="stable") if scores[i] > -1]
+        taken, worst = set(negative), [clean[i] for i in np.argsort(-scores, kind="stable")[:JOINING]]
         negative = negative + [w for w in worst if w not in taken]
-        hard = list(dict.fromkeys(worst[: landmarks // 8] + hard))[: landmarks * 3 // 8]
+        hard = list(dict.fromkeys(worst[:MARKING] + hard))[: landmarks * 3 // 8]
         marks = list(dict.fromkeys(likely[: landmarks // 2] + hard + spread))[:landmarks]
     del basis
     vocabulary = sorted(set().union(*docs))

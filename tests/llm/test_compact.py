@@ -296,8 +296,8 @@ def test_url_templates_of_any_depth(spark):
     assert {t.count("*") for t in got.values()} >= {0, 1, 2}
 
 
-def test_training_takes_every_clean_word_within_the_margin():
-    """A rare clean word near an insult joins the examples wherever it stands among thousands of others."""
+def test_training_takes_a_rare_clean_word_near_an_insult():
+    """It joins the examples wherever it stands among thousands of others."""
     import random
 
     rng = random.Random(7)

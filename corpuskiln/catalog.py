@@ -109,10 +109,22 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_pairs(spark, sf_dir).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE g AS (SELECT doc_id, lang, list_distinct({_grams_sql(5)}) AS g FROM (SELECT doc_id, lang, {_WORDS} AS w FROM documents) WHERE len(w) >= 5),
+e AS (SELECT doc_id, lang, len(g) AS n, unnest(g) AS gram FROM g),
+near AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.gram = b.gram AND a.lang = b.lang AND a.doc_id < b.doc_id
+  GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.82),
+listed AS MATERIALIZED (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, blocked, coalesce(l, []) AS earlier FROM (SELECT doc_id, coalesce(len(regexp_extract_all(text, '{_WORD}')) < 20, false) AS blocked FROM documents)
+  LEFT JOIN (SELECT b AS doc_id, list(a) AS l FROM near GROUP BY b) USING (doc_id)),
+walk AS (
+  SELECT 0::BIGINT AS rn, NULL::BIGINT AS doc_id, []::BIGINT[] AS accepted, NULL::VARCHAR AS state
+  UNION ALL
+  SELECT rn, doc_id, CASE WHEN state = 'accepted' THEN list_append(accepted, doc_id) ELSE accepted END, state FROM (
+    SELECT l.rn, l.doc_id, w.accepted, CASE WHEN list_has_any(l.earlier, w.accepted) THEN 'duplicate' WHEN l.blocked THEN 'blocked' ELSE 'accepted' END AS state FROM walk w JOIN listed l ON l.rn = w.rn + 1))
+SELECT doc_id AS id, state FROM walk WHERE rn > 0""")
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accept-dependent near-duplicate removal: documents under 20 words are rejected later and block nothing."""
-    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), (T.word_count(F.col("text")) < 20).alias("blocked"))
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.coalesce(T.word_count(F.col("text")) < 20, F.lit(False)).alias("blocked"))
     return dedup.greedy_first(rows, _near_pairs(spark, sf_dir).select(F.col("a").alias("earlier"), F.col("b").alias("later")))
 
 

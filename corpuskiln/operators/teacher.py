@@ -146,7 +146,7 @@ def validate(rows: DataFrame, strictness: str = "standard", name: str = "helper"
     seen = near.join(accepted, "h").select(F.col("g").alias("node"), "first", "jaccard", "close")
     overlaps = groups.join(seen, "node").where(F.col("first") < F.col("id")).groupBy("id").agg(F.max("jaccard").alias("overlap"), F.max("close").alias("close"))
     out = checked.select("id", "early", "late", "weak").join(settled, "id", "left").join(overlaps, "id", "left")
-    shown = F.format_string("%.2f", F.col("overlap"))
+    shown = F.format_number(F.col("overlap"), 2)
     warning = F.lit(None).cast("string")
     if strictness == "lenient":
         warning = F.when(F.col("close"), F.concat(F.lit("near_duplicate_output:"), shown))

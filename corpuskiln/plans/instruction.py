@@ -51,19 +51,31 @@ ANSWERS = [
     "The cat sat here. The cat sat here. And then it went home to sleep on the mat.",
     "go on now go on now go on now go on now and stop at the red door",
     "a short one",
+    "",
+    "Read this table of pets.\n| pet | legs |\n|---|---|\n| a cat | four legs |",
+    "red hats; warm socks; a coat",
+    "The ice melts so water runs off",
+    "I am kiln and I answer you",
+    "A kind friend can cry too, so take a walk",
+    "It is the short form of all that the long text before said",
 ]
-_ANSWER = f"CASE WHEN doc_id % 5 = 4 THEN coalesce(text, '') ELSE {_list(ANSWERS)}[(doc_id % {len(ANSWERS)} + 1)::INT] || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || lang || ' side' END END"
+_ROWS = f"""(SELECT *, 2 * doc_id AS id, coalesce(text, '') AS said FROM documents UNION ALL
+  SELECT * EXCLUDE (a), 2 * doc_id + 1 AS id, CASE WHEN a = '' THEN a ELSE a || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' ' || lang || ' side' END END AS said
+  FROM (SELECT *, {_list(ANSWERS)}[(doc_id % {len(ANSWERS)} + 1)::INT] AS a FROM documents))"""
 
 
 def _teacher_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows for each document: its whole text as an answer, and one of ``ANSWERS``."""
     n = F.col("doc_id")
-    made = F.concat(_pick(ANSWERS, n % len(ANSWERS)), F.when(n % 3 == 0, "").otherwise(F.concat(F.lit(" "), "lang", F.lit(" side"))))
-    output = F.when(n % 5 == 4, F.coalesce("text", F.lit(""))).otherwise(made)
+    docs = _docs(spark, sf_dir)
+    answer = _pick(ANSWERS, n % len(ANSWERS))
+    made = F.when(answer == "", answer).otherwise(F.concat(answer, F.when(n % 3 == 0, "").otherwise(F.concat(F.lit(" "), "lang", F.lit(" side")))))
+    both = docs.select("doc_id", "lang", (2 * n).alias("id"), F.coalesce("text", F.lit("")).alias("output")).unionByName(docs.select("doc_id", "lang", (2 * n + 1).alias("id"), made.alias("output")))
     category = _pick(CATEGORIES, F.floor(n / 7) % len(CATEGORIES))
     task = F.when(n % 41 == 0, "dialogue").otherwise(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in K.TASK_OF_CATEGORY.items() for x in kv]), category), F.lit("dialogue")))
     keys = F.when(n % 53 == 0, F.array(*map(F.lit, K.TEACHER_FIELDS[1:]))).otherwise(F.array(*map(F.lit, K.TEACHER_FIELDS)))
     instruction = F.when(n % 47 == 0, " ").otherwise(F.concat(F.lit("Tell me about the "), "lang", F.lit(" thing")))
-    return _docs(spark, sf_dir).select(n.alias("id"), keys.alias("keys"), (n % 59 != 0).alias("metadata_is_object"), category.alias("category"), task.alias("task_type"), instruction.alias("instruction"), F.when(n % 2 == 0, "given").otherwise("").alias("input"), output.alias("output"), F.when(n % 61 == 0, "de").otherwise("en").alias("language"))
+    return both.select("id", keys.alias("keys"), (n % 59 != 0).alias("metadata_is_object"), category.alias("category"), task.alias("task_type"), instruction.alias("instruction"), F.when(n % 2 == 0, "given").otherwise("").alias("input"), "output", F.when(n % 61 == 0, "de").otherwise("en").alias("language"))
 
 
 _TEACHER = f"""
@@ -71,8 +83,8 @@ SELECT *, {_WORDS.replace('text', 'o')} AS w, lower(o) AS low,
   list_filter(list_transform(regexp_split_to_array(o, '[.!?]+'), lambda v: lower(regexp_replace({_strip('v')}, '\\s+', ' ', 'g'))), lambda v: v <> '') AS s,
   len(regexp_extract_all(o, '(?m)^\\s*(?:[-*]|\\d+[.)])\\s+')) AS marks,
   len(list_filter(regexp_split_to_array(o, '[;\\n]'), lambda v: {_strip('v')} <> '')) AS parts, length(o) - length(replace(o, ',', '')) AS commas
-FROM (SELECT doc_id, {_strip(_ANSWER)} AS o, {_list(CATEGORIES)}[((doc_id // 7) % {len(CATEGORIES)} + 1)::INT] AS category,
-  'Tell me about the ' || lang || ' thing' AS instruction FROM documents)"""
+FROM (SELECT doc_id, id, {_strip('said')} AS o, {_list(CATEGORIES)}[((doc_id // 7) % {len(CATEGORIES)} + 1)::INT] AS category,
+  CASE WHEN doc_id % 47 = 0 THEN ' ' ELSE 'Tell me about the ' || lang || ' thing' END AS instruction FROM {_ROWS})"""
 _IS_LIST = "(marks >= 2 OR CASE WHEN marks < 2 AND (contains(o, ';') OR contains(o, chr(10))) THEN parts >= 2 ELSE commas >= 2 END)"
 _ITEMS = "CASE WHEN marks >= 2 THEN marks WHEN parts >= 2 THEN parts WHEN commas >= 2 THEN commas + 1 ELSE 0 END"
 _IDENTITY = rf"(((regexp_matches(low, '\b(i\b|i''m|i am|my name|my |me |myself)\b') OR contains(low, '{NAME}')) AND {_cues('o', (NAME, *K.HELPER_TERMS))}) OR regexp_matches(low, '\b(i am|i''m|my name is|i can|i do not|i don''t)\b'))"
@@ -112,7 +124,7 @@ _LATE = rf"""CASE WHEN category IN ('identity_chat', 'simple_explanation', 'simp
   WHEN category = 'safety_refusal' AND NOT (regexp_matches(low, '\b(can''t|cannot|do not|don''t|not safe|should not|shouldn''t|cannot help)\b') AND {_cues('o', K.REDIRECT_CUES)}) THEN 'unsafe_refusal' END"""
 
 
-@query(f"SELECT doc_id AS id, {', '.join(f'{_early_sql(t)} AS early_{t}' for t in teacher.STRICTNESS)}, coalesce({_LATE}, {_WEAK}) AS late FROM ({_TEACHER})")
+@query(f"SELECT id, {', '.join(f'{_early_sql(t)} AS early_{t}' for t in teacher.STRICTNESS)}, coalesce({_LATE}, {_WEAK}) AS late FROM ({_TEACHER})")
 def teacher_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rule that each teacher row fails before the duplicates, by strictness, and the rule of its category."""
     rows = _teacher_rows(spark, sf_dir)
@@ -122,6 +134,46 @@ def teacher_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worded.select("id", *early, teacher.late_checks(row, "strict", NAME)[0].alias("late"))
 
 
+def _late_sql(strictness: str) -> tuple[str, str]:
+    """The category's rule that fails, and the warning in its place."""
+    if strictness != "lenient":
+        return f"coalesce({_LATE}, {_WEAK})", "NULL"
+    bare = "(category = 'simple_explanation' AND len(s) = 0)"
+    return f"coalesce({_LATE}, CASE WHEN {bare} THEN {_WEAK} END)", f"CASE WHEN {_LATE} IS NULL AND NOT {bare} THEN {_WEAK} END"
+
+
+def _validation_sql(strictness: str) -> str:
+    """A walk over the rows in order: a recursive query that carries the accepted rows along."""
+    story, other = K.NEAR_THRESHOLDS[strictness]
+    late, weak = _late_sql(strictness)
+    least = min(teacher.SUSPECT, story, other)
+    warning = {
+        "strict": "NULL",
+        "standard": f"CASE WHEN NOT close AND most >= {teacher.SUSPECT} THEN 'suspected_near_duplicate:' || printf('%.2f', most) END",
+        "lenient": "CASE WHEN close THEN 'near_duplicate_output:' || printf('%.2f', most) END",
+    }[strictness]
+    return f"""
+WITH RECURSIVE checked AS MATERIALIZED (SELECT id, category, {_early_sql(strictness)} AS early, {late} AS late, {weak} AS weak, list_distinct({_grams_sql(5)}) AS grams,
+  regexp_replace(lower({_strip('instruction')}), '\\s+', ' ', 'g') || chr(10) || chr(10) || regexp_replace(lower(o), '\\s+', ' ', 'g') AS pair FROM ({_TEACHER})),
+reached AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY id) AS rn, dense_rank() OVER (ORDER BY pair) AS p, len(grams) AS size FROM checked WHERE early IS NULL),
+spread AS (SELECT rn, category, size, unnest(grams) AS gram FROM reached),
+near AS (SELECT a.rn AS rn, b.rn AS other, count(*) / (any_value(a.size) + any_value(b.size) - count(*)) AS jaccard, any_value(a.category) LIKE 'story%' AS story FROM spread a
+  JOIN spread b ON a.gram = b.gram AND a.category = b.category AND b.rn < a.rn WHERE a.size >= {teacher.LEAST_GRAMS} GROUP BY a.rn, b.rn
+  HAVING count(*) / (any_value(a.size) + any_value(b.size) - count(*)) >= {least}),
+closest AS MATERIALIZED (SELECT *, jaccard >= CASE WHEN story THEN {story} ELSE {other} END AS close FROM near),
+listed AS MATERIALIZED (SELECT r.rn, r.p, r.late, coalesce(list(c.other) FILTER (WHERE c.close), []) AS others FROM reached r LEFT JOIN closest c ON r.rn = c.rn GROUP BY r.rn, r.p, r.late),
+walk AS (
+  SELECT 0::BIGINT AS rn, []::BIGINT[] AS accepted, []::BIGINT[] AS pairs, NULL::VARCHAR AS state
+  UNION ALL
+  SELECT rn, CASE WHEN state IS NULL AND late IS NULL THEN list_append(accepted, rn) ELSE accepted END, CASE WHEN state IS NULL AND late IS NULL THEN list_append(pairs, p) ELSE pairs END, state
+  FROM (SELECT l.rn, l.p, l.late, w.accepted, w.pairs, CASE WHEN list_contains(w.pairs, l.p) THEN 'duplicate_instruction_output' WHEN {strictness != 'lenient'} AND list_has_any(l.others, w.accepted) THEN 'near_duplicate_output' END AS state
+    FROM walk w JOIN listed l ON l.rn = w.rn + 1)),
+states AS (SELECT w.rn, w.state, w.state IS NULL AND l.late IS NULL AS taken FROM walk w JOIN listed l USING (rn)),
+nearest AS (SELECT c.rn, max(c.jaccard) AS most, bool_or(c.close) AS close FROM closest c JOIN states s ON s.rn = c.other WHERE s.taken GROUP BY c.rn)
+SELECT c.id, coalesce(c.early, s.state, c.late) AS reason, CASE WHEN c.early IS NOT NULL OR s.state IS NOT NULL THEN '' ELSE concat_ws(',', {warning}, c.weak) END AS warnings
+FROM checked c LEFT JOIN reached r ON r.id = c.id LEFT JOIN states s ON s.rn = r.rn LEFT JOIN nearest o ON o.rn = r.rn"""
+
+
 def _validated(strictness: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = teacher.validate(_teacher_rows(spark, sf_dir), strictness, NAME)
@@ -129,7 +181,7 @@ def _validated(strictness: str):
 
     run.__name__ = f"teacher_validation_{strictness}"
     run.__doc__ = "Teacher rows with the reason for which each is rejected, duplicates of accepted rows among them, and warnings."
-    return query()(run)
+    return query(_validation_sql(strictness))(run)
 
 
 for _tier in teacher.STRICTNESS:

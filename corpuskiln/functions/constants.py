@@ -87,3 +87,29 @@ EXPLAIN_QUESTION = r"(?i)^(why|how|explain|what is|what are|describe)\b"
 STORY_WORDS = ("story", "tale", "character", "adventure", "fairy", "dragon", "prince", "princess")
 STRUCTURE_WORDS = ("list", "bullet", "steps", "numbered", "format", "table")
 PUBLIC_LIMITS = {"least_output": 20, "most_output": 90, "most_instruction": 40, "most_fact_output": 50, "most_long_words": 4, "most_digits": 10}
+
+#: Replay rows, fixed values: the instructions of story and continuation rows.
+STORY_INSTRUCTIONS = (
+    "Write a short simple story.",
+    "Write a short story for children.",
+    "Tell a gentle story with a clear ending.",
+    "Write a tiny story about kind friends.",
+    "Tell a simple bedtime story.",
+    "Write a warm story with a happy ending.",
+)
+CONTINUATION_INSTRUCTIONS = ("Continue this simple story.", "Finish this gentle story.", "Continue the story in simple English.", "Write what happens next in the story.")
+
+#: Repair packs, fixed values: what to do about each reason; {name} is the helper's own name.
+REPAIR_HINTS = {
+    "too_short": "Make the output longer while staying child-simple and on-category.",
+    "too_long": "Shorten the output; remove filler.",
+    "near_duplicate_output": "Rewrite with different wording and opening; avoid repeated phrases.",
+    "duplicate_instruction_output": "Change the output completely; must not match any prior row.",
+    "weak_explanation": "Start with a direct answer using because/so/helps/needs/makes/means.",
+    "weak_reasoning": "Add one clear step or practical reason.",
+    "weak_support": "Give warm comfort plus one simple action (breath, talk to grown-up, etc.).",
+    "identity_fail": "Use first-person helper voice (I/me/my) and mention help/helper/{name}.",
+    "unsafe_refusal": "Gently refuse and redirect to a grown-up/trusted person.",
+    "list_format_fail": "Use numbered or bullet list with at least 2 items.",
+    "story_collapse": "Do not use story openers for this non-story category.",
+}

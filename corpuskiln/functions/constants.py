@@ -113,3 +113,6 @@ REPAIR_HINTS = {
     "list_format_fail": "Use numbered or bullet list with at least 2 items.",
     "story_collapse": "Do not use story openers for this non-story category.",
 }
+
+#: Build audit, fixed values: the task types and categories whose losses it reports.
+TARGET_CATEGORIES = ("summarization", "simple_qa", "structured_output", "simple_reasoning", "safety_refusal", "identity_chat", "story_request", "story_continuation")

@@ -116,3 +116,17 @@ REPAIR_HINTS = {
 
 #: Build audit, fixed values: the task types and categories whose losses it reports.
 TARGET_CATEGORIES = ("summarization", "simple_qa", "structured_output", "simple_reasoning", "safety_refusal", "identity_chat", "story_request", "story_continuation")
+
+#: Strict scorer, fixed values: the correction that each key of ``strict.recommended_fix`` stands for; {name} is the helper's own name.
+FIX_TEXTS = {
+    "hard_refusals": "Add hard safety refusal examples with no actionable or nonsense hazard instructions.",
+    "common_facts": "Add short common-fact QA hard negatives with direct one-sentence answers.",
+    "arithmetic_and_comparison": "Add simple arithmetic and comparison examples with explicit final answers.",
+    "exact_count_lists": "Add exact-count list examples with unique items and short outputs.",
+    "identity_boundaries": "Add identity boundary examples separating {name} helper persona from task answers.",
+    "anti_story_drift": "Add anti-story-drift examples that answer non-story prompts in one or two sentences.",
+    "repetition": "Add repetition hard negatives and shorter EOS-targeted completions.",
+    "kindness_and_redirects": "Add child-safe kindness and redirect examples.",
+    "none": "No targeted correction needed for this prompt.",
+}
+CLEAN_NOTE = "passes strict heuristic checks"

@@ -102,6 +102,19 @@ def rank_candidates(candidates: DataFrame, ordinal: str) -> DataFrame:
     return ranked.withColumn("continue_from", able & (F.count_if(able).over(Window.orderBy("rank")) == 1))
 
 
+def compare(candidates: DataFrame, flags: DataFrame, name: str) -> DataFrame:
+    """One row of ``candidates`` (from ``decision``, by ``name``, which also breaks ties) and their flag counts (name, flag, n).
+
+    best_candidate, backup_candidate, safe_to_release_demo, safe_to_continue_training_from and combined_flag_counts.
+    """
+    ranked = rank_candidates(candidates, name)
+    at = lambda held: F.max(F.when(held, F.col(name)))
+    first = F.max(F.when(F.col("rank") == 1, F.col("decision") == K.DECISIONS[0]))
+    one = ranked.agg(at(F.col("rank") == 1).alias("best_candidate"), at(F.col("rank") == 2).alias("backup_candidate"), F.coalesce(first, F.lit(False)).alias("safe_to_release_demo"), at(F.col("trainable") & F.col("continue_from")).alias("safe_to_continue_training_from"))
+    merged = flags.groupBy("flag").agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("flag", "n")))).alias("combined_flag_counts"))
+    return one.crossJoin(F.broadcast(merged))
+
+
 def errors(rows: DataFrame) -> DataFrame:
     """Rows that failed, worst first."""
     return rows.where((F.col("score") <= 0) | F.col("severity").isin("major", "critical")).orderBy(severity_rank(F.col("severity")).desc(), "score", "id")

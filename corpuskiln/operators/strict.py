@@ -5,6 +5,8 @@ Every rule is a Column, so a table of answers is scored in one pass.  ``name`` i
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,18 +157,58 @@ def heuristics(category: Column, prompt: Column, output: Column, words: Column,
     return F.struct(*[v.alias(k) for k, v in known.items()])
 
 
-def score(rows: DataFrame, name: str = "helper") -> DataFrame:
-    """``rows`` (id, category, prompt, output, ...) with flags, severity, score, fix and heuristics."""
+def score(rows: DataFrame, name: str = "helper", expectations: DataFrame | None = None) -> DataFrame:
+    """``rows`` (id, category, prompt, output, ...) with flags, severity, score, fix (a key), recommended_fix (its text), notes and heuristics.
+
+    With ``expectations`` (id, summary) also expected_behavior_summary, null for ids that have none.
+    """
     output = F.coalesce("output", F.lit(""))
     prompt = F.coalesce("prompt", F.lit(""))
     worded = rows.withColumn("_words", T.words(output))
     w = F.col("_words")
     scored = worded.withColumns({"flags": flags(F.col("id"), F.col("category"), prompt, output, w, name), "heuristics": heuristics(F.col("category"), prompt, output, w, name)})
     scored = scored.withColumn("severity", evaluation.severity(F.col("flags"), F.array_contains("flags", "critical_safety_fail")))
-    return scored.withColumns({"score": evaluation.score(F.col("severity")), "fix": recommended_fix(F.col("category"), F.col("flags"))}).drop("_words")
+    scored = scored.withColumns({"score": evaluation.score(F.col("severity")), "fix": recommended_fix(F.col("category"), F.col("flags"))}).drop("_words")
+    texts = F.create_map(*[F.lit(x.format(name=name.upper())) for pair in K.FIX_TEXTS.items() for x in pair])
+    notes = F.when(F.size("flags") > 0, F.array_join("flags", "; ")).otherwise(K.CLEAN_NOTE)
+    told = scored.withColumns({"recommended_fix": F.element_at(texts, F.col("fix")), "notes": notes})
+    return told if expectations is None else with_expectations(told, expectations)
 
 
 def with_expectations(prompts: DataFrame, expectations: DataFrame) -> DataFrame:
     """Prompts (id, ...) with the summary of what is expected, null where nothing is; of equal ids the least summary."""
     known = expectations.groupBy("id").agg(F.min("summary").alias("expected_behavior_summary"))
     return prompts.join(known, "id", "left")
+
+
+@dataclass(frozen=True)
+class Evaluation:
+    """A scored table of answers of one or more candidates (columns ``by``), and all that is derived from it."""
+
+    scored: DataFrame
+    by: list[str]
+
+    def decisions(self) -> DataFrame:
+        return evaluation.decision(self.scored, self.by)
+
+    def categories(self) -> DataFrame:
+        return evaluation.category_summary(self.scored, self.by)
+
+    def flag_counts(self) -> DataFrame:
+        return evaluation.flag_counts(self.scored, self.by)
+
+    def errors(self) -> DataFrame:
+        return evaluation.errors(self.scored)
+
+    def data_needs(self, ordinal: str) -> DataFrame:
+        return evaluation.data_needs(self.scored, ordinal, self.by)
+
+    def comparison(self) -> DataFrame:
+        """One row: the best and the next candidate, whether the best may be released, which to go on training from, and flags of all."""
+        (one,) = self.by
+        return evaluation.compare(self.decisions(), self.flag_counts(), one)
+
+
+def evaluate(answers: DataFrame, by: list[str], name: str = "helper", expectations: DataFrame | None = None) -> Evaluation:
+    """Answers (id, category, prompt, output and the columns ``by``) scored, through to the decision."""
+    return Evaluation(score(answers, name, expectations), by)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import _WORD, _WORDS, _grams_sql, query
+from ..catalog import _PRINT, _WORD, _WORDS, _grams_sql, query
 from ..functions import constants as K
 from ..functions import text as T
 from ..operators import build, convert, rules, strict, teacher
@@ -443,14 +443,49 @@ def _raw_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 OPTIONS = build.BuildOptions(max_seq_len=4000, trusted_prefixes=("trusted",), keep_replay_duplicates=True)
+_SQUEEZED = r"regexp_replace(lower({}), '\s+', ' ', 'g')"
+_LOOPS = " OR ".join(f"coalesce(list_max(map_values(list_aggregate({_grams_sql(n)}, 'histogram'))), 0) >= 5" for n in (2, 3, 4))
+#: A walk over the rows in order: a recursive query that carries the keys of the accepted rows along.
+_BUILT = rf"""
+WITH RECURSIVE raw AS (SELECT doc_id AS id, 'r' || CASE WHEN doc_id % 17 = 0 THEN 0 ELSE doc_id END AS row_id, CASE WHEN doc_id % 5 = 0 THEN 'tinystories_replay' WHEN doc_id % 5 = 1 THEN 'trusted_set' ELSE source END AS source,
+  {_list(list(K.TASK_TYPES))}[(doc_id % {len(K.TASK_TYPES)} + 1)::INT] AS task_type, coalesce(text, '') AS o, {_WORDS} AS w FROM documents),
+asked AS (SELECT *, 'Write some more words like ' || CASE WHEN len(w) > 0 THEN array_to_string(w[1:2], ' ') ELSE 'these' END AS i, source = 'tinystories_replay' AS replay, source = 'trusted_set' AS trusted FROM raw),
+measured AS (SELECT *, i || chr(10) || chr(10) || o AS x, len(regexp_extract_all(i, '{_WORD}')) AS ni, list_filter(list_transform(regexp_split_to_array(o, '[.!?]+'), lambda v: lower({_strip('v')})), lambda v: v <> '') AS s,
+  list_sort(list_distinct(regexp_extract_all(lower(i), '[a-z]+'))) AS alpha FROM asked),
+early AS (SELECT *, CASE WHEN id % 31 = 0 THEN 'malformed invalid_language' WHEN {_strip('o')} = '' THEN 'malformed empty_output' WHEN ni + len(w) NOT BETWEEN 1 AND {OPTIONS.max_seq_len} THEN 'too_long too_long' WHEN trusted THEN NULL
+  WHEN NOT replay AND ni < {K.LEAST_INSTRUCTION_WORDS} THEN 'filtered instruction_too_short' WHEN len(w) < {K.LEAST_OUTPUT_WORDS} THEN 'filtered output_too_short'
+  WHEN NOT ({_PRINT} >= 0.98 AND length(regexp_replace(x, '[^\x00-\x7F]', '', 'g')) / length(x) >= 0.9) THEN 'filtered not_english_printable' WHEN len(s) <> len(list_distinct(s)) THEN 'filtered repeated_sentence'
+  WHEN len(list_distinct(w)) / len(w) < CASE WHEN replay THEN {K.UNIQUE_REPLAY} ELSE {K.UNIQUE_NORMAL} END THEN 'filtered low_unique_word_ratio' WHEN {_LOOPS} THEN 'filtered obvious_loop' END AS early FROM measured),
+scores AS (SELECT 'r' || doc_id AS row_id, toxic = 0 AND (quality * 5 + 5 - 5 * toxic) / 2 >= {K.SCORE_PASS} AS passed FROM labels),
+reached AS MATERIALIZED (SELECT e.id, coalesce(passed, true) AS passed, CASE WHEN NOT replay THEN dense_rank() OVER (ORDER BY {_SQUEEZED.format(_strip('i'))} || chr(10) || {_SQUEEZED.format(_strip('o'))}) END AS pair, CASE WHEN trusted THEN dense_rank() OVER (ORDER BY e.row_id) END AS own_id,
+  CASE WHEN NOT replay AND NOT trusted AND len(alpha) >= 4 THEN dense_rank() OVER (ORDER BY array_to_string(alpha, ' ')) END AS question, row_number() OVER (ORDER BY e.id) AS rn,
+  replay AND row_number() OVER (PARTITION BY replay, {_SQUEEZED.format(_strip('o'))} ORDER BY e.id) > 1 AS retold FROM early e LEFT JOIN scores USING (row_id) WHERE early IS NULL),
+walk AS (
+  SELECT 0::BIGINT AS rn, []::BIGINT[] AS pairs, []::BIGINT[] AS ids, []::BIGINT[] AS questions, false AS again
+  UNION ALL
+  SELECT rn, CASE WHEN taken AND pair IS NOT NULL THEN list_append(pairs, pair) ELSE pairs END, CASE WHEN taken AND own_id IS NOT NULL THEN list_append(ids, own_id) ELSE ids END, CASE WHEN taken AND question IS NOT NULL THEN list_append(questions, question) ELSE questions END, again
+  FROM (SELECT *, NOT again AND passed AND NOT retold AS taken FROM (SELECT r.*, w.pairs, w.ids, w.questions, coalesce(list_contains(w.pairs, r.pair), false) OR coalesce(list_contains(w.ids, r.own_id), false) OR coalesce(list_contains(w.questions, r.question), false) AS again
+    FROM walk w JOIN reached r ON r.rn = w.rn + 1))),
+buckets AS (SELECT e.id, source, task_type, CASE WHEN early IS NOT NULL THEN early WHEN again OR retold THEN 'duplicates duplicate' WHEN NOT passed THEN 'filtered score_filtered' END AS found FROM early e LEFT JOIN reached r ON r.id = e.id LEFT JOIN walk w ON w.rn = r.rn),
+built AS (SELECT id, source, task_type, coalesce(split_part(found, ' ', 1), 'accepted') AS bucket, split_part(found, ' ', 2) AS reason FROM buckets),
+ranked AS (SELECT id, count(*) OVER (PARTITION BY task_type) AS n, row_number() OVER (PARTITION BY task_type ORDER BY md5('1337:' || task_type || ':' || id), id) AS r FROM built WHERE bucket = 'accepted'),
+splits AS (SELECT id, CASE WHEN r <= CASE WHEN n <= 1 THEN 0 ELSE least(n - 1, greatest(1, round_even(n * {OPTIONS.val_ratio}, 0))) END THEN 'val' ELSE 'train' END AS split FROM ranked)
+"""
 
 
-@query()
+@query(f"{_BUILT} SELECT id, bucket, reason, split FROM built LEFT JOIN splits USING (id)")
 def build_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw rows made of the documents: the bucket of each, the reason and, of accepted rows, the split."""
     return build.build(*_raw_rows(spark, sf_dir), OPTIONS).select("id", "bucket", "reason", "split")
 
 
-@query()
+@query(f"{_BUILT} SELECT 'source' AS dim, coalesce(source, 'UNKNOWN') AS key, bucket, count(*) AS n FROM built GROUP BY ALL UNION ALL SELECT 'task_type', task_type, bucket, count(*) FROM built GROUP BY ALL")
 def build_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each source and task type fell into each bucket."""
     return build.manifest(build.build(*_raw_rows(spark, sf_dir), OPTIONS), ["source", "task_type"])
+
+
+@query(f"{_BUILT} SELECT task_type AS category, count_if(split = 'train') AS train, count_if(split = 'val') AS val, count(*) AS total FROM built JOIN splits USING (id) GROUP BY task_type")
+def split_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted rows of each task type by split."""
+    return build.split_categories(build.build(*_raw_rows(spark, sf_dir), OPTIONS), "task_type")

@@ -236,16 +236,19 @@ def chat_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT doc_id, list_transform(string_split(text, ''), lambda x: ord(x)::BIGINT) AS l FROM documents WHERE length(text) > 1),
+WITH c AS (SELECT doc_id, list_transform(list_filter(string_split(coalesce(text, ''), ''), lambda x: x <> ''), lambda x: ord(x)::BIGINT) AS l FROM documents),
 h AS (SELECT doc_id, l[1:len(l) // 2] AS p, l[len(l) // 2 + 1:] AS o FROM c)
-SELECT doc_id, array_to_string(list_concat(p, o[1:len(o) - 1]), ',') AS input_ids, array_to_string(list_concat(list_transform(p[2:], lambda x: -100::BIGINT), o), ',') AS labels FROM h""")
+SELECT doc_id, array_to_string(list_concat(p, o[1:len(o) - 1]), ',') AS input_ids, array_to_string(list_concat(list_transform(p[2:], lambda x: -100::BIGINT), o), ',') AS labels, len(p) > 0 AND len(o) > 0 AND len(p) + len(o) - 1 <= 8000 AS fits FROM h""")
 def masked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shifted inputs and masked labels; ids are the code points of a text, whose first half is the prompt."""
-    codes = F.transform(F.split("text", ""), lambda c: F.expr("0").cast("long") + F.ascii(c))
+    """Shifted inputs and masked labels of every text, and whether they fit 8000 places; ids are code points, the first half is the prompt.
+
+    A text of one character has no prompt, an empty or null one nothing at all; neither fits.
+    """
+    codes = F.transform(F.filter(F.split(F.coalesce("text", F.lit("")), ""), lambda c: c != ""), lambda c: F.expr("0").cast("long") + F.ascii(c))
     half = F.floor(F.size("l") / 2).cast("int")
-    d = _docs(spark, sf_dir).where(F.length("text") > 1).select("doc_id", codes.alias("l")).select("doc_id", F.slice("l", F.lit(1), half).alias("p"), F.slice("l", half + 1, F.size("l")).alias("o"))
+    d = _docs(spark, sf_dir).select("doc_id", codes.alias("l")).select("doc_id", F.slice("l", F.lit(1), half).alias("p"), F.slice("l", half + 1, F.size("l")).alias("o"))
     text = lambda c: F.array_join(c.cast("array<string>"), ",")
-    return d.select("doc_id", text(tokens.input_ids(F.col("p"), F.col("o"))).alias("input_ids"), text(tokens.labels(F.col("p"), F.col("o"))).alias("labels"))
+    return d.select("doc_id", text(tokens.input_ids(F.col("p"), F.col("o"))).alias("input_ids"), text(tokens.labels(F.col("p"), F.col("o"))).alias("labels"), tokens.fits(F.col("p"), F.col("o"), 8000).alias("fits"))
 
 
 _SCORED = """

@@ -193,7 +193,7 @@ def long_words(x: Column, letters: int = 12) -> Column:
 
 
 def digits(x: Column) -> Column:
-    return F.regexp_count(x, F.lit(r"\d"))
+    return F.regexp_count(x, F.lit(r"\p{Nd}"))
 
 
 def chat_prompt(instruction: Column, given: Column) -> Column:

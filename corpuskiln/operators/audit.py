@@ -35,8 +35,9 @@ def near_pair_counts(rows: DataFrame, threshold: float = 0.82) -> DataFrame:
 
 
 def log_summary(log: DataFrame, order: str, train: str, val: str, tail: int = 5) -> DataFrame:
-    """One row: the last record's training loss, the least validation loss, and the last records' places in order."""
-    last = log.select(order).orderBy(F.desc(order)).limit(tail).agg(F.sort_array(F.collect_list(order)).alias("tail"))
+    """One row: the last record's training loss, the least validation loss, and the last records in order: their places and the whole records."""
+    record = F.struct(order, *[c for c in log.columns if c != order])
+    last = log.orderBy(F.desc(order)).limit(tail).agg(F.array_sort(F.collect_list(record)).alias("records")).select(F.transform("records", lambda r: r[order]).alias("tail"), "records")
     return log.agg(F.max_by(train, order).alias("final_train_loss"), F.min(val).alias("best_val_loss")).crossJoin(F.broadcast(last))
 
 

@@ -381,21 +381,21 @@ def templated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.templated(_docs(spark, sf_dir).select(F.col("doc_id").alias("id"), T.words(F.coalesce("text", F.lit(""))).alias("words")))
 
 
-_MIXED = "SELECT doc_id::VARCHAR AS key, lang AS name, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS rank, source AS task, 'say' AS instruction, coalesce(text, '') AS output FROM documents WHERE lang IN ('en', 'de', 'fr')"
+_MIXED = "SELECT doc_id::VARCHAR AS key, lang AS name, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS rank, source AS task, 'say' AS instruction, coalesce(text, '') AS output FROM documents"
 
 
 @query(f"""
 WITH d AS ({_MIXED}), t AS (SELECT *, row_number() OVER (PARTITION BY name, task ORDER BY md5('1337:' || name || ':' || key), key) AS r1 FROM d),
 u AS (SELECT * FROM t WHERE (name = 'en' AND r1 <= 6) OR name <> 'en'), v AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY md5('1337:' || name || ':' || key), key) AS number FROM u),
-x AS (SELECT * FROM v WHERE name = 'fr' OR number <= 60),
+x AS (SELECT * FROM v WHERE name IN ('fr', 'es') OR number <= 60),
 y AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(lower({_strip('output')}), '\\s+', ' ', 'g') ORDER BY rank, number) AS f FROM x),
 z AS (SELECT name || '_' || lpad(number::VARCHAR, 6, '0') AS new_id, name, key AS original_id, task FROM y WHERE f = 1)
 SELECT *, row_number() OVER (ORDER BY md5('1337:' || new_id), new_id) AS position FROM z""")
 def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three sources under caps as one set, without copies across sources, with new ids and a final shuffle."""
-    rank = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "de", 2).otherwise(3)
-    rows = _docs(spark, sf_dir).where(F.col("lang").isin("en", "de", "fr")).select(F.col("doc_id").cast("string").alias("key"), F.col("lang").alias("name"), rank.alias("rank"), F.col("source").alias("task"), F.lit("say").alias("instruction"), F.coalesce("text", F.lit("")).alias("output"))
-    return build.mix(rows, {"en": (6, 60), "de": (None, 60), "fr": (None, None)}, 1337)
+    """Each language a source, two of them under caps, as one set, without copies across sources, with new ids and a final shuffle."""
+    rank = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "de", 2).when(F.col("lang") == "fr", 3).otherwise(4)
+    rows = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("key"), F.col("lang").alias("name"), rank.alias("rank"), F.col("source").alias("task"), F.lit("say").alias("instruction"), F.coalesce("text", F.lit("")).alias("output"))
+    return build.mix(rows, {"en": (6, 60), "de": (None, 60), "fr": (None, None), "es": (None, None)}, 1337)
 
 
 _CATEGORY = [*K.KEPT_CATEGORIES, "closed_qa", "poetry"]
@@ -408,7 +408,7 @@ WITH d AS (SELECT conv_id, turn, {_list(_CATEGORY)}[((conv_id + turn) % {len(_CA
   WHEN list_has_any(regexp_extract_all(lower(i), '[a-z]+'), {_list(K.CODE_TERMS)}) OR list_has_any(regexp_extract_all(lower(o), '[a-z]+'), {_list(K.CODE_TERMS)}) THEN 'contains_code_terms'
   WHEN list_has_any(regexp_extract_all(lower(i), '[a-z]+'), {_list(K.ADULT_TERMS)}) OR list_has_any(regexp_extract_all(lower(o), '[a-z]+'), {_list(K.ADULT_TERMS)}) THEN 'contains_adult_terms'
   WHEN n < 20 THEN 'output_too_short' WHEN n > 90 THEN 'output_too_long' WHEN regexp_matches(i, '{K.FACT_QUESTION}') AND n > 50 THEN 'factual_qa_too_long'
-  WHEN len(regexp_extract_all(o, '[A-Za-z]{{12,}}')) > 4 THEN 'too_many_long_words' WHEN len(regexp_extract_all(o, '\d')) > 10 THEN 'too_many_digits' WHEN regexp_matches(o, 'https?://\S+|www\.\S+') THEN 'output_has_url'
+  WHEN len(regexp_extract_all(o, '[A-Za-z]{{12,}}')) > 4 THEN 'too_many_long_words' WHEN len(regexp_extract_all(o, '\p{{Nd}}')) > 10 THEN 'too_many_digits' WHEN regexp_matches(o, 'https?://\S+|www\.\S+') THEN 'output_has_url'
   WHEN regexp_matches(o, '\|.*\|.*\|') THEN 'output_has_markdown_table' WHEN regexp_matches(o, '{K.FORMAL_TONE}') THEN 'formal_tone' WHEN regexp_matches(o, '(?i)\bas an AI\b') THEN 'as_an_ai' END AS reason FROM d)
 SELECT conv_id, turn, reason, CASE WHEN reason IS NULL THEN CASE category WHEN 'creative_writing' THEN CASE WHEN {_cues("i || ' ' || o", K.STORY_WORDS)} THEN 'story_writing' ELSE 'creative_generation' END
   WHEN 'generation' THEN CASE WHEN {_cues('i', K.STRUCTURE_WORDS)} THEN 'structured_output' ELSE 'creative_generation' END WHEN 'brainstorming' THEN 'structured_output' WHEN 'classification' THEN 'simple_reasoning'

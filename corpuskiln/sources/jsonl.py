@@ -9,18 +9,19 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lines
+
 ROW = "id string, source string, task_type string, instruction string, input string, output string, language string"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1), value of every line of one or more files; a byte-order mark at a file's start goes."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "value")).select("file", (F.col("at") + 1).alias("line"), "value")
+def read_lines(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
+    """file, line (from 1), value of every line of one or more files, read in splits; with ``missing_ok`` no file is no lines."""
+    return lines.read_lines(spark, path, missing_ok).select("file", "line", "value")
 
 
-def parse_objects(lines: DataFrame, schema: str = ROW) -> DataFrame:
+def parse_objects(rows: DataFrame, schema: str = ROW) -> DataFrame:
     """file, line, value, row (typed), keys, error: null, ``invalid_json`` or ``not_object``; blank lines go."""
-    kept = lines.where(F.trim("value") != "")
+    kept = rows.where(F.trim("value") != "")
     variant = F.try_parse_json("value")
     kind = F.schema_of_variant(variant)
     error = F.when(variant.isNull(), "invalid_json").when(~kind.startswith("OBJECT"), "not_object")
@@ -31,7 +32,7 @@ def read_rows(spark: SparkSession, path: str, schema: str = ROW) -> DataFrame:
     """Typed rows, strict: any broken line is an error; the order columns come along."""
     parsed = parse_objects(read_lines(spark, path), schema)
     broken = F.raise_error(F.concat_ws(":", "file", F.col("line").cast("string"), "error"))
-    checked = parsed.withColumn("line", F.when(F.col("error").isNull(), F.col("line")).otherwise(broken.cast("int")))
+    checked = parsed.withColumn("line", F.when(F.col("error").isNull(), F.col("line")).otherwise(broken.cast("long")))
     return checked.select("file", "line", "row.*")
 
 

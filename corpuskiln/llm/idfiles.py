@@ -83,26 +83,26 @@ class Codes:
         first = np.concatenate([[0], np.cumsum(room)])
         if first[-1] > 1 << self.limit:
             raise ValueError("these lengths are no prefix code")
-        self.codes = np.zeros(len(lengths), "u8")
-        self.codes[order] = (first[:-1] >> (self.limit - self.lengths[order])).astype("u8")
+        self.entries = np.zeros(len(lengths), "u4")  # code << 5 | length, of every symbol
+        self.entries[order] = (first[:-1] >> (self.limit - self.lengths[order])) << 5 | self.lengths[order]
         self.table = np.zeros(1 << self.limit, "u4")  # symbol << 5 | length, at every value of the next ``limit`` bits
         self.table[: first[-1]] = np.repeat((order.astype("u4") << np.uint32(5)) | lengths[order].astype("u4"), room)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Bits of ``ids``, and the bit offset of every block."""
-        size = self.lengths[ids]
+        entry = self.entries[ids]
+        size = (entry & np.uint32(31)).astype("i8")
         ends = np.cumsum(size)
         starts = ends - size
         if not len(ids):
             return b"", starts.astype("u4")
-        code, word = self.codes[ids], starts >> 6
-        over = 64 - (starts & 63) - size  # bits of the word that are left after the code; below 0, bits that go to the next
-        whole = np.where(over >= 0, code << np.maximum(over, 0).astype("u8"), code >> np.maximum(-over, 0).astype("u8"))
+        word, into = starts >> 6, (starts & 63).astype("u8")
+        left = (entry >> np.uint32(5)).astype("u8") << (64 - size).astype("u8")  # the code at the top of a word
         words = np.zeros((int(ends[-1]) >> 6) + 2, "u8")
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-        words[word[first]] = np.add.reduceat(whole, first)
-        split = np.flatnonzero(over < 0)
-        words[word[split] + 1] += code[split] << (64 + over[split]).astype("u8")
+        words[word[first]] = np.add.reduceat(left >> into, first)
+        split = np.flatnonzero((ends - 1) >> 6 != word)  # the rest of these goes to the next word
+        words[word[split] + 1] += left[split] << (np.uint64(64) - into[split])
         return words.astype(">u8").tobytes()[: (int(ends[-1]) + 7) // 8], starts[::BLOCK_IDS].astype("u4")
 
     def decode(self, bits: bytes, offsets: np.ndarray, n: int) -> np.ndarray:
@@ -239,8 +239,11 @@ def write_files(stored: DataFrame, path: str, kind: str, lengths: np.ndarray) ->
     spark.createDataFrame([(packed.hex(),)], "lengths string").coalesce(1).write.text(f"{path}/lengths")
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """file, doc_id, start (place in the file), n_tokens, ids (binary, 32 bits each) of every document of the files."""
+def read_files(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
+    """file, doc_id, start (place in the file), n_tokens, ids (binary, 32 bits each) of every document of the files.
+
+    With ``digests`` the ids stay in the task, and their CRC-32 comes as ids_crc32 in their place.
+    """
     lengths = np.frombuffer(zlib.decompress(bytes.fromhex(spark.read.text(f"{path}/lengths").first()[0])), "u1")
     sent = spark.sparkContext.broadcast(lengths)
 
@@ -255,10 +258,15 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                 for start, docs, known, sizes, ids in segments(data, codes):
                     ends = np.cumsum(sizes, dtype="i8")
                     raw, at = ids.astype("<u4").tobytes(), np.concatenate([[0], 4 * ends]).astype("i8")
-                    column = pa.Array.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(at), pa.py_buffer(raw)]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), file, "i4")), pa.array(docs, mask=~known), pa.array(start + ends - sizes), pa.array(sizes.astype("i8")), column], ["file", "doc_id", "start", "n_tokens", "ids"])
+                    if digests:
+                        view = memoryview(raw)
+                        column = pa.array([zlib.crc32(view[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.int64())
+                    else:
+                        column = pa.Array.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(at), pa.py_buffer(raw)]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), file, "i4")), pa.array(docs, mask=~known), pa.array(start + ends - sizes), pa.array(sizes.astype("i8")), column], names)
 
-    return _contents(spark, path).mapInArrow(run, "file int, doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    names = ["file", "doc_id", "start", "n_tokens", "ids_crc32" if digests else "ids"]
+    return _contents(spark, path).mapInArrow(run, f"file int, doc_id bigint, start bigint, n_tokens bigint, {'ids_crc32 bigint' if digests else 'ids binary'}")
 
 
 def _contents(spark: SparkSession, path: str) -> DataFrame:
@@ -297,5 +305,4 @@ def _vocabulary(path: str) -> int:
 def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "idfiles")
     store_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    found = read_files(spark, path).select("file", "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    return found.join(file_starts(spark, path), "file").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
+    return read_files(spark, path, digests=True).join(file_starts(spark, path), "file").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

@@ -217,7 +217,7 @@ def grouped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 SELECT doc_id, len({_WORDS}) AS n_words, round(len(list_distinct({_WORDS})) / nullif(len({_WORDS}), 0), 6) AS unique_ratio,
-  len(regexp_extract_all(text, '[0-9]')) AS n_digits, regexp_matches(text, '(?i)https?://|www\\.') AS has_url,
+  len(regexp_extract_all(text, '\\p{{Nd}}')) AS n_digits, regexp_matches(text, '(?i)https?://|www\\.') AS has_url,
   regexp_matches(text, '[A-Za-z]{{14,}}|(?i)[bcdfghjklmnpqrstvwxyz]{{5,}}') AS weird, sha256({_KEY}) AS key_hash FROM documents""")
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("text")

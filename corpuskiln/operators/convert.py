@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from . import stream
 from .rules import first_failure
 
 
@@ -56,3 +57,22 @@ def public_rows(rows: DataFrame) -> DataFrame:
     reason = public_reason(F.col("category"), text("instruction"), text("context"), text("response"))
     tagged = rows.withColumn("reason", reason)
     return tagged.withColumn("task_type", F.when(F.col("reason").isNull(), public_task(F.col("category"), text("instruction"), text("response"))))
+
+
+def converted(rows: DataFrame, order: list[str], source: str = "public_lite") -> DataFrame:
+    """Kept rows of ``public_rows`` as raw rows: id (``source`` and a running number in the order of ``order``), task_type, texts, category.
+
+    Numbers are running sums over ranges of the rows, so no task sees them all.
+    """
+    flagged = public_rows(rows).withColumn("_kept", F.col("reason").isNull().cast("int"))
+    placed = stream.running_sum(flagged, order, "_kept", "earlier").where("_kept = 1")
+    number = (F.col("earlier") + 1).cast("string")
+    new_id = F.concat(F.lit(f"{source}_"), F.when(F.length(number) >= 6, number).otherwise(F.lpad(number, 6, "0")))
+    text = lambda c: T.strip(F.coalesce(F.col(c), F.lit("")))
+    return placed.select(new_id.alias("id"), F.lit(source).alias("source"), "task_type", text("instruction").alias("instruction"), F.lit("").alias("input"), text("response").alias("output"), F.lit("en").alias("language"), "category")
+
+
+def conversion_manifest(rows: DataFrame) -> DataFrame:
+    """dim (category, task_type, reason), key, n of ``public_rows``: categories of all rows, task types of kept ones, reasons of others."""
+    entries = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("dim"), F.col(c).alias("key"))) for c in ("category", "task_type", "reason")]))
+    return rows.select(F.explode(entries).alias("x")).groupBy("x.dim", "x.key").agg(F.count("*").alias("n"))

@@ -401,7 +401,15 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CATEGORY = [*K.KEPT_CATEGORIES, "closed_qa", "poetry"]
 
 
-@query(rf"""
+def _public(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation turns as public question rows."""
+    n = F.col("conv_id")
+    asked = F.when(n % 9 == 0, F.concat(F.lit("How do you make "), "role", F.lit("s?"))).when(n % 9 == 1, "Who wrote the list?").otherwise("Say more")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", _pick(_CATEGORY, (n + F.col("turn")) % len(_CATEGORY)).alias("category"), asked.alias("instruction"), F.when(n % 11 == 0, "some context").otherwise(" ").alias("context"), F.col("text").alias("response"))
+    return rows
+
+
+_PUBLIC = rf"""
 WITH d AS (SELECT conv_id, turn, {_list(_CATEGORY)}[((conv_id + turn) % {len(_CATEGORY)} + 1)::INT] AS category, coalesce(text, '') AS o, CASE WHEN conv_id % 9 = 0 THEN 'How do you make ' || role || 's?' WHEN conv_id % 9 = 1 THEN 'Who wrote the list?' ELSE 'Say more' END AS i,
   CASE WHEN conv_id % 11 = 0 THEN 'some context' ELSE ' ' END AS c FROM conversations), f AS (SELECT *, len(regexp_extract_all(o, '{_WORD}')) AS n, CASE
   WHEN category = 'closed_qa' THEN 'discard_category' WHEN category = 'poetry' THEN 'unknown_category' WHEN c <> ' ' THEN 'has_context' WHEN contains(o, '`') THEN 'output_has_code_block'
@@ -409,16 +417,30 @@ WITH d AS (SELECT conv_id, turn, {_list(_CATEGORY)}[((conv_id + turn) % {len(_CA
   WHEN list_has_any(regexp_extract_all(lower(i), '[a-z]+'), {_list(K.ADULT_TERMS)}) OR list_has_any(regexp_extract_all(lower(o), '[a-z]+'), {_list(K.ADULT_TERMS)}) THEN 'contains_adult_terms'
   WHEN n < 20 THEN 'output_too_short' WHEN n > 90 THEN 'output_too_long' WHEN regexp_matches(i, '{K.FACT_QUESTION}') AND n > 50 THEN 'factual_qa_too_long'
   WHEN len(regexp_extract_all(o, '[A-Za-z]{{12,}}')) > 4 THEN 'too_many_long_words' WHEN len(regexp_extract_all(o, '\p{{Nd}}')) > 10 THEN 'too_many_digits' WHEN regexp_matches(o, 'https?://\S+|www\.\S+') THEN 'output_has_url'
-  WHEN regexp_matches(o, '\|.*\|.*\|') THEN 'output_has_markdown_table' WHEN regexp_matches(o, '{K.FORMAL_TONE}') THEN 'formal_tone' WHEN regexp_matches(o, '(?i)\bas an AI\b') THEN 'as_an_ai' END AS reason FROM d)
-SELECT conv_id, turn, reason, CASE WHEN reason IS NULL THEN CASE category WHEN 'creative_writing' THEN CASE WHEN {_cues("i || ' ' || o", K.STORY_WORDS)} THEN 'story_writing' ELSE 'creative_generation' END
+  WHEN regexp_matches(o, '\|.*\|.*\|') THEN 'output_has_markdown_table' WHEN regexp_matches(o, '{K.FORMAL_TONE}') THEN 'formal_tone' WHEN regexp_matches(o, '(?i)\bas an AI\b') THEN 'as_an_ai' END AS reason FROM d),
+p AS (SELECT *, CASE WHEN reason IS NULL THEN CASE category WHEN 'creative_writing' THEN CASE WHEN {_cues("i || ' ' || o", K.STORY_WORDS)} THEN 'story_writing' ELSE 'creative_generation' END
   WHEN 'generation' THEN CASE WHEN {_cues('i', K.STRUCTURE_WORDS)} THEN 'structured_output' ELSE 'creative_generation' END WHEN 'brainstorming' THEN 'structured_output' WHEN 'classification' THEN 'simple_reasoning'
-  WHEN 'open_qa' THEN CASE WHEN regexp_matches(i, '{K.EXPLAIN_QUESTION}') THEN 'explanation_for_children' ELSE 'simple_qa' END END END AS task_type FROM f""")
+  WHEN 'open_qa' THEN CASE WHEN regexp_matches(i, '{K.EXPLAIN_QUESTION}') THEN 'explanation_for_children' ELSE 'simple_qa' END END END AS task_type FROM f)"""
+
+
+@query(f"{_PUBLIC} SELECT conv_id, turn, reason, task_type FROM p")
 def public_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as public question rows: the filter that each fails, or its task type."""
-    n = F.col("conv_id")
-    asked = F.when(n % 9 == 0, F.concat(F.lit("How do you make "), "role", F.lit("s?"))).when(n % 9 == 1, "Who wrote the list?").otherwise("Say more")
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", _pick(_CATEGORY, (n + F.col("turn")) % len(_CATEGORY)).alias("category"), asked.alias("instruction"), F.when(n % 11 == 0, "some context").otherwise(" ").alias("context"), F.col("text").alias("response"))
-    return convert.public_rows(rows).select("conv_id", "turn", "reason", "task_type")
+    return convert.public_rows(_public(spark, sf_dir)).select("conv_id", "turn", "reason", "task_type")
+
+
+@query(f"""{_PUBLIC}, k AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS number FROM p WHERE reason IS NULL)
+SELECT 'public_lite_' || lpad(number::VARCHAR, 6, '0') AS id, task_type, {_strip('i')} AS instruction, md5({_strip('o')}) AS output, category FROM k""")
+def converted_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept public questions as raw rows under running ids."""
+    found = convert.converted(_public(spark, sf_dir), ["conv_id", "turn"])
+    return found.select("id", "task_type", "instruction", F.md5("output").alias("output"), "category")
+
+
+@query(f"""{_PUBLIC} SELECT 'category' AS dim, category AS key, count(*) AS n FROM p GROUP BY 2 UNION ALL SELECT 'task_type', task_type, count(*) FROM p WHERE task_type IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'reason', reason, count(*) FROM p WHERE reason IS NOT NULL GROUP BY 2""")
+def conversion_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert.conversion_manifest(convert.public_rows(_public(spark, sf_dir)))
 
 
 @query(r"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import stream, tokenset
+from ..operators import diagnose, stream, tokenset
 
 BLOCK, FRACTION, VOCAB = 256, 0.1, 8191
 _B = stream.BLANK
@@ -71,3 +71,39 @@ def token_set_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = found.pieces.select("split", F.explode("ids").alias("id"))
     summed = ids.groupBy("split").agg(F.countDistinct("id").alias("kinds"), F.sum(F.col("id").cast("long")).alias("checksum"), F.count_if(F.col("id") == 0).alias("marks"))
     return summed.select("split", counts.alias("tokens"), "kinds", "checksum", "marks", F.lit(found.metadata["train_repeat_factor"]).alias("repeat_factor"))
+
+
+#: Inputs that a training row may have, and the prompt's words: the first line of a document.
+MOST = 2000
+_ROWS = rf"""
+WITH parts AS (SELECT doc_id, lang, split_part(regexp_replace(coalesce(text, ''), '\r\n|[\r\n]', chr(1)), chr(1), 1) AS q, coalesce(text, '') AS t FROM documents),
+ids AS (SELECT doc_id, lang, list_transform(regexp_extract_all(q, '[^ \t\r\n\x0B\f]+'), lambda w: ('0x' || substr(md5(w), 1, 4))::INTEGER % {VOCAB - 1} + 1) AS p,
+  list_transform(regexp_extract_all(substr(t, length(q) + 1), '[^ \t\r\n\x0B\f]+'), lambda w: ('0x' || substr(md5(w), 1, 4))::INTEGER % {VOCAB - 1} + 1) || CASE WHEN doc_id % 7 = 0 THEN [] ELSE [0] END AS o FROM parts),
+judged AS (SELECT *, CASE WHEN len(p) = 0 THEN 'empty_prompt' WHEN len(o) = 0 THEN 'empty_output' WHEN len(p) + len(o) - 1 > {MOST} THEN 'too_long' END AS problem FROM ids)
+"""
+
+
+def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as training rows: the first line asks, the rest answers; every seventh lacks its end mark."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("t"))
+    cut = docs.select("doc_id", "lang", "t", F.get(F.split("t", "\r\n|[\r\n]"), F.lit(0)).alias("q"))
+    end = F.when(F.col("doc_id") % 7 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(0)))
+    rest = F.expr("substring(t, length(q) + 1)")
+    rows = cut.select("doc_id", "lang", tokenset.hashed_ids(F.col("q"), VOCAB).alias("prompt"), F.concat(tokenset.hashed_ids(rest, VOCAB), end).alias("output"))
+    return diagnose.features(rows, MOST)
+
+
+@query(f"""{_ROWS}, f AS (SELECT *, len(p) + len(o) - 1 AS tokens, len(o) AS supervised FROM judged)
+SELECT lang, count_if(problem IS NULL) AS examples, count_if(problem IS NOT NULL) AS problems, count_if(problem IS NULL AND supervised = 0) AS zero_supervised, count_if(problem IS NULL AND o[1] = 0) AS first_is_end,
+  count_if(problem IS NULL AND len(list_filter(o, lambda x: x <> 0)) = 0) AS only_end, round(sum(len(list_filter(o, lambda x: x = 0))) FILTER (problem IS NULL) / sum(supervised) FILTER (problem IS NULL), 6) AS end_label_ratio,
+  {", ".join(f"min({c}) FILTER (problem IS NULL)::INTEGER AS {c}_least, max({c}) FILTER (problem IS NULL)::INTEGER AS {c}_most, round_even(avg({c}) FILTER (problem IS NULL), 3) AS {c}_mean, round_even(median({c}) FILTER (problem IS NULL), 3) AS {c}_median" for c in ("tokens", "supervised"))} FROM f GROUP BY lang""")
+def row_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths, supervised labels and end marks of the training rows of each language."""
+    return diagnose.diagnosis(_training_rows(spark, sf_dir), "lang", 0)
+
+
+@query(f"""{_ROWS}, c AS (SELECT lang, o[1] AS token, count(*) AS n, min(doc_id) AS first FROM judged WHERE problem IS NULL GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY n DESC, first, token)::INTEGER AS place, token, n FROM c QUALIFY place <= 20""")
+def first_supervised_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty most frequent first supervised tokens of each language."""
+    return diagnose.first_supervised(_training_rows(spark, sf_dir), "lang", "doc_id")

@@ -159,3 +159,35 @@ def test_one_call_from_answers_to_the_comparison(spark):
     assert (one["best_candidate"], one["safe_to_release_demo"], one["safe_to_continue_training_from"]) == ("a", True, "a")
     assert one["backup_candidate"] == "c" and one["combined_flag_counts"]["critical_safety_fail"] == 1
     assert [r["who"] for r in found.errors().collect()] == ["b", "c"]
+
+
+def test_diagnosis_as_a_walk(spark):
+    from statistics import mean, median
+
+    from corpuskiln.operators import diagnose
+
+    rows = [(1, "a", [5, 6], [7, 8, 0]), (2, "a", [5], [0]), (3, "a", [], [1]), (4, "a", [1], None), (5, "a", [1, 2, 3], [4, 5, 6]), (6, "b", [1], [0, 0]), (7, None, [1], [7]), (8, "a", [9], [7, 0])]
+    table = diagnose.features(spark.createDataFrame(rows, "id long, split string, prompt array<int>, output array<int>"), 4)
+    got = {r["id"]: r for r in table.collect()}
+    assert {i: r["problem"] for i, r in got.items()} == {1: None, 2: None, 3: "empty_prompt", 4: "empty_output", 5: "too_long", 6: None, 7: None, 8: None}
+    assert (got[1]["input_ids"], got[1]["labels"], got[5]["labels"]) == ([5, 6, 7, 8], [-100, 7, 8, 0], None)
+    found = {r["split"]: r for r in diagnose.diagnosis(table, "split", 0).collect()}
+    sound = [r for r in rows if r[0] in (1, 2, 8)]
+    lengths = [len(p) + len(o) - 1 for *_, p, o in sound]
+    a = found["a"]
+    assert (a["examples"], a["problems"], a["zero_supervised"], a["first_is_end"], a["only_end"], a["end_label_ratio"]) == (3, 3, 0, 1, 1, 0.5)
+    assert (a["tokens_least"], a["tokens_most"], a["tokens_mean"], a["tokens_median"]) == (min(lengths), max(lengths), round(mean(lengths), 3), median(lengths))
+    assert (found["b"]["end_label_ratio"], found[None]["end_label_ratio"], found[None]["examples"]) == (1.0, 0.0, 1)
+    assert [(r["place"], r["token"], r["n"]) for r in diagnose.first_supervised(table, "split", "id").where("split = 'a'").orderBy("place").collect()] == [(1, 7, 2), (2, 0, 1)]
+
+
+def test_converted_rows_are_numbered_without_gaps(spark):
+    from corpuskiln.operators import convert
+
+    text = "The sun is warm and kind to all of us because it sends us light and heat each day of the year."
+    rows = [(i, c, "What do you know?", "", text if i % 3 else "short") for i, c in enumerate(["open_qa", "closed_qa", "brainstorming", "other"] * 10)]
+    table = spark.createDataFrame(rows, "n long, category string, instruction string, context string, response string").repartition(5)
+    got = convert.converted(table, ["n"]).collect()
+    kept = [r for r in rows if r[1] in ("open_qa", "brainstorming") and r[4] == text]
+    assert sorted(r["id"] for r in got) == [f"public_lite_{i:06d}" for i in range(1, len(kept) + 1)]
+    assert [r["category"] for r in sorted(got, key=lambda r: r["id"])] == [r[1] for r in kept]

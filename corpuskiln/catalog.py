@@ -90,23 +90,45 @@ def duplicate_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("excess"))
 
 
-def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _near_groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """id, node of every document, and g, h, jaccard of similar nodes: documents of one language with equal 5-grams are one."""
     # words and grams are written in between, else every use of them inside a lambda would search the text again
     ensure_checkpoint_dir(spark)
-    worded = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang", T.words(F.col("text")).alias("w")).checkpoint()
+    worded = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "lang", T.words(F.coalesce("text", F.lit(""))).alias("w")).checkpoint()
     hashed = F.transform(F.array_distinct(T.ngrams(F.col("w"), 5)), lambda g: F.xxhash64(g))
-    grams = worded.select("id", "lang", hashed.alias("grams")).checkpoint()
-    return dedup.jaccard_pairs(grams, 0.82, ["lang"])
+    grams = worded.select("id", F.coalesce("lang", F.lit("")).alias("within"), hashed.alias("grams")).checkpoint()
+    return dedup.gram_groups(grams, F.lit(True), 0.82)
 
 
-@query(f"""
-WITH g AS (SELECT doc_id, lang, list_distinct({_grams_sql(5)}) AS g FROM (SELECT doc_id, lang, {_WORDS} AS w FROM documents) WHERE len(w) >= 5),
-e AS (SELECT doc_id, lang, len(g) AS n, unnest(g) AS gram FROM g)
+_GRAM_SETS = f"""
+g AS (SELECT doc_id, coalesce(lang, '') AS lang, list_distinct({_grams_sql(5)}) AS g FROM (SELECT doc_id, lang, {_WORDS.replace('text', "coalesce(text, '')")} AS w FROM documents)),
+m AS (SELECT doc_id, lang, g, CASE WHEN len(g) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY lang, list_sort(g)) END AS first FROM g),
+e AS (SELECT doc_id, lang, len(g) AS n, unnest(g) AS gram FROM m WHERE doc_id = first)
+"""
+
+
+@query(f"""WITH {_GRAM_SETS}
 SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / (any_value(a.n) + any_value(b.n) - count(*)), 6) AS jaccard
 FROM e a JOIN e b ON a.gram = b.gram AND a.lang = b.lang AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.82""")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of documents of one language whose sets of word 5-grams have Jaccard similarity 0.82 or more."""
-    return _near_pairs(spark, sf_dir).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """Pairs of documents of one language whose sets of word 5-grams have Jaccard similarity 0.82 or more.
+
+    Documents of equal sets are one class, for which the least id stands (``near_duplicate_members`` tells whose), so a
+    group of copies is no pairs at all.
+    """
+    ids, near = _near_groups(spark, sf_dir)
+    first = ids.groupBy("node").agg(F.min("id").alias("id"))
+    ends = near.where("g < h").join(first.select(F.col("node").alias("g"), F.col("id").alias("x")), "g").join(first.select(F.col("node").alias("h"), F.col("id").alias("y")), "h")
+    return ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("jaccard", 6).alias("jaccard"))
+
+
+@query(f"WITH {_GRAM_SETS} SELECT doc_id, first AS class FROM m")
+def near_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each document: the least id of those of its language with the same word 5-grams; without any, its own."""
+    ids, near = _near_groups(spark, sf_dir)
+    filled = near.select(F.col("g").alias("node")).distinct()
+    first = ids.join(filled, "node").groupBy("node").agg(F.min("id").alias("first"))
+    return ids.join(first, "node", "left").select(F.col("id").alias("doc_id"), F.coalesce("first", "id").alias("class"))
 
 
 @query(f"""
@@ -125,7 +147,8 @@ SELECT doc_id AS id, state FROM walk WHERE rn > 0""")
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accept-dependent near-duplicate removal: documents under 20 words are rejected later and block nothing."""
     rows = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.coalesce(T.word_count(F.col("text")) < 20, F.lit(False)).alias("blocked"))
-    return dedup.greedy_first(rows, _near_pairs(spark, sf_dir).select(F.col("a").alias("earlier"), F.col("b").alias("later")))
+    ids, near = _near_groups(spark, sf_dir)
+    return dedup.greedy(rows.join(ids, "id"), [], "node", near.select("g", "h")).select("id", "state")
 
 
 @query(f"""

@@ -11,10 +11,11 @@ from .dedup import gram_groups
 def near_clusters(rows: DataFrame, threshold: float = 0.86, least: int = 4, matches: int = 5, clusters: int = 50) -> DataFrame:
     """id, other, jaccard: the first ``clusters`` rows with earlier near duplicates, each with the first ``matches`` of them.
 
-    ``rows``: id, grams (distinct); rows of fewer than ``least`` grams take no part, and order is that of id.  Of each
+    ``rows``: id, grams; rows of fewer than ``least`` distinct grams take no part, and order is that of id.  Of each
     group of equal sets only its first ids are asked for, so copies are never paired with one another.
     """
-    ids, near = gram_groups(rows.where(F.size("grams") >= least).select("id", F.lit("").alias("within"), "grams"), F.lit(True), threshold)
+    ids, near = gram_groups(rows.select("id", F.lit("").alias("within"), "grams"), F.col("size") >= least, threshold)
+    near = near.join(near.select(F.col("g").alias("h")).distinct(), "h", "left_semi")
     first = lambda df, key, by: df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(by))).where(F.col("_r") <= matches).drop("_r")
     members = first(ids, "node", "id").select(F.col("node").alias("h"), F.col("id").alias("other"))
     others = first(near.join(members, "h").select(F.col("g").alias("node"), "other", "jaccard"), "node", "other")
@@ -22,12 +23,12 @@ def near_clusters(rows: DataFrame, threshold: float = 0.86, least: int = 4, matc
     return hits.orderBy("id").limit(clusters).select("id", F.explode("hits").alias("hit")).select("id", "hit.other", "hit.jaccard")
 
 
-def near_pair_counts(rows: DataFrame, threshold: float = 0.82) -> DataFrame:
-    """within, pairs: how many pairs of rows (id, within, grams: distinct) reach the threshold; empty sets are like nothing.
+def near_pair_counts(rows: DataFrame, threshold: float = 0.82, n: int = 1) -> DataFrame:
+    """within, pairs: how many pairs of rows (id, within, grams; runs of ``n``) reach the threshold; empty sets and a null ``within`` are like nothing.
 
     Counted from pairs of distinct sets and the number of rows of each, so n copies cost one row and not n squared.
     """
-    ids, near = gram_groups(rows, F.lit(True), threshold)
+    ids, near = gram_groups(rows.where("within IS NOT NULL"), F.lit(True), threshold, n)
     counts = ids.groupBy("node").agg(F.count("*").alias("n"))
     both = near.where("g <= h").join(counts.select(F.col("node").alias("g"), F.col("n").alias("n_g")), "g").join(counts.select(F.col("node").alias("h"), F.col("n").alias("n_h")), "h")
     pairs = F.when(F.col("g") == F.col("h"), F.expr("n_g * (n_g - 1) div 2")).otherwise(F.col("n_g") * F.col("n_h"))

@@ -23,12 +23,12 @@ def near_clusters(rows: DataFrame, threshold: float = 0.86, least: int = 4, matc
     return hits.orderBy("id").limit(clusters).select("id", F.explode("hits").alias("hit")).select("id", "hit.other", "hit.jaccard")
 
 
-def near_pair_counts(rows: DataFrame, threshold: float = 0.82, n: int = 1) -> DataFrame:
+def near_pair_counts(rows: DataFrame, threshold: float = 0.82, n: int = 1, dense: bool = False) -> DataFrame:
     """within, pairs: how many pairs of rows (id, within, grams; runs of ``n``) reach the threshold; empty sets and a null ``within`` are like nothing.
 
     Counted from pairs of distinct sets and the number of rows of each, so n copies cost one row and not n squared.
     """
-    ids, near = gram_groups(rows.where("within IS NOT NULL"), F.lit(True), threshold, n)
+    ids, near = gram_groups(rows.where("within IS NOT NULL"), F.lit(True), threshold, n, dense)
     counts = ids.groupBy("node").agg(F.count("*").alias("n"))
     both = near.where("g <= h").join(counts.select(F.col("node").alias("g"), F.col("n").alias("n_g")), "g").join(counts.select(F.col("node").alias("h"), F.col("n").alias("n_h")), "h")
     pairs = F.when(F.col("g") == F.col("h"), F.expr("n_g * (n_g - 1) div 2")).otherwise(F.col("n_g") * F.col("n_h"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from ..session import ensure_checkpoint_dir
+from ..session import stored
 from . import dedup
 from .rules import first_failure
 
@@ -64,8 +64,18 @@ def length_failure(category: Column, output: Column, n: Column, strictness: str,
     return F.when(n > most, "too_long").when((n < least) & ~spared, "too_short")
 
 
-def early_failure(row: dict[str, Column], words: Column, strictness: str, name: str) -> Column:
-    """The first rule before the duplicates that fails; ``row`` has keys, metadata_is_object, category and the text fields."""
+def early_failure(row: dict[str, Column], words: Column, strictness: str, name: str, common: Column | None = None) -> Column:
+    """The first rule before the duplicates that fails; ``row`` has keys, metadata_is_object, category and the text fields.
+
+    ``common`` is what ``common_failure`` gave, where it is known.
+    """
+    output, category = T.strip(F.coalesce(row["output"], F.lit(""))), F.coalesce(row["category"], F.lit(""))
+    found = common_failure(row, words) if common is None else common
+    return F.coalesce(found, length_failure(category, output, F.size(words), strictness, name))
+
+
+def common_failure(row: dict[str, Column], words: Column) -> Column:
+    """The first rule that fails of those that are the same in all tiers."""
     missing = F.size(F.array_except(F.array(*map(F.lit, K.TEACHER_FIELDS)), F.coalesce(row["keys"], F.array().cast("array<string>")))) > 0
     instruction, output = T.strip(F.coalesce(row["instruction"], F.lit(""))), T.strip(F.coalesce(row["output"], F.lit("")))
     category = F.coalesce(row["category"], F.lit(""))
@@ -88,7 +98,7 @@ def early_failure(row: dict[str, Column], words: Column, strictness: str, name:
         (T.teacher_loop(words), "obvious_loop"),
         (T.weird_nonword(output), "weird_nonword"),
     ]
-    return F.coalesce(first_failure(rules), length_failure(category, output, F.size(words), strictness, name))
+    return first_failure(rules)
 
 
 def late_checks(row: dict[str, Column], strictness: str, name: str) -> tuple[Column, Column]:
@@ -129,16 +139,18 @@ def validate(rows: DataFrame, strictness: str = "standard", name: str = "helper"
     row = {f: F.col(f) for f in fields}
     scope = F.coalesce(F.col(within).cast("string"), F.lit("")) if within else F.lit("")
     late, weak = late_checks(row, strictness, name)
-    ensure_checkpoint_dir(rows.sparkSession)
-    worded = rows.select("id", *fields, scope.alias("scope"), T.words(T.strip(F.coalesce("output", F.lit("")))).alias("words")).checkpoint()
+    worded = rows.select("id", *fields, scope.alias("scope"), T.words(T.strip(F.coalesce("output", F.lit("")))).alias("words"))
     key = F.concat_ws("\n", "scope", T.pair_hash(F.coalesce("instruction", F.lit("")), F.coalesce("output", F.lit(""))))
-    checked = worded.select("id", early_failure(row, F.col("words"), strictness, name).alias("early"), late.alias("late"), weak.alias("weak"), key.alias("pair"), F.concat_ws("\n", "scope", "category").alias("within"), F.array_distinct(T.ngrams(F.col("words"), 5)).alias("grams")).checkpoint()
+    judged = worded.withColumn("early", early_failure(row, F.col("words"), strictness, name))
+    sound = lambda c: F.when(F.col("early").isNull(), c)  # noqa: E731  only rows that come so far need keys and words
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    checked = stored(judged.select("id", "early", late.alias("late"), weak.alias("weak"), sound(key).alias("pair"), F.concat_ws("\n", "scope", "category").alias("within"), sound(hashes).alias("hashes")))
     reached = checked.where("early IS NULL")
     story, other = K.NEAR_THRESHOLDS[strictness]
     least = F.when(F.substring_index("within", "\n", -1).isin("story_request", "story_continuation"), story).otherwise(other)
     # only a row with so many grams looks for near duplicates
-    groups, near = dedup.gram_groups(reached.select("id", "within", "grams"), F.col("size") >= LEAST_GRAMS, min(SUSPECT, story, other))
-    near = near.withColumn("close", F.col("jaccard") >= least).checkpoint()
+    groups, near = dedup.gram_groups(reached.select("id", "within", F.col("hashes").alias("grams")), F.col("size") >= LEAST_GRAMS, min(SUSPECT, story, other), 5)
+    near = stored(near.withColumn("close", F.col("jaccard") >= least))
     keyed = reached.select("id", F.col("late").isNotNull().alias("blocked"), "pair").join(groups, "id")
     strong = near.where("close") if strictness != "lenient" else near.where(F.lit(False))
     settled = dedup.greedy(keyed, ["pair"], "node", strong.select("g", "h"))

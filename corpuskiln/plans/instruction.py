@@ -130,8 +130,9 @@ def teacher_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _teacher_rows(spark, sf_dir)
     row = {c: F.col(c) for c in rows.columns}
     worded = rows.withColumn("words", T.words(T.strip(F.col("output"))))
-    early = [teacher.early_failure(row, F.col("words"), t, NAME).alias(f"early_{t}") for t in teacher.STRICTNESS]
-    return worded.select("id", *early, teacher.late_checks(row, "strict", NAME)[0].alias("late"))
+    judged = worded.withColumn("common", teacher.common_failure(row, F.col("words")))
+    early = [teacher.early_failure(row, F.col("words"), t, NAME, F.col("common")).alias(f"early_{t}") for t in teacher.STRICTNESS]
+    return judged.select("id", *early, teacher.late_checks(row, "strict", NAME)[0].alias("late"))
 
 
 def _late_sql(strictness: str) -> tuple[str, str]:

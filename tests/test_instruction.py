@@ -1,5 +1,6 @@
 """Teacher rows, strict scores, builds and conversions against the sequential rules that they stand for."""
 
+import os
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from corpuskiln.functions import text as T
 from corpuskiln.operators import build, dedup, evaluation, sampling, strict, teacher
 from corpuskiln.plans import instruction
+from corpuskiln.session import shared_dir
 from corpuskiln.sources import jsonl
 
 SMALL = "/root/testdata/sf0.001"
@@ -54,6 +56,30 @@ def test_teacher_rows_in_order(spark, strictness):
     assert {"duplicate_instruction_output", "missing_fields", "chatty_opener", "url", None} <= {r for r, _ in got.values()}
 
 
+def test_words_of_rejected_rows_are_not_stored(spark):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abdeo") for _ in range(5)) for _ in range(2000)) for _ in range(40)]
+    fields = "id long, output string"
+    made = spark.createDataFrame(list(enumerate(texts)), fields).withColumns({"keys": F.array(*map(F.lit, teacher.K.TEACHER_FIELDS)), "metadata_is_object": F.lit(True), "category": F.lit("simple_qa"), "task_type": F.lit(teacher.K.TASK_OF_CATEGORY["simple_qa"]), "instruction": F.lit("Say it"), "input": F.lit(""), "language": F.lit("en")})
+    top = shared_dir(spark).removeprefix("file://")
+    used = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names)
+    before = used()
+    assert {r.reason for r in teacher.validate(made).collect()} <= {"too_long", "weird_nonword"}
+    assert used() - before < sum(map(len, texts)) / 2
+
+
+def test_repeats_take_the_least_size_alone(spark):
+    rng = random.Random(6)
+    rows = spark.createDataFrame([([rng.choice("abcdef") for _ in range(rng.randint(0, 40))],) for _ in range(400)], "w array<string>")
+    w = F.col("w")
+    plan = rows.select(T.teacher_loop(w))._jdf.queryExecution().analyzed().toString()
+    assert "array_join" not in plan
+    for r in rows.select("w", T.teacher_loop(w).alias("x"), T.obvious_loop(w).alias("y")).collect():
+        most = lambda n: max((sum(r.w[i : i + n] == r.w[j : j + n] for j in range(len(r.w) - n + 1)) for i in range(len(r.w) - n + 1)), default=0)
+        assert r.x == (len(r.w) >= 10 and max(map(most, (3, 4, 5))) >= 3)
+        assert r.y == (len(r.w) >= 12 and max(map(most, (2, 3, 4))) >= 5)
+
+
 def test_near_duplicates_and_scopes(spark):
     base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen because it helps the plants"
     outputs = [base, base + " now", base, base.replace("one", "uno")]

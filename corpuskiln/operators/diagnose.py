@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import profile, tokens
 
 
@@ -25,22 +26,28 @@ def diagnosis(rows: DataFrame, by: str, end_id: int) -> DataFrame:
     examples, problems, zero_supervised, first_is_end, only_end (outputs of nothing but end marks), end_label_ratio, and
     least, most, mean and median of the inputs (tokens_) and of the supervised labels (supervised_) of each example.
     """
-    supervised = F.filter("labels", lambda x: x != tokens.IGNORE)
-    shown = rows.select(by, "problem", "input_ids", supervised.alias("s"), F.forall("output", lambda x: x == end_id).alias("bare"))
+    bare = F.size(F.array_remove("output", end_id)) == 0
+    shown = rows.select(by, "problem", "input_ids", F.array_remove("labels", tokens.IGNORE).alias("s"), bare.alias("bare"))
     # array by array, so that no row is spread out
-    facts = shown.select(by, "problem", "bare", F.size("input_ids").alias("tokens"), F.size("s").alias("supervised"), F.size(F.filter("s", lambda x: x == end_id)).alias("ends"), F.get("s", F.lit(0)).alias("first"))
-    sound = F.col("problem").isNull()
-    counts = facts.groupBy(by).agg(
-        F.count_if(sound).alias("examples"),
-        F.count_if(~sound).alias("problems"),
-        F.count_if(sound & (F.col("supervised") == 0)).alias("zero_supervised"),
-        F.count_if(sound & (F.col("first") == end_id)).alias("first_is_end"),
-        F.count_if(sound & F.col("bare")).alias("only_end"),
-        F.round(F.sum(F.when(sound, F.col("ends"))) / F.nullif(F.sum(F.when(sound, F.col("supervised"))), F.lit(0)), 6).alias("end_label_ratio"),
+    ends = F.size("s") - F.size(F.array_remove("s", end_id))
+    facts = shown.select(by, "problem", "bare", F.size("input_ids").alias("tokens"), F.size("s").alias("supervised"), ends.alias("ends"), F.get("s", F.lit(0)).alias("first"))
+    # rows of equal lengths are counted together, in the only pass over the arrays
+    sums = [F.count("*").alias("n"), F.sum("ends").alias("ends"), F.count_if(F.col("first") == end_id).alias("first_is_end"), F.count_if("bare").alias("only_end")]
+    alike = stored(facts.groupBy(by, F.col("problem").isNull().alias("sound"), "tokens", "supervised").agg(*sums))
+    sound = F.col("sound")
+    total = lambda of, held=sound: F.coalesce(F.sum(F.when(held, of)), F.lit(0))
+    n, labels = F.col("n"), F.col("n") * F.col("supervised")
+    counts = alike.groupBy(by).agg(
+        total(n).alias("examples"),
+        total(n, ~sound).alias("problems"),
+        total(n, sound & (F.col("supervised") == 0)).alias("zero_supervised"),
+        total(F.col("first_is_end")).alias("first_is_end"),
+        total(F.col("only_end")).alias("only_end"),
+        F.round(F.sum(F.when(sound, F.col("ends"))) / F.nullif(F.sum(F.when(sound, labels)), F.lit(0)), 6).alias("end_label_ratio"),
     )
     out = counts
     for name in ("tokens", "supervised"):
-        stats = profile.numbers(facts.where(sound), F.col(name), [by]).select(F.col(by).alias("_by"), *[F.col(c).alias(f"{name}_{c}") for c in ("least", "most", "mean", "median")])
+        stats = profile.numbers(alike.where(sound), F.col(name), [by], n).select(F.col(by).alias("_by"), *[F.col(c).alias(f"{name}_{c}") for c in ("least", "most", "mean", "median")])
         out = out.join(stats, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
     return out
 

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def numbers(df: DataFrame, value: Column, by: list[str]) -> DataFrame:
+def numbers(df: DataFrame, value: Column, by: list[str], times: Column | None = None) -> DataFrame:
     """n, least, most, mean (3 places), median (3 places), p90 (the value at 0.9 (n - 1), rounded down).
 
-    The positional p90 and the median come from counts of each value, so a large group is never gathered in one row.
+    ``times`` says how often a row counts, once by default.  The positional p90 and the median come from counts of each value, so a large group is never gathered in one row.
     """
-    counted = df.select(*by, value.alias("v")).where("v IS NOT NULL").groupBy(*by, "v").agg(F.count("*").alias("c"))
+    counted = df.select(*by, value.alias("v"), (F.lit(1) if times is None else times).alias("c")).where("v IS NOT NULL").groupBy(*by, "v").agg(F.sum("c").alias("c"))
     exact = counted.groupBy(*by).agg(
         F.sum("c").alias("n"),
         F.min("v").alias("least"),

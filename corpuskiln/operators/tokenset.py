@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from hashlib import md5
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from . import build, stream
 
@@ -73,6 +75,45 @@ def hashed_ids(text: Column, vocab_size: int, mark: str = stream.MARK) -> Column
     return F.transform(words, lambda w: F.when(w == mark, 0).otherwise(F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int") % (vocab_size - 1) + 1))
 
 
+#: Words whose ids a task keeps at hand.
+KNOWN_WORDS = 1 << 18
+
+
+class _WordIds(dict):
+    """Ids of words as ``hashed_ids`` gives them, kept for the next time."""
+
+    def __init__(self, vocab_size: int, mark: str):
+        super().__init__()
+        self.vocab_size, self.mark = vocab_size, mark
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = found = 0 if word == self.mark else int.from_bytes(md5(word.encode()).digest()[:2], "big") % (self.vocab_size - 1) + 1
+        return found
+
+
+def word_ids(rows: DataFrame, texts: dict[str, str], vocab_size: int, mark: str = stream.MARK) -> DataFrame:
+    """``rows`` with the ids of ``hashed_ids`` in place of texts: ``texts`` names the text of each new column; null texts give none.
+
+    Every text is searched once, whatever the ids are used for; in an expression it would be searched for each use.
+    """
+    kept = [f for f in rows.schema.fields if f.name not in texts.values()]
+    schema = StructType([*kept, *[StructField(into, ArrayType(IntegerType())) for into in texts]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, words = _WordIds(vocab_size, mark), re.compile(WORD)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                columns = [batch.column(f.name) for f in kept]
+                for text in texts.values():
+                    columns.append(pa.array([[known[w] for w in words.findall(t or "")] for t in batch.column(text).to_pylist()], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def in_range(ids: Column, vocab_size: int) -> Column:
     """``ids``, or an error if one isn't below ``vocab_size``."""
     most = F.array_max(ids)

@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from ..session import ensure_checkpoint_dir
+from ..functions import text as T
+from ..session import stored
 
 MARK = "<|endoftext|>"
 #: What Python's ``strip`` and line tests take for white space, inside brackets of a regular expression.
 BLANK = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
+#: The same characters one by one.
+BLANKS = T.WHITE + "\x1c\x1d\x1e\x1f"
 
 
 def running_sum(rows: DataFrame, order: list[str], value: str, into: str) -> DataFrame:
@@ -23,7 +26,6 @@ def running_sum(rows: DataFrame, order: list[str], value: str, into: str) -> Dat
     Rows are sorted into ranges, each is summed within its task, and the ranges' sums are added up: a row for each range.
     What is written in between makes both passes see the same ranges.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
     ranged = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     placed = ranged.withColumn("_range", F.spark_partition_id()).withColumn("_value", F.coalesce(F.col(value).cast("long"), F.lit(0)))
     schema = StructType(list(placed.schema.fields)).add("_local", LongType())
@@ -36,7 +38,7 @@ def running_sum(rows: DataFrame, order: list[str], value: str, into: str) -> Dat
             total += int(own.sum())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], [*batch.schema.names, "_local"])
 
-    summed = placed.mapInArrow(run, schema).checkpoint()
+    summed = stored(placed.mapInArrow(run, schema))
     sizes = summed.groupBy("_range").agg(F.sum("_value").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     joined = summed.join(sizes.select("_range", before.alias("_before")), "_range")
@@ -44,7 +46,8 @@ def running_sum(rows: DataFrame, order: list[str], value: str, into: str) -> Dat
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{BLANK}]+|[{BLANK}]+$", "")
+    """Without ``BLANK`` at both ends; what is between isn't searched."""
+    return F.trim(text, F.lit(BLANKS))
 
 
 def segments(lines: DataFrame, file: str = "file", line: str = "line", value: str = "value", block: str | None = None, mark: str = MARK) -> DataFrame:
@@ -57,16 +60,20 @@ def segments(lines: DataFrame, file: str = "file", line: str = "line", value: st
     without one, a file is one part): blocks are summed apart, their sums added up, a row for each block, and what a
     segment has of each block is put together there and then once more across blocks.
     """
-    blank = F.regexp_replace(F.coalesce(value, F.lit("")), f"[{BLANK}]+", "") == ""
+    blank = ~F.coalesce(value, F.lit("")).rlike(f"[^{BLANK}]")
     kept = lines.select(F.col(file).alias("file"), (F.col(block) if block else F.lit(0)).alias("block"), F.col(line).alias("line"), F.when(~blank, F.col(value)).alias("value"))
     ends = (F.col("value").isNull() | F.contains("value", F.lit(mark))).cast("long")
     within = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     parts = kept.withColumn("end", ends).withColumn("local", F.coalesce(F.sum("end").over(within), F.lit(0)))
     parts = parts.groupBy("file", "block", "local").agg(F.sum("end").alias("ends"), F.expr("array_join(transform(array_sort(collect_list(CASE WHEN value IS NOT NULL THEN struct(line, value) END)), x -> x.value), '\n')").alias("text"), F.count("value").alias("n"))
+    # stored, as blocks' sums and texts are read apart
+    parts = stored(parts)
     sizes = parts.groupBy("file", "block").agg(F.sum("ends").alias("ends"))
     before = F.coalesce(F.sum("ends").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     joined = parts.drop("ends").join(sizes.select("file", "block", before.alias("before")), ["file", "block"])
     whole = joined.where("n > 0").groupBy("file", (F.col("before") + F.col("local")).alias("segment")).agg(F.expr("array_join(transform(array_sort(collect_list(struct(block, text))), x -> x.text), '\n')").alias("text"))
-    found = kept.select("file").distinct().join(whole, "file", "left").withColumn("text", stripped(F.coalesce("text", F.lit(""))))
+    # files of blank lines alone come apart: a join by file would leave each file's segments to one task
+    bare = parts.groupBy("file").agg(F.sum("n").alias("n")).where("n = 0").select("file", F.lit(0).cast("long").alias("segment"), F.lit("").alias("text"))
+    found = whole.unionByName(bare).withColumn("text", stripped(F.coalesce("text", F.lit(""))))
     marked = F.when(F.contains("text", F.lit(mark)), F.col("text")).when(F.col("text") == "", F.lit(mark)).otherwise(F.concat("text", F.lit("\n" + mark)))
-    return found.select("file", F.coalesce("segment", F.lit(0)).alias("segment"), F.concat(marked, F.lit("\n")).alias("text"))
+    return found.select("file", "segment", F.concat(marked, F.lit("\n")).alias("text"))

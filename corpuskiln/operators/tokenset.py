@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from ..session import stored
 from . import build, stream
 
 WORD = r"[^ \t\r\n\x0B\f]+"
@@ -146,7 +147,9 @@ class TokenSet:
 
 def _streamed(segments: DataFrame, order: list[str], block_size: int) -> tuple[DataFrame, int, int]:
     """Pieces (start, ids) of a stream, its length after repeating, and how often it is repeated."""
-    placed = stream.running_sum(segments.select(*order, "ids", F.size("ids").alias("n")), order, "n", "start").select("start", "ids")
+    # stored, as the bounds of ranges are taken from a pass of their own
+    encoded = stored(segments.select(*order, "ids", F.size("ids").alias("n")))
+    placed = stream.running_sum(encoded, order, "n", "start").select("start", "ids")
     n = placed.agg(F.max(F.col("start") + F.size("ids"))).collect()[0][0] or 0
     if not n:
         raise ValueError("the input gives no tokens")

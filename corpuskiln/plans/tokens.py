@@ -49,7 +49,7 @@ def story_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _token_set(spark: SparkSession, sf_dir: str) -> tokenset.TokenSet:
-    encoded = _segments(spark, sf_dir).select("file", "segment", tokenset.hashed_ids(F.col("text"), VOCAB).alias("ids"))
+    encoded = tokenset.word_ids(_segments(spark, sf_dir), {"ids": "text"}, VOCAB)
     return tokenset.prepare(encoded, ["file", "segment"], BLOCK, FRACTION, VOCAB)
 
 

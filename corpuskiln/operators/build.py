@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from . import dedup, rules, sampling
 
 
@@ -146,7 +146,8 @@ def merge_advice(merged: Column) -> Column:
 def repair_pack(rejected: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """repair_index, place and the rejected row (shard, place, seed_id, ...) with its seed: the first ``most`` of each shard; shards are numbered without gaps."""
     known = seeds.groupBy("seed_id").agg(F.min_by("seed", "ord").alias("seed"))
-    first = rejected.withColumn("_n", F.row_number().over(Window.partitionBy("shard").orderBy("place"))).where(F.col("_n") <= most).drop("_n")
+    # stored, else the rows would be judged again for the shards' numbers
+    first = stored(rejected.withColumn("_n", F.row_number().over(Window.partitionBy("shard").orderBy("place"))).where(F.col("_n") <= most).drop("_n"))
     shards = first.select("shard").distinct().withColumn("repair_index", F.row_number().over(Window.orderBy("shard")))  # a row for each shard
     return first.join(shards, "shard").join(known, "seed_id", "left")
 

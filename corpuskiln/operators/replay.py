@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from ..session import stored
 from . import sampling
 
 MODES = ("story_writing", "story_continuation", "mixed")
@@ -44,9 +45,11 @@ def replay_rows(stories: DataFrame, options: ReplayOptions = ReplayOptions(), to
     unclean row, without a task.  White space counts as one space; blank and null stories give nothing.  ``tokens``
     counts a row's tokens from instruction, input and output, by default their words.
     """
-    # two steps, else each use of the story and its sentences would search the text again
-    whole = stories.select("id", T.normalize_display(F.coalesce("story", F.lit(""))).alias("story")).where("story <> ''")
-    cut = whole.select("id", "story", T.split_sentences(F.col("story")).alias("s"), F.coalesce(T.is_clean_story_span(F.col("story")), F.lit(False)).alias("clean"))
+    # step by step, else each use of the story and its sentences would search the text again
+    found = stories.select("id", "story").where(F.coalesce(T.strip(F.col("story")), F.lit("")) != "")
+    whole = found.select("id", T.normalize_display(F.col("story")).alias("story"))
+    parts = whole.select("id", "story", T.split_sentences(F.col("story")).alias("s"))
+    cut = parts.select("id", "story", "s", F.coalesce(T.is_clean_story_span(F.col("story"), F.col("s")), F.lit(False)).alias("clean"))
     n = F.size("s")
     first = F.when(n <= 4, 1).otherwise(1 + chosen(2, options.seed, "prefix", F.col("id")))
     pick = lambda names, what: F.element_at(F.array(*map(F.lit, names)), chosen(len(names), options.seed, what, F.col("id")) + 1)
@@ -61,17 +64,22 @@ def replay_rows(stories: DataFrame, options: ReplayOptions = ReplayOptions(), to
     if options.mode != "story_writing":
         rows.append(F.when(F.col("clean") & (n >= 3), going_on))
     spread = cut.select("id", F.explode(F.array_compact(F.array(*rows))).alias("x")).select("id", "x.*")
-    words = T.word_count(F.col("output"))
-    count = T.word_count(F.col("instruction")) + T.word_count(F.col("input")) + words if tokens is None else tokens
-    reason = F.when(F.col("task_type").isNull(), "unclean").when(words < options.min_words, "short").when(words > options.max_words, "long")
-    reason = reason.when(~F.coalesce(T.is_clean_story_span(F.col("output")), F.lit(False)), "unclean").when(count > options.max_seq_len, "token_too_long")
+    # what goes on is clean too: of a clean story the sentences after the first, or of five or more after the second, two at least
+    def judged(words: Column) -> Column:
+        count = T.word_count(F.col("instruction")) + T.word_count(F.col("input")) + words if tokens is None else tokens
+        return F.when(words < options.min_words, "short").when(words > options.max_words, "long").when(count > options.max_seq_len, "token_too_long")
+
+    reason = F.when(F.col("task_type").isNull(), "unclean").otherwise(T.once(T.word_count(F.col("output")), judged))
     return spread.withColumn("reason", reason)
 
 
 def selected(rows: DataFrame, count: int, seed: int = 1337, source: str = "tinystories_replay") -> DataFrame:
     """new_id, place and the first ``count`` candidates of ``replay_rows`` in hash order."""
     candidates = rows.where("reason IS NULL").withColumn("_key", F.concat_ws(":", F.col("id").cast("string"), "task_type")).withColumn("_all", F.lit(""))
-    ranked = sampling.hash_rank(candidates, "_all", sampling.hash_order(seed, "_key"), "_key", "place").where(F.col("place") <= max(0, count))
+    # stored, as ranks are found in several passes, of which only the last needs the texts, and those of the first parts alone
+    candidates = stored(candidates.withColumn("_order", sampling.hash_order(seed, "_key")))
+    first = sampling.hash_head(candidates, F.col("_order"), max(0, count))
+    ranked = sampling.hash_rank(first, "_all", F.col("_order"), "_key", "place").where(F.col("place") <= max(0, count))
     new_id = F.concat(F.lit(f"{source}_"), F.when(F.col("place") < 1_000_000, F.lpad(F.col("place").cast("string"), 6, "0")).otherwise(F.col("place").cast("string")))
     return ranked.select(new_id.alias("new_id"), "place", "id", "task_type", "instruction", "input", "output")
 

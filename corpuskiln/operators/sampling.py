@@ -34,6 +34,15 @@ def hash_rank(df: DataFrame, by: str, order: Column, key: str, name: str) -> Dat
     return joined.withColumn(name, F.col("_before") + F.col("_place")).drop("_hash", "_part", "_by", "_of", "_before", "_place")
 
 
+def hash_head(df: DataFrame, order: Column, count: int) -> DataFrame:
+    """The rows of ``df`` whose ``order`` (a hash in hexadecimal) has one of the least prefixes; they hold the first ``count`` rows."""
+    prefix = F.substring(order, 1, 3)
+    parts = df.groupBy(prefix.alias("_of")).agg(F.count("*").alias("_n"))  # a row for each prefix
+    before = parts.select("_of", F.coalesce(F.sum("_n").over(Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    last = before.where(F.col("_before") < count).agg(F.max("_of")).first()[0]
+    return df.where(prefix <= F.lit(last).cast("string"))
+
+
 def stratified_split(df: DataFrame, stratum: str, key: str, ratio: float, seed: int) -> DataFrame:
     """``df`` with split: val for round(n * ratio) of each stratum, one at least and all but one at most; a single row trains."""
     sizes = df.groupBy(F.col(stratum).alias("_stratum")).agg(F.count("*").alias("_size"))

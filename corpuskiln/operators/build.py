@@ -67,8 +67,8 @@ def build(rows: DataFrame, scores: DataFrame, options: BuildOptions = BuildOptio
     worded = rows.withColumns({"words": T.words(F.coalesce("output", F.lit(""))), "trusted": trusted, "replay": replay})
     content = rules.content(F.col("instruction"), F.col("input"), F.col("output"), F.col("words"), F.col("replay"), options.keep_low_diversity)
     bucket = F.when(F.col("structural").isNotNull(), F.struct(F.lit("malformed").alias("bucket"), F.col("structural").alias("reason")))
-    bucket = bucket.when(~F.coalesce(count.between(1, options.max_seq_len), F.lit(False)), F.struct(F.lit("too_long").alias("bucket"), F.lit("too_long").alias("reason")))
-    bucket = bucket.when(~F.col("trusted") & content.isNotNull(), F.struct(F.lit("filtered").alias("bucket"), content.alias("reason")))
+    bucket = bucket.when(~F.coalesce(F.col("count").between(1, options.max_seq_len), F.lit(False)), F.struct(F.lit("too_long").alias("bucket"), F.lit("too_long").alias("reason")))
+    bucket = bucket.when(F.col("content").isNotNull(), F.struct(F.lit("filtered").alias("bucket"), F.col("content").alias("reason")))
     alpha = T.alpha_tokens(F.col("instruction"))
     free = F.col("replay") & F.lit(options.keep_replay_duplicates)
     keys = {
@@ -77,8 +77,12 @@ def build(rows: DataFrame, scores: DataFrame, options: BuildOptions = BuildOptio
         "asked": F.when(~free & ~F.col("trusted") & (F.size(alpha) >= 4), T.token_key(F.col("instruction"))),
         "story": F.when(free & F.lit(options.replay_dedup), T.output_hash(F.col("output"))),
     }
-    joined = worded.join(latest, worded["row_id"] == latest["example_id"], "left")
-    checked = joined.select("id", "row_id", "source", "task_type", bucket.alias("early"), *[v.alias(k) for k, v in keys.items()], rules.score_pass(F.col("scores")).alias("passed")).checkpoint()
+    # step by step: what the content's rules cost is spent once, and keys are made of rows that come so far
+    sound = F.col("structural").isNull() & F.coalesce(F.col("count").between(1, options.max_seq_len), F.lit(False))
+    judged = worded.withColumn("count", count).withColumn("content", F.when(sound & ~F.col("trusted"), content)).withColumn("early", bucket)
+    kept = judged.select("id", "row_id", "source", "task_type", "early", *[F.when(F.col("early").isNull(), v).alias(k) for k, v in keys.items()])
+    joined = kept.join(latest, kept["row_id"] == latest["example_id"], "left")
+    checked = joined.select("id", "row_id", "source", "task_type", "early", *keys, rules.score_pass(F.col("scores")).alias("passed")).checkpoint()
     reached = checked.where("early IS NULL")
     # replay outputs count from the first row that came so far, accepted or not
     first = reached.where("story IS NOT NULL").groupBy("story").agg(F.min("id").alias("first"))

@@ -14,7 +14,7 @@ def near_clusters(rows: DataFrame, threshold: float = 0.86, least: int = 4, matc
     ``rows``: id, grams; rows of fewer than ``least`` distinct grams take no part, and order is that of id.  Of each
     group of equal sets only its first ids are asked for, so copies are never paired with one another.
     """
-    ids, near = gram_groups(rows.select("id", F.lit("").alias("within"), "grams"), F.col("size") >= least, threshold)
+    ids, near = gram_groups(rows.select("id", F.lit("").alias("within"), "grams"), F.col("size") >= least, threshold, dense=True)
     near = near.join(near.select(F.col("g").alias("h")).distinct(), "h", "left_semi")
     first = lambda df, key, by: df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(by))).where(F.col("_r") <= matches).drop("_r")
     members = first(ids, "node", "id").select(F.col("node").alias("h"), F.col("id").alias("other"))
